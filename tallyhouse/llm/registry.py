@@ -2,7 +2,22 @@
 
 from __future__ import annotations
 
+from tallyhouse.llm import queries_free as free
 from tallyhouse.llm import queries_native as native
 
-QUERIES = {f.__name__: f for f in (native.op1_personal_data, native.op3_url_redirect_filter, native.op4_quality_outliers)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        native.op1_personal_data,
+        free.op2_anisotropic_search,
+        native.op3_url_redirect_filter,
+        native.op4_quality_outliers,
+        free.op5_feistel_shards,
+        free.op6_toxicity_ftrl,
+        free.op7_source_mixture,
+        free.op8_license_diagonals,
+        free.op9_simhash_covering,
+        free.op10_vector_packing,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}

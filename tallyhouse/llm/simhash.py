@@ -14,8 +14,6 @@ and so a component; repeated rows are returned as often as they occur. A null do
 it is alone. Very long texts are handled one at a time. Extra columns are ignored.
 """
 
-from __future__ import annotations
-
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -45,14 +43,13 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * total > len(parts), bitorder="little").view("<u8")[0])
 
 
-@F.pandas_udf("long")
 def _fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for some in texts:
         yield pd.Series([fingerprint(t) for t in some], dtype="uint64").astype("int64")
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fp") -> DataFrame:
-    return docs.withColumn(name, _fingerprints(F.col(text)))
+    return docs.withColumn(name, F.pandas_udf(_fingerprints, "long")(F.col(text)))
 
 
 def masks() -> list[int]:
