@@ -11,8 +11,6 @@ do not train; a row with several labels trains once with each. Without any train
 texts are scored piece by piece. Extra columns are ignored.
 """
 
-from __future__ import annotations
-
 import re
 from collections.abc import Iterator
 
@@ -73,32 +71,48 @@ def _train_shard(z: np.ndarray, n: np.ndarray, rows: list[tuple[np.ndarray, int]
         n[idx] += g * g
 
 
-def train(labelled: DataFrame, scratch: Scratch, most_rows: int = 20_000, shards: int = 8, rounds: int = 3, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.6, l2: float = 0.1) -> DataFrame:
-    """labelled: doc_id, text, label -> the sparse model (idx, w) as a written table."""
-    hyper = {"alpha": alpha, "beta": beta, "l1": l1, "l2": l2}
+def train(labelled: DataFrame, scratch: Scratch, most_rows: int = 20_000, shards: int = 8, rounds: int = 10, least_docs: int = 5, alpha: float = 3.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.1) -> DataFrame:
+    """labelled: doc_id, text, label -> the sparse model (idx, w) as a written table.
+
+    Indexes in fewer than ``least_docs`` training rows are left out. A coordinate moves by the mean of the shards
+    that touched it, so that a rare word isn't held back by shards without it.
+    """
+    spark, hyper = labelled.sparkSession, {"alpha": alpha, "beta": beta, "l1": l1, "l2": l2}
     valid = labelled.where(F.col("label").isin(0, 1))
     keep = min(1.0, most_rows / max(valid.count(), 1))
-    rows = valid.select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"), F.xxhash64("doc_id", "label").alias("h"))
+    rows = valid.select("text", F.col("label").cast("int").alias("label"), F.xxhash64("doc_id", "label").alias("h"))
     some = rows.where(F.pmod("h", F.lit(1 << 20)) < int(keep * (1 << 20)))
-    dealt = scratch.keep(some.withColumn("shard", F.pmod(F.shiftright("h", 24), F.lit(shards)).cast("int")))
-    state = scratch.keep(dealt.sparkSession.createDataFrame([], STATE))
+
+    def indexes(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hasher = Hasher()
+        for part in texts:
+            yield pd.Series([np.unique(features(hasher.words(t or ""))) for t in part])
+
+    idx = F.pandas_udf(indexes, "array<int>")(F.col("text"))
+    dealt = scratch.keep(some.select("h", "label", idx.alias("idx"), F.pmod(F.shiftright("h", 24), F.lit(shards)).cast("int").alias("shard")))
+    frequent = dealt.select(F.explode("idx").alias("idx")).groupBy("idx").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs).select("idx")
+    used = spark.sparkContext.broadcast(frequent.toPandas()["idx"].to_numpy())  # at most 2^18
+    state = scratch.keep(spark.createDataFrame([], STATE))
 
     def from_state(start):
         def one(pdf: pd.DataFrame) -> pd.DataFrame:
-            z, n = np.zeros(BIAS + 1), np.zeros(BIAS + 1)
+            z, n, ok = np.zeros(BIAS + 1), np.zeros(BIAS + 1), np.zeros(BIAS + 1, bool)
             z[start.value["idx"]], n[start.value["idx"]] = start.value["z"], start.value["n"]
-            hasher = Hasher()
-            pdf = pdf.sort_values(["h", "label", "text"])
-            _train_shard(z, n, [(np.append(np.unique(features(hasher.words(t))), BIAS), y) for t, y in zip(pdf["text"], pdf["label"], strict=True)], hyper)
-            at = np.flatnonzero(n)
-            return pd.DataFrame({"idx": at.astype(np.int32), "z": z[at], "n": n[at]})
+            ok[used.value] = True
+            z0, n0 = z.copy(), n.copy()
+            pdf = pdf.sort_values(["h", "label"])
+            _train_shard(z, n, [(np.append(i[ok[i]], BIAS), y) for i, y in zip(pdf["idx"], pdf["label"], strict=True)], hyper)
+            at = np.flatnonzero(n != n0)
+            return pd.DataFrame({"idx": at.astype(np.int32), "z": (z - z0)[at], "n": (n - n0)[at]})
 
         return one
 
     for _ in range(rounds):
-        start = dealt.sparkSession.sparkContext.broadcast(state.toPandas())  # at most 2^18 + 1 rows
-        trained = dealt.groupBy("shard").applyInPandas(from_state(start), STATE)
-        state = scratch.keep(trained.groupBy("idx").agg((F.sum("z") / shards).alias("z"), (F.sum("n") / shards).alias("n")))
+        start = spark.sparkContext.broadcast(state.toPandas())  # at most 2^18 + 1 rows
+        moved = dealt.groupBy("shard").applyInPandas(from_state(start), STATE).groupBy("idx").agg(F.avg("z").alias("z"), F.avg("n").alias("n"))
+        new = scratch.keep(state.union(moved).groupBy("idx").agg(F.sum("z").alias("z"), F.sum("n").alias("n")))
+        scratch.drop(state)
+        state = new
     w = -(F.col("z") - F.signum("z") * l1) / ((beta + F.sqrt("n")) / alpha + l2)
     return scratch.keep(state.where(F.abs("z") > l1).select("idx", w.alias("w")))
 
@@ -107,7 +121,6 @@ def score(docs: DataFrame, model: DataFrame, text: str = "text") -> DataFrame:
     """docs with score. The model has one row an index at most, so it may be broadcast whole."""
     found = docs.sparkSession.sparkContext.broadcast(model.toPandas())
 
-    @F.pandas_udf("double")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         w = np.zeros(BIAS + 1)
         w[found.value["idx"]] = found.value["w"]
@@ -121,4 +134,4 @@ def score(docs: DataFrame, model: DataFrame, text: str = "text") -> DataFrame:
         for some in texts:
             yield pd.Series(1 / (1 + np.exp(-np.clip([one(t) for t in some], -35, 35))))
 
-    return docs.withColumn("score", scored(F.col(text)))
+    return docs.withColumn("score", F.pandas_udf(scored, "double")(F.col(text)))
