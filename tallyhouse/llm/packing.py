@@ -19,6 +19,7 @@ an empty result.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -33,29 +34,50 @@ OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, se
 
 
 class Tokens:
-    """Ids of whole texts, by runs that have been seen."""
+    """Ids of whole texts, put together from those of their runs.
 
-    def __init__(self, path: str, end: int | None, most_runs: int = 1 << 20) -> None:
+    ASCII letters of a run are lower-cased and a full stop or comma after a Latin letter or digit is taken off before
+    the look-up: the tokenizer does the same, and so more runs share an entry. A worker keeps what it knows between
+    tasks, up to a bound.
+    """
+
+    known: dict[str, dict[str, bytes]] = {}
+
+    def __init__(self, path: str, end: int | None, most: int = 1 << 20) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tail = [] if end is None else [end]
-        self.runs: dict[str, list[int]] = {"": []}
-        self.most_runs = most_runs
+        self.tail = b"" if end is None else self._bytes([end])
+        self.cores = self.known.setdefault(path, {})
+        self.most = most
+        self.marks = {m: self._bytes(self.tokenizer.encode(m, add_special_tokens=False).ids) for m in ".,"}
+
+    @staticmethod
+    def _bytes(ids: list[int]) -> bytes:
+        return np.array(ids, "<u4").tobytes()
+
+    @staticmethod
+    def _core(run: str) -> tuple[str, str]:
+        core = run.lower() if run.isascii() else run
+        if len(core) > 1 and core[-1] in ".," and core[-2] < "\u0100" and core[-2].isalnum():
+            return core[:-1], core[-1]
+        return core, ""
 
     def of(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         cut = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        new = list(set(chain.from_iterable(cut)).difference(self.runs))
-        if new:
-            if len(self.runs) + len(new) > self.most_runs:
-                self.runs = {"": []}
-                new = list(set(chain.from_iterable(cut)) - {""})
-            for at in range(0, len(new), 1 << 14):
-                some = new[at : at + (1 << 14)]
-                self.runs.update(zip(some, (e.ids for e in self.tokenizer.encode_batch(some, add_special_tokens=False)), strict=True))
-        get = self.runs.__getitem__
-        for runs in cut:
-            yield np.array([*chain.from_iterable(map(get, runs)), *self.tail], np.uint32)
+        runs = {r: self._core(r) for r in set(chain.from_iterable(cut))}
+        if len(self.cores) > self.most:
+            self.cores.clear()
+        new = list({c for c, _ in runs.values()}.difference(self.cores))
+        for at in range(0, len(new), 1 << 14):
+            some = new[at : at + (1 << 14)]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            flat, ends = np.fromiter(chain.from_iterable(ids), "<u4").tobytes(), np.cumsum([4 * len(i) for i in ids]).tolist()
+            self.cores.update((c, flat[a:b]) for c, a, b in zip(some, [0, *ends], ends, strict=False))
+        whole = {r: self.cores[c] + self.marks[m] if m else self.cores[c] for r, (c, m) in runs.items()}
+        for parts in cut:
+            yield np.frombuffer(b"".join(map(whole.__getitem__, parts)) + self.tail, "<u4")
 
 
 class Packer:
