@@ -51,6 +51,10 @@ class Tokens:
         self.tail = b"" if end is None else self._bytes([end])
         self.cores = self.known.setdefault(path, {})
         self.most = most
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=-1) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.ends = self.ends if self.ends.any() else self.ends[:0]
         self.marks = {m: self._bytes(self.tokenizer.encode(m, add_special_tokens=False).ids) for m in ".,"}
 
     @staticmethod
@@ -64,17 +68,34 @@ class Tokens:
             return core[:-1], core[-1]
         return core, ""
 
+    def _learn_words(self, words: list[str]) -> None:
+        """Words of Latin letters are one piece each to the tokenizer, and the last id of a piece has the word-end mark."""
+        for at in range(0, len(words), 1 << 14):
+            some = words[at : at + (1 << 14)]
+            joined = [" ".join(some[i : i + 256]) for i in range(0, len(some), 256)]
+            ids = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)), "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) == len(some):
+                flat = ids.tobytes()
+                self.cores.update((c, flat[a:b]) for c, a, b in zip(some, [0, *stops], stops, strict=False))
+
+    def _learn(self, cores: list[str]) -> None:
+        for at in range(0, len(cores), 1 << 14):
+            some = cores[at : at + (1 << 14)]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            flat, stops = np.fromiter(chain.from_iterable(ids), "<u4").tobytes(), np.cumsum([4 * len(i) for i in ids]).tolist()
+            self.cores.update((c, flat[a:b]) for c, a, b in zip(some, [0, *stops], stops, strict=False))
+
     def of(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         cut = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         runs = {r: self._core(r) for r in set(chain.from_iterable(cut))}
         if len(self.cores) > self.most:
             self.cores.clear()
         new = list({c for c, _ in runs.values()}.difference(self.cores))
-        for at in range(0, len(new), 1 << 14):
-            some = new[at : at + (1 << 14)]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            flat, ends = np.fromiter(chain.from_iterable(ids), "<u4").tobytes(), np.cumsum([4 * len(i) for i in ids]).tolist()
-            self.cores.update((c, flat[a:b]) for c, a, b in zip(some, [0, *ends], ends, strict=False))
+        words = [c for c in new if c.isalpha() and max(c) < "\u0100"]
+        if len(self.ends) and words:
+            self._learn_words(words)
+        self._learn([c for c in new if c not in self.cores])
         whole = {r: self.cores[c] + self.marks[m] if m else self.cores[c] for r, (c, m) in runs.items()}
         for parts in cut:
             yield np.frombuffer(b"".join(map(whole.__getitem__, parts)) + self.tail, "<u4")
