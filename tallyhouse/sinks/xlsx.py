@@ -29,6 +29,7 @@ def _cell(ref: str, v: object, style: int) -> str:
     if isinstance(v, bool):
         return f'<c r="{ref}" s="{style}" t="b"><v>{int(v)}</v></c>'
     if isinstance(v, int | float | Decimal):
+        v = int(v) if isinstance(v, float) and v.is_integer() else v
         return f'<c r="{ref}" s="{style}"><v>{v}</v></c>'
     text = v.isoformat() if isinstance(v, dt.date) else str(v)
     if text[:1] in ("=", "+", "-", "@"):
