@@ -11,8 +11,9 @@ four-bit codes by tables of partial products, two codes a byte, takes the best `
 exactly in double precision. Spark then keeps the best k of all blocks for each query.
 
 Nulls and odd rows: vectors that are null, empty, zero, of another length than most, or hold null or non-finite
-components take no part. Repeated rows are candidates each; every row with the query's own id is its own. Empty tables
-give an empty result. Extra columns are ignored.
+components take no part. Repeated rows are candidates each; every row with the query's own id is its own, and an id that
+repeats among the queries asks once, with the first of its vectors. Empty tables give an empty result. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -133,16 +134,17 @@ def search(vectors: DataFrame, scratch: Scratch, is_query, k: int = 20, threshol
             codes = quantiser.value.packed(x).T
             yield pd.DataFrame({"vec_id": pdf["vec_id"], "code": [c.tobytes() for c in np.ascontiguousarray(codes)], "raw": [v.tobytes() for v in x]})
 
-    coded = scratch.keep(valid.mapInPandas(to_codes, "vec_id long, code binary, raw binary"))
+    coded = scratch.keep(valid.mapInPandas(to_codes, "vec_id long, code binary, raw binary").withColumn("place", F.monotonically_increasing_id()))
     n_codes, n_queries = blocks(code_block), max(1, blocks(query_block * 20))
 
     def gathered(df: DataFrame, key: str, count: int, columns: list[str]) -> DataFrame:
         """A row a block: ids and vectors by vec_id."""
-        items = df.withColumn(key, F.pmod(F.xxhash64("vec_id", F.lit(key), *(["raw"] if "code" in columns else [])), F.lit(count)).cast("int"))
+        items = df.withColumn(key, F.pmod(F.xxhash64("place", F.lit(key)), F.lit(count)).cast("int"))
         return items.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("vec_id", *columns))).alias(f"{key}_items"))
 
     codes = gathered(coded, "c", n_codes, ["code", "raw"])
-    queries = gathered(coded.where(is_query(F.col("vec_id"))), "q", n_queries, ["raw"])
+    asked = coded.where(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min(F.struct("raw", "place")).alias("m")).select("vec_id", "m.raw", "m.place")
+    queries = gathered(asked, "q", n_queries, ["raw"])
     met = queries.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n_codes - 1)))).join(codes, "c")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
