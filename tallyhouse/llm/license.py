@@ -68,8 +68,8 @@ def _codes(ids: np.ndarray, base: int) -> np.ndarray:
     return np.where(np.logical_and.reduce([p > 0 for p in parts]), (parts[0] * base + parts[1]) * base + parts[2], 0)
 
 
-def scan(docs: DataFrame, scratch: Scratch, templates: list[Template] | None = None, text: str = "text", least_share: float = 0.5, slack: int = 4) -> DataFrame:
-    """docs without text, with n_words, n_base, first_word, last_word, base_labels, labels and score."""
+def scan(docs: DataFrame, scratch: Scratch, templates: list[Template] | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), least_share: float = 0.5, slack: int = 4) -> DataFrame:
+    """keep columns of docs with n_words, n_base, first_word, last_word, base_labels, labels and score."""
     templates = PHRASES + PASSAGES if templates is None else templates
     split = [words(t.text) for t in templates]
     vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for ws in split for w in ws}))}
@@ -89,8 +89,7 @@ def scan(docs: DataFrame, scratch: Scratch, templates: list[Template] | None = N
                 rows.append((len(ws), found, codes[found]))
             yield pd.DataFrame(rows, columns=["n_words", "place", "code"])
 
-    others = [c for c in docs.columns if c != text]
-    read = scratch.keep(docs.withColumns({"_rid": F.monotonically_increasing_id(), "_hit": hits(F.col(text))}).select("_rid", *others, "_hit.*"))
+    read = scratch.keep(docs.withColumns({"_rid": F.monotonically_increasing_id(), "_hit": hits(F.col(text))}).select("_rid", *keep, "_hit.*"))
     places = docs.sparkSession.createDataFrame(at, "template int, label string, phrase boolean, long int, t long, code long")
     votes = read.where(F.size("place") > 0).select("_rid", F.explode(F.arrays_zip("place", "code")).alias("h")).select("_rid", F.col("h.place").alias("p"), F.col("h.code").alias("code")).join(F.broadcast(places), "code").withColumn("diagonal", F.col("p") - F.col("t"))
 

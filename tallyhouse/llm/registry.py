@@ -20,4 +20,18 @@ QUERIES = {
         free.op10_vector_packing,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+
+#: Targets by levels: sources in the order of cap over weight; the first that the level of the rest leaves under its cap sets it.
+MIXTURE = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT *, list_extract(CAST([3, 1, 2] AS DOUBLE[]), CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS BIGINT)) AS weight, source_size * 2.0::DOUBLE AS cap
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source)),
+r AS (SELECT *, (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM s WINDOW o AS (ORDER BY cap / weight, source IS NULL, source)),
+t AS (SELECT source, source_size, least(cap, weight * coalesce((SELECT min(level) FROM r WHERE weight * level < cap AND cap / weight = (SELECT min(cap / weight) FROM r WHERE weight * level < cap)), 0)) AS target FROM s),
+p AS (SELECT doc_id, size, source_size, target, CAST(floor(target + 0.5) AS BIGINT) AS budget, CASE WHEN source_size > 0 THEN CAST(floor(target + 0.5) AS BIGINT) // source_size ELSE 0 END AS passes,
+  CAST(sum(size) OVER (PARTITION BY d.source ORDER BY md5('11:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(passes * size + greatest(0, least(size, budget - passes * source_size - before)) AS BIGINT) AS taken FROM p
+"""
+ORACLE_SQL: dict[str, str] = {"op7_source_mixture": MIXTURE}
