@@ -41,7 +41,7 @@ class Hasher:
         except KeyError:
             if len(self.known) > self.most:
                 self.known = {}
-            new = list(set(found) - self.known.keys())
+            new = list(set(found).difference(self.known))
             self.known.update(zip(new, pd.util.hash_array(np.array(new, dtype=object), categorize=False).tolist(), strict=True))
             return np.fromiter(map(self.known.__getitem__, found), np.uint64, len(found))
 
