@@ -27,6 +27,8 @@ FLOORS = [0.06, 0.05, 0.06, 0.05]
 DIM = len(FLOORS)
 #: Three quarters kept shrink a normal covariance; this factor for 4 dimensions undoes it.
 CONSISTENCY = 1.65
+#: The 0.9999 quantile of the chi-square distribution with DIM degrees of freedom: exp(-x/2) (1 + x/2) = 0.0001.
+CUTOFF = 23.5127
 
 
 def _repeat_words(words: Column) -> Column:
@@ -123,7 +125,7 @@ def estimates(points: DataFrame, scratch: Scratch, steps: int = 3) -> DataFrame:
     return now
 
 
-def judge(docs: DataFrame, scratch: Scratch, lang: str = "lang", source: str = "source", least_rows: int = 100, cutoff: float = 45.0) -> DataFrame:
+def judge(docs: DataFrame, scratch: Scratch, lang: str = "lang", source: str = "source", least_rows: int = 100, cutoff: float = CUTOFF) -> DataFrame:
     """docs that have STATS, n_lines and base_failed, as a written table: the same rows with d2 and kept."""
     key = lambda c, n: F.coalesce(F.concat(F.lit(n + "="), F.col(c)), F.lit(n))
     keyed = docs.withColumns({"_lang": key(lang, "l"), "_pair": F.concat_ws("\x1f", key(lang, "l"), key(source, "s"))}).withColumns({f"x{i}": x for i, x in enumerate(_vector())})

@@ -1,6 +1,8 @@
 """Personal data, url filters and quality rules against plain Python, with odd rows."""
 
 import hashlib
+import math
+import random
 import re
 
 import pytest
@@ -126,6 +128,18 @@ def test_quality_query(spark):
     assert sum(i in kept for i in bad) <= 0.2 * len(bad)
 
 
+def test_outlier_cutoff(spark):
+    """A text with 120 bars lies over the 0.9999 quantile, at which one in 10,000 ordinary documents would go."""
+    assert abs(math.exp(-quality.CUTOFF / 2) * (1 + quality.CUTOFF / 2) - 1e-4) < 1e-8
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(200)) for _ in range(300)]
+    junk = texts[0].replace(" ", "| ", 120)
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate([*texts, junk])], "doc_id long, text string, lang string, source string")
+    rows = {r.doc_id: r for r in quality.judge(Scratch(spark).keep(quality.with_statistics(docs)), Scratch(spark)).collect()}
+    assert not rows[300].base_failed and quality.CUTOFF < rows[300].d2 < 45 and not rows[300].kept
+    assert all(rows[i].kept for i in range(300))
+
+
 def test_urls(spark):
     rows = [
         (1, "http://A.Example.NET/en/1?x#y", None), (2, "https://example.net/fr/", ""), (3, "http://net", None), (4, "http://x.org/fr/a", None), (5, "http://y.com/p", '<link rel="canonical" href="http://bad.net/q">'),
