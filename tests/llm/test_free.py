@@ -177,6 +177,27 @@ def test_license_passages(spark):
     assert license.scan(frame(spark, texts).drop("score").where("false"), Scratch(spark)).count() == 0
 
 
+def test_license_lines_and_texts(spark):
+    """Plain license lines, and forty words from anywhere in a full text."""
+    lines = {
+        "This work is licensed under the GNU General Public License, version 3.": "gpl", "Licensed under the GNU Lesser General Public License v2.1": "lgpl", "Released under the GNU Affero General Public License, version 3.": "agpl",
+        "This file is under the BSD license.": "bsd", "SPDX-License-Identifier: BSD-3-Clause": "bsd", "Subject to the Mozilla Public License, version 2.0.": "mpl-2", "This text is available under CC BY 4.0.": "cc-by", "Content under CC BY-SA 4.0": "cc-by-sa",
+        "The general public voted; a public license for the GNU project was general.": "", "The library of the public is open.": "",
+    }
+    cut = {}
+    for name, label in license.TEXTS.items():
+        ws = (license.LICENSES / f"{name}.txt").read_text("utf-8", "replace").split()
+        for at in (len(ws) // 4, len(ws) // 2, len(ws) * 3 // 4):
+            cut[" ".join(["before", *ws[at : at + 48], "after"])] = label
+    texts = [*lines, *cut]
+    rows = {r.doc_id: r.labels.split(",") for r in license.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), Scratch(spark)).collect()}
+    for i, (t, label) in enumerate(lines.items()):
+        assert rows[i] == [label], t
+    shared = {"lgpl": {"lgpl", "gpl"}, "unlicense": {"unlicense", "mit"}}
+    for i, (t, label) in enumerate(cut.items(), len(lines)):
+        assert shared.get(label, {label}) & set(rows[i]), (t, label, rows[i])
+
+
 def plain_fingerprint(text):
     ws = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     parts = [" ".join(ws[i : i + 3]) for i in range(len(ws) - 2)] if len(ws) > 3 else [" ".join(ws)] if ws else []
