@@ -186,7 +186,7 @@ def test_license_lines_and_texts(spark):
     }
     cut = {}
     for name, label in license.TEXTS.items():
-        ws = (license.LICENSES / f"{name}.txt").read_text("utf-8", "replace").split()
+        ws = [w.decode() for w in license.words((license.LICENSES / f"{name}.txt").read_text("utf-8", "replace"))]
         for at in (len(ws) // 4, len(ws) // 2, len(ws) * 3 // 4):
             cut[" ".join(["before", *ws[at : at + 48], "after"])] = label
     texts = [*lines, *cut]
