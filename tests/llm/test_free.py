@@ -1,12 +1,14 @@
 """The other operators against plain Python, held-out accuracy or exact round trips, with odd rows."""
 
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -324,3 +326,55 @@ def test_packing_limits(spark):
         held[r.sequence_id].append(r)
     assert all(len(s) <= 7 and sum(r.length for r in s) <= 512 and sum(r.length * (0.9 if r.doc_id % 2 else 0.1) for r in s) <= 256 + len(s) for s in held.values())
     assert sum(r.length for r in rows) == sum(2 + i % 90 for i in range(400))
+
+
+def test_packing_added_tokens():
+    """The ids of every added token, in any case, alone and amid other text, are the tokenizer's."""
+    tokenizer, tokens = Tokenizer.from_file(public_tokenizers.path(TOKENS)), packing.Tokens(public_tokenizers.path(TOKENS), None)
+    rng = np.random.default_rng(3)
+    texts = []
+    for t in (a.content for a in tokenizer.get_added_tokens_decoder().values()):
+        for form in (t, t.upper(), t.title(), t[:-1], t[1:], t.swapcase()):
+            texts += [form, f"a{form}b", f"One. {form}, two\n{form}.", f"{form}{form}"]
+    parts = ["a", "B", "don't", "é", "É.", "3.5", ",", ".", " ", "\n", "<|", "|>", "É", "ß", "ﬁ", "İ", "Σ.", "ΑΣ", "'S", "日本", "\x1f", "　", "😀", "K", *texts[:8]]
+    texts += ["".join(rng.choice(parts, 12)) for _ in range(3000)]
+    ids, bounds = tokens.of(pa.array([*texts, None, ""]))
+    for i, t in enumerate(texts):
+        assert tokenizer.encode(t, add_special_tokens=False).ids == ids[bounds[i] : bounds[i + 1]].tolist(), t
+    assert bounds[-1] == bounds[-3] == len(ids)
+
+
+def test_packing_ids_of_documents(spark):
+    """Null, repeated and very large doc_ids are kept as they are; a million empty texts take seconds."""
+    rows = [(None, "a b"), (2**53 + 1, "c"), (2**53 + 1, "c"), (-(2**63), None)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), public_tokenizers.path(TOKENS)).collect()
+    assert Counter((r.doc_id, r.length) for r in got) == Counter([(None, 3), (2**53 + 1, 2), (2**53 + 1, 2), (-(2**63), 1)])
+    many = packing.pack(spark.range(1_000_000).select(F.col("id").alias("doc_id"), F.lit("").alias("text")).coalesce(1), public_tokenizers.path(TOKENS))
+    began = time.time()
+    n = many.agg(F.count("*").alias("n"), F.countDistinct("sequence_id").alias("s"), F.max("offset").alias("o")).first()
+    assert (n.n, n.s, n.o) == (1_000_000, -(-1_000_000 // 256), 255) and time.time() - began < 60
+
+
+def plain_fill(tokens, loss, limits):
+    """The dot-product heuristic one item at a time, without cuts: the multiset of sequences."""
+    left, out = sorted(zip(tokens, [1] * len(tokens), loss)), []
+    while left:
+        room, sequence = list(limits), []
+        while fits := [x for x in left if all(a <= r for a, r in zip(x, room))]:
+            best = max(fits, key=lambda x: (sum(a * r / m / m for a, r, m in zip(x, room, limits)), tuple(-a for a in x)))
+            left.remove(best)
+            sequence.append(best)
+            room = [r - a for a, r in zip(best, room)]
+        out.append(sequence)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_packer_follows_the_heuristic(seed):
+    rng, limits = np.random.default_rng(seed), (64, 7, 32)
+    tokens = rng.integers(1, 30, 120)
+    loss = rng.integers(0, tokens + 1)
+    item, start, length, sequence = packing.Packer(limits, 1 << 30).fill(tokens, loss)
+    assert sorted(item) == list(range(120)) and (start == 0).all() and (length == tokens[item]).all()
+    got = [[(int(tokens[i]), 1, int(loss[i])) for i in item[sequence == s]] for s in range(sequence[-1] + 1)]
+    assert got == plain_fill(tokens.tolist(), loss.tolist(), limits)
