@@ -5,15 +5,17 @@ the residual that is parallel to the vector ``eta`` times the rest, since that p
 Codes are chosen by coordinate descent, centres by the least squares that the codes give, on a bounded sample
 (``sample`` vectors by hash, a documented parameter); every row is then coded and searched.
 
-Rows are gathered into blocks of codes with the original vectors beside them, queries into blocks of theirs, and every
-query block meets every code block by an equal key: the stated query set against all rows, in blocks. A task scans the
-four-bit codes by tables of partial products, two codes a byte, takes the best ``wide`` rows a query, and scores those
-exactly in double precision. Spark then keeps the best k of all blocks for each query.
+Rows are dealt into blocks of about ``code_block`` codes with the original vectors beside them, queries into blocks of
+about ``query_block``, whatever the table's size, and every query block meets every code block by an equal key: the
+stated query set against all rows, in blocks. A task scans the four-bit codes by tables of partial products, two codes a
+byte, takes the best ``wide`` rows a query, and scores those exactly in double precision on the original components.
+Rows of one approximate score are taken by vec_id, so that equal vectors come in their order. The best k of a query are
+kept in each task and then over all tasks.
 
 Nulls and odd rows: vectors that are null, empty, zero, of another length than most, or hold null or non-finite
-components take no part. Repeated rows are candidates each; every row with the query's own id is its own, and an id that
-repeats among the queries asks once, with the first of its vectors. Empty tables give an empty result. Extra columns are
-ignored.
+components take no part, nor do rows without a vec_id. Rows that share a vec_id are rows of their own: each asks if the
+id does, and is a candidate of the others. Empty tables give an empty result. Extra columns are ignored whatever their
+names.
 """
 
 from __future__ import annotations
@@ -93,84 +95,81 @@ class Quantiser:
         """Partial inner products by byte, (queries, bytes, 256)."""
         q = self.even(queries.astype(np.float64)).reshape(len(queries), -1, 2)
         part = np.einsum("qmd,mcd->qmc", q, self.centres)
-        part = np.pad(part, ((0, 0), (0, part.shape[1] % 2), (0, 0)))
+        part = np.pad(part / np.maximum(np.abs(part).max((1, 2), keepdims=True), 1e-300), ((0, 0), (0, part.shape[1] % 2), (0, 0)))
         low, high = part[:, ::2], part[:, 1::2]
         return (high[:, :, :, None] + low[:, :, None, :]).reshape(len(queries), -1, CENTRES * CENTRES).astype(np.float32)
 
 
-def _rows(column: pd.Series, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.float32).reshape(-1, dim)
+def highest(near: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n largest values; of equal ones at the cut the first."""
+    if len(near) <= n:
+        return np.arange(len(near))
+    cut = np.partition(near, len(near) - n)[len(near) - n]
+    over = np.flatnonzero(near > cut)
+    return np.concatenate([over, np.flatnonzero(near == cut)[: n - len(over)]])
 
 
-def search(vectors: DataFrame, scratch: Scratch, is_query, k: int = 20, threshold: float = 0.2, sample: int = 4096, wide: int = 100, code_block: int = 4096, query_block: int = 512, most_blocks: int = 4096) -> DataFrame:
-    """vectors (vec_id, embedding) -> query_id, rank, vec_id, score. is_query: a condition on vec_id.
-
-    Blocks grow with the table once there are ``most_blocks`` of them, so that their number, and with it what a query
-    gathers before the last cut, stays bounded.
-    """
+def search(vectors: DataFrame, scratch: Scratch, is_query, k: int = 20, threshold: float = 0.2, sample: int = 4096, wide: int = 100, code_block: int = 4096, query_block: int = 512) -> DataFrame:
+    """vectors (vec_id, embedding) -> query_id, rank, vec_id, score. is_query: a condition on vec_id."""
     spark = vectors.sparkSession
+    kind = vectors.schema["embedding"].dataType.elementType.typeName()
+    vectors = vectors.select("vec_id", F.col("embedding") if kind == "float" else F.col("embedding").cast("array<double>").alias("embedding"))
+    real = np.float32 if kind == "float" else np.float64
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    valid = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.coalesce(finite, F.lit(False)) & F.exists("embedding", lambda x: x != 0))
+    valid = vectors.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.coalesce(finite, F.lit(False)) & F.exists("embedding", lambda x: x != 0))
     common = valid.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     if common is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, n = common["dim"], common["count"]
     valid = valid.where(F.size("embedding") == dim)
-    share = min(1.0, sample / n)
-    seen = valid.where(F.pmod(F.xxhash64("vec_id", F.lit("fit")), F.lit(1 << 24)) <= int(share * (1 << 24))).select("embedding").limit(2 * sample).toPandas()
+    # about ``sample`` rows by content and place, so that neither repeated ids nor repeated vectors crowd it
+    dice = F.pmod(F.xxhash64("vec_id", "embedding", F.monotonically_increasing_id()), F.lit(1 << 60))
+    seen = valid.where(dice < int(min(1.0, sample / n) * (1 << 60))).select("embedding").collect() or valid.select("embedding").take(1)
     square = threshold * threshold
     eta = max(1.0, (dim - 1) * square / (1 - square))
-    quantiser = spark.sparkContext.broadcast(Quantiser.fit(np.array(seen["embedding"].tolist()), eta))
-
-    def blocks(size: int) -> int:
-        return max(1, min(most_blocks, -(-n // size)))
-
-    def raw(some: pd.Series) -> bytes:
-        return np.concatenate(some.to_list()).astype(np.float32).tobytes() if len(some) else b""
+    quantiser = spark.sparkContext.broadcast(Quantiser.fit(np.array([r.embedding for r in seen], np.float64), eta))  # 16 centres of two numbers for each pair of coordinates
 
     def to_codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = np.concatenate(pdf["embedding"].to_list()).reshape(-1, dim).astype(np.float32)
-            codes = quantiser.value.packed(x).T
-            yield pd.DataFrame({"vec_id": pdf["vec_id"], "code": [c.tobytes() for c in np.ascontiguousarray(codes)], "raw": [v.tobytes() for v in x]})
+            if len(pdf):
+                x = np.concatenate(pdf["embedding"].to_list()).reshape(-1, dim).astype(real)
+                codes = np.ascontiguousarray(quantiser.value.packed(x).T)
+                yield pd.DataFrame({"vec_id": pdf["vec_id"], "code": [c.tobytes() for c in codes], "raw": [v.tobytes() for v in x]})
 
     coded = scratch.keep(valid.mapInPandas(to_codes, "vec_id long, code binary, raw binary").withColumn("place", F.monotonically_increasing_id()))
-    n_codes, n_queries = blocks(code_block), max(1, blocks(query_block * 20))
+    n_codes, n_queries = -(-n // code_block), -(-n // (query_block * 20))
 
-    def gathered(df: DataFrame, key: str, count: int, columns: list[str]) -> DataFrame:
-        """A row a block: ids and vectors by vec_id."""
-        items = df.withColumn(key, F.pmod(F.xxhash64("place", F.lit(key)), F.lit(count)).cast("int"))
-        return items.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("vec_id", *columns))).alias(f"{key}_items"))
+    def gathered(df: DataFrame, key: str, count: int, *columns: str) -> DataFrame:
+        """A row a block: its rows by vec_id."""
+        items = df.withColumn(key, F.pmod(F.xxhash64("place", F.lit(key)), F.lit(count)))
+        return items.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("vec_id", "place", *columns))).alias(f"{key}_items"))
 
-    codes = gathered(coded, "c", n_codes, ["code", "raw"])
-    asked = coded.where(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min(F.struct("raw", "place")).alias("m")).select("vec_id", "m.raw", "m.place")
-    queries = gathered(asked, "q", n_queries, ["raw"])
+    codes = gathered(coded, "c", n_codes, "code", "raw")
+    queries = gathered(coded.where(is_query(F.col("vec_id"))), "q", n_queries, "raw")
     met = queries.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n_codes - 1)))).join(codes, "c")
+    longs = lambda rows, name: np.array([r[name] for r in rows], np.int64)
+    vector = lambda rows: np.frombuffer(b"".join(r["raw"] for r in rows), real).reshape(-1, dim).astype(np.float64)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for asked, stored in zip(pdf["q_items"], pdf["c_items"], strict=True):
-                ids = np.array([r["vec_id"] for r in stored], np.int64)
-                x = np.frombuffer(b"".join(r["raw"] for r in stored), np.float32).reshape(-1, dim)
-                rows = np.frombuffer(b"".join(r["code"] for r in stored), np.uint8).reshape(len(ids), -1)
-                byte_rows = np.ascontiguousarray(rows.T)
-                q_ids = np.array([r["vec_id"] for r in asked], np.int64)
-                q = np.frombuffer(b"".join(r["raw"] for r in asked), np.float32).reshape(-1, dim)
-                out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+                ids, places, x = longs(stored, "vec_id"), longs(stored, "place"), vector(stored)
+                byte_rows = np.ascontiguousarray(np.frombuffer(b"".join(r["code"] for r in stored), np.uint8).reshape(len(ids), -1).T)
+                q_ids, q_places, q = longs(asked, "vec_id"), longs(asked, "place"), vector(asked)
+                out: list[tuple[np.ndarray, ...]] = []
                 for at in range(0, len(q), 64):
                     for i, table in enumerate(quantiser.value.tables(q[at : at + 64]), at):
                         near = np.zeros(len(ids), np.float32)
                         for part, row in zip(table, byte_rows, strict=True):
                             near += part[row]
-                        near[ids == q_ids[i]] = -np.inf
-                        best = np.argpartition(-near, wide)[:wide] if len(near) > wide else np.arange(len(near))
-                        best = best[ids[best] != q_ids[i]]
-                        exact = (x[best].astype(np.float64) * q[i].astype(np.float64)).sum(1)
+                        best = highest(near, wide + 1)
+                        best = best[places[best] != q_places[i]]
+                        exact = (x[best] * q[i]).sum(1)
                         order = np.lexsort((ids[best], -exact))[:k]
-                        out.append((np.full(len(order), q_ids[i]), ids[best][order], exact[order]))
-                a, b, c = (np.concatenate(z) for z in zip(*out, strict=True))
-                yield pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
+                        out.append((np.full(len(order), q_places[i]), np.full(len(order), q_ids[i]), ids[best][order], exact[order]))
+                if out:
+                    yield pd.DataFrame(dict(zip(("place", "query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
-    found = met.select("q_items", "c_items").mapInPandas(scan, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = met.select("q_items", "c_items").mapInPandas(scan, "place long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("place").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
