@@ -64,6 +64,46 @@ def test_bootstrap_finds_unseen(spark):
     assert texts[40][a.start : a.stop] == "ticket-88213-x" and pii.KINDS[a.kind] == "email"
 
 
+def added(spark, texts):
+    """(text of the span, kind) of each added span, by document."""
+    return [[(texts[r.doc_id][a.start : a.stop], pii.KINDS[a.kind]) for a in r.added] for r in pii.find(frame(spark, texts), Scratch(spark)).orderBy("doc_id").collect()]
+
+
+def test_bootstrap_with_more_unseen_than_seeds(spark):
+    """Twenty seeds, thirty unseen numbers in groups; what a pattern without seeds extracts is left alone."""
+    texts = [f"please ring this number +1 469 555 {1000 + i} after lunch" for i in range(20)] + [f"please ring this number 0171 {200 + i} {5000 + i}, thanks" for i in range(30)]
+    texts += [f"the invoice has total 20{i:02d} 4{i:03d} {6000 + i} today" for i in range(8)] + ["ring this number 2001 4001 6001 today", "number 4111 1111 1111 1112 here"]
+    got = added(spark, texts)
+    assert got[:20] == [[]] * 20 and got[58:] == [[], []] and got[50:58] == [[]] * 8
+    assert got[20:50] == [[(f"0171 {200 + i} {5000 + i}", "phone")] for i in range(30)]
+
+
+def test_accepted_instances_induce_patterns(spark):
+    """No seed stands after "reach": its instances are known from "contact", and it then finds one of its own."""
+    texts = [f"contact u{i}@mail.example.com" for i in range(20)] + [f"contact agent-{i}77" for i in range(5)] + [f"reach agent-{i}77" for i in range(5)] + ["reach agent-999"]
+    got = added(spark, texts)
+    assert got[20:] == [[(t.split()[1], "email")] for t in texts[20:]] and got[:20] == [[]] * 20
+
+
+def test_contexts_reach_whole_words(spark):
+    """A word of any length is a context, and a match before stands as #."""
+    rows = pii.with_candidates(frame(spark, ["x" * 90 + " 1.2.3.4 and 5.6.7.8 9.9.9.9", "A  b\nC 1.2.3.4"])).orderBy("doc_id").collect()
+    assert [b.ctx for b in rows[0].base] == [["x" * 90], ["and", "# and"], []] and [b.ctx for b in rows[1].base] == [["c", "b c"]]
+
+
+def test_outside(spark):
+    """Candidates against all base spans, by brute force, over more than one block."""
+    rng = random.Random(2)
+    spans = lambda n: [(a, a + rng.randint(1, 9)) for a in (rng.randrange(3000) for _ in range(n))]
+    base, cand = sorted(spans(150)), sorted({a: (a, b) for a, b in spans(300)}.values())
+    one = "array<struct<start:bigint,stop:bigint,hit:string,ctx:array<string>>>"
+    df = spark.createDataFrame([([(a, b, "", []) for a, b in base], [(a, b, str(a), []) for a, b in cand])], f"base {one}, cand {one}")
+    got = [(x.start, x.stop) for x in df.select(pii._outside(pii.F.col("cand"), pii.F.col("base")).alias("o")).first().o]
+    assert got == [(a, b) for a, b in cand if not any(x < b and a < y for x, y in base)] and got
+    sums = spark.range(1).select(pii.running(pii.F.sequence(pii.F.lit(1), pii.F.lit(1000)).cast("array<bigint>"), lambda a, x: a + x, pii.F.lit(0).cast("bigint")).alias("s")).first().s
+    assert sums == [i * (i + 1) // 2 for i in range(1, 1001)]
+
+
 def test_redaction(spark):
     rows = pii.find(frame(spark, ODD), Scratch(spark)).withColumn("out", pii.redacted(pii.whole(pii.F.col("text")), pii.F.col("base"))).collect()
     for r in rows:
