@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 #: Cells that count as empty, and words of a product name that don't tell products apart.
 PLACEHOLDERS = ["", "-", "--"]
 SPEC_WORDS = ["克", "kg", "ml", "毫升", "片", "支", "盒", "袋", "装", "正品", "旗舰", "包邮", "新款"]
-NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
 def ustrip(c: Column) -> Column:
@@ -45,25 +44,36 @@ def is_placeholder(c: Column) -> Column:
     return c.isNull() | c.isin(*PLACEHOLDERS)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once a row, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def to_number(c: Column) -> Column:
-    """DOUBLE if the text reads as a finite decimal number, else NULL."""
-    d = F.when(c.rlike(NUMBER), ustrip(c).try_cast("double"))
-    return F.when(F.abs(d) < float("1e26"), d)
+    """DOUBLE if the text reads as a finite decimal number, else NULL.
+
+    The cast takes such text and some more: names of infinities and NaN, which the bound leaves out, and forms with one
+    of the letters d, f, x and p. Only text beyond ASCII can have white space that the cast doesn't know.
+    """
+    bare = F.when(F.octet_length(c) > F.length(c), ustrip(c)).otherwise(c)
+    plain = F.length(F.translate(c, "dDfFxXpP", "")) == F.length(c)
+    return F.when(plain, let(bare.try_cast("double"), lambda d: F.when(F.abs(d) < float("1e26"), d)))
+
+
+def _cast(text: Column, default: str | None, convert) -> Column:
+    """struct(value, failed): default for a placeholder, else what convert makes of the number; NULL of a text has failed."""
+    filled = F.when(is_placeholder(text), F.lit(None if default in (None, "null") else default)).otherwise(text)
+    return let(filled, lambda t: let(convert(to_number(t)), lambda v: F.struct(v.alias("value"), (t.isNotNull() & v.isNull()).alias("failed"))))
 
 
 def money(text: Column, unit: str = "yuan", default: str | None = None) -> Column:
     """struct(value, failed): two decimals, half to even, after a double and its shortest decimal."""
-    filled = F.when(is_placeholder(text), F.lit(None if default in (None, "null") else default)).otherwise(text)
-    exact = to_number(filled).cast("string").cast("double").cast("decimal(38,10)")
-    value = F.bround(exact / (100 if unit == "fen" else 1), 2).try_cast("decimal(14,2)")
-    return F.struct(value.alias("value"), (filled.isNotNull() & value.isNull()).alias("failed"))
+    return _cast(text, default, lambda d: F.bround(d.cast("decimal(38,10)") / (100 if unit == "fen" else 1), 2).try_cast("decimal(14,2)"))
 
 
 def whole_number(text: Column, default: str | None = None) -> Column:
     """struct(value, failed): half away from zero."""
-    filled = F.when(is_placeholder(text), F.lit(None if default in (None, "null") else default)).otherwise(text)
-    value = F.round(to_number(filled).cast("decimal(38,10)"), 0).try_cast("long")
-    return F.struct(value.alias("value"), (filled.isNotNull() & value.isNull()).alias("failed"))
+    return _cast(text, default, lambda d: F.round(d.cast("decimal(38,10)"), 0).try_cast("long"))
 
 
 #: Python date directives and what they are to Spark.
@@ -81,13 +91,13 @@ def spark_format(python_format: str) -> str:
 
 def day(text: Column, formats: list[str]) -> Column:
     """struct(value, failed): the first format that fits, else an Excel serial; then the day."""
-    t = ustrip(text)
-    empty = is_placeholder(t)
-    serial = F.when(t.rlike(r"^[0-9]+(\.[0-9]+)?$"), t.try_cast("double"))
-    from_serial = F.when(serial.between(1, 2958465), F.date_add(F.lit("1899-12-30").cast("date"), F.floor(serial).cast("int")))
-    parsed = [F.try_to_timestamp(t, F.lit(spark_format(f))).cast("date") for f in formats]
-    value = F.when(~empty, F.coalesce(*parsed, from_serial))
-    return F.struct(value.alias("value"), (~empty & value.isNull()).alias("failed"))
+    def parsed(t: Column) -> Column:
+        serial = F.when(t.rlike(r"^[0-9]+(\.[0-9]+)?$"), t.try_cast("double"))
+        from_serial = let(serial, lambda x: F.when(x.between(1, 2958465), F.date_add(F.lit("1899-12-30").cast("date"), F.floor(x).cast("int"))))
+        value = F.when(~is_placeholder(t), F.coalesce(*[F.try_to_timestamp(t, F.lit(spark_format(f))).cast("date") for f in formats], from_serial))
+        return let(value, lambda v: F.struct(v.alias("value"), (~is_placeholder(t) & v.isNull()).alias("failed")))
+
+    return let(ustrip(text), parsed)
 
 
 def clean_text(c: Column, chars: list[str] | None = None) -> Column:

@@ -1,19 +1,20 @@
 """From rows of text cells to typed sales facts and row errors, by a channel's specification.
 
-The specification becomes Column expressions: one projection casts every field and gathers its errors; filters, the
-merge of repeated rows and the final checks follow as DataFrame steps. Facts and errors are two results of one plan.
+The specification becomes Column expressions: one projection casts every field, gathers its errors and tries the filters;
+the merge of repeated rows and the final checks follow as DataFrame steps. Facts and errors are two results of one plan.
+``keep`` may write the cast rows and read them back, so that the cells are parsed once for all results.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallyhouse.functions import formula
-from tallyhouse.functions.columns import NUMBER, blank_to_null, clean_text, day, delete_chars, money, to_number, ustrip, whole_number
+from tallyhouse.functions.columns import blank_to_null, clean_text, day, delete_chars, money, to_number, ustrip, whole_number
 from tallyhouse.schema import FACTS, MONEY_FIELDS, NUMERIC_FIELDS
 from tallyhouse.sources.spec import Spec
 
@@ -60,7 +61,7 @@ def passes(c: Column, f: dict) -> Column:
     if op == "is_null":
         return c.isNull() | (ustrip(text) == "")
     if op == "numeric":
-        return F.coalesce(text.rlike(NUMBER), F.lit(False))
+        return to_number(text).isNotNull()
     if op in ("in", "not_in"):
         found = F.coalesce(text.isin(*map(str, f["values"])), F.lit(False))
         return found if op == "in" else ~found
@@ -77,39 +78,40 @@ def passes(c: Column, f: dict) -> Column:
     return F.coalesce(test, F.lit(op == "neq"))
 
 
-def merge_rows(rows: DataFrame, spec: Spec, null_as_zero: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Rows with repeated keys merged, and the rows that went, as (row_no, message).
+def merge_rows(rows: DataFrame, spec: Spec, null_as_zero: bool = True) -> DataFrame:
+    """One row for each key of the specification: keys, row_no, and for ``sum`` numeric fields added and the first text that isn't blank.
 
-    ``sum`` adds numeric fields and takes the first text that isn't blank. With null_as_zero a NULL sum is 0 for a
-    field that has any value among the rows.
+    With null_as_zero a NULL sum is 0 for a field that has any value among the rows. ``first`` and ``last`` keep a row's
+    own fields. Keys may be NULL. Aggregates combine within tasks before the shuffle, so that a frequent key is no trap.
     """
     d = spec.dedup
     keys = [k for k in d["keys"] if k in rows.columns]
     if not d["enabled"] or not keys:
-        return rows, rows.select("row_no", F.lit("").alias("message")).limit(0)
-    order = F.asc("row_no") if d["strategy"] != "last" else F.desc("row_no")
-    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
-    gone = ranked.where("_n > 1").select("row_no", F.lit(f"重复行，按策略 {d['strategy']} 保留另一条" if d["strategy"] != "sum" else f"重复行，已按 sum 策略合并（keys={keys}）").alias("message"))
+        return rows
+    fields = [c for c in rows.columns if c not in (*keys, "row_no")]
     if d["strategy"] != "sum":
-        return ranked.where("_n = 1").drop("_n"), gone
-    values = [c for c in rows.columns if c not in (*keys, "row_no", "raw")]
-    numeric = [c for c in values if c in NUMERIC_FIELDS]
-    first = [F.min(F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.struct("row_no", F.col(c).alias("v"))))["v"].alias(c) for c in values if c not in numeric]
-    sums = [F.sum(c).cast(rows.schema[c].dataType).alias(c) for c in numeric]
-    merged = rows.groupBy(*keys).agg(F.min("row_no").alias("row_no"), F.min(F.struct("row_no", "raw"))["raw"].alias("raw"), *first, *sums)
-    if null_as_zero and numeric:
-        seen = rows.agg(*[F.max(F.col(c).isNotNull()).alias(c) for c in numeric]).first()
-        merged = merged.withColumns({c: F.coalesce(c, F.lit(0).cast(rows.schema[c].dataType)) for c in numeric if seen[c]})
-    return merged, gone
-
-
-def normalise(raw: DataFrame, header: list[str], spec: Spec, upload_id: int = 0) -> Normalised:
-    """raw: row_no and cells of one file or of files with the same header."""
+        pick = F.min_by if d["strategy"] == "first" else F.max_by
+        return rows.groupBy(*keys).agg(pick(F.struct("row_no", *fields), "row_no").alias("r")).select(*keys, "r.*")
+    numeric = [c for c in fields if c in NUMERIC_FIELDS]
+    first = [F.min(F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.struct("row_no", F.col(c).alias("v"))))["v"].alias(c) for c in fields if c not in numeric]
+    merged = rows.groupBy(*keys).agg(F.min("row_no").alias("row_no"), *first, *[F.sum(c).cast(rows.schema[c].dataType).alias(c) for c in numeric])
+    if not (null_as_zero and numeric):
+        return merged
+    seen = merged.agg(*[F.max(F.col(c).isNotNull()).alias(f"_{c}") for c in numeric])  # one row
+    zero = {c: F.coalesce(F.col(c), F.when(F.col(f"_{c}"), F.lit(0).cast(rows.schema[c].dataType))) for c in numeric}
+    return merged.crossJoin(F.broadcast(seen)).withColumns(zero).select(*merged.columns)
+
+
+def typed(raw: DataFrame, header: list[str], spec: Spec) -> DataFrame:
+    """raw (row_no, cells) -> row_no, raw, the cast fields, shop_code, platform_key and the row's errors.
+
+    Every cell is cast once: a generator stands between the casts and what tests their results, since a filter on them
+    would otherwise move below and cast again.
+    """
     source = spec.resolve(header)
     place = {h: i for i, h in enumerate(header)}
     cell = lambda h: F.coalesce(F.get("cells", F.lit(place[h])), F.lit(""))
     snapshot = F.to_json(F.map_from_arrays(F.array(*[F.lit(h) for h in header]), F.slice("cells", 1, len(header))))
-
     cast: dict[str, Column] = {}
     errors: list[Column] = []
     for u, h in source.items():
@@ -120,39 +122,44 @@ def normalise(raw: DataFrame, header: list[str], spec: Spec, upload_id: int = 0)
         cast[u] = value
         if kind:
             errors.append(F.when(F.col(f"_{u}.failed"), F.struct(F.lit(kind).alias("error_type"), F.concat(F.lit(f"字段 {u} 无法解析："), cell(h)).alias("error_message"))))
-    wide = raw.select("row_no", "cells", *[v.alias(f"_{u}") for u, v in cast.items()])
-    typed = wide.select("row_no", "cells", snapshot.alias("raw"), *[F.col(f"_{u}.value").alias(u) for u in cast], F.array_compact(F.array(*errors) if errors else F.lit(None).cast(ERROR)).alias("_errors"))
-    good = typed.where(F.size("_errors") == 0).drop("_errors")
-    failed = typed.where(F.size("_errors") > 0).select("row_no", "raw", F.explode("_errors").alias("e")).select("row_no", "e.*", "raw")
-
-    code = [blank_to_null(F.col(c)) for c in ("shop_code", "shop_name") if c in cast]
-    good = good.withColumns({"shop_code": F.coalesce(*code, F.lit("__UNKNOWN__")), "platform_key": F.lit(spec.platform_key)})
-    none = F.lit(None).cast("string")
+    once = raw.select(F.inline(F.array(F.struct("row_no", "cells", snapshot.alias("raw"), *[v.alias(f"_{u}") for u, v in cast.items()]))))
+    own = {u: F.col(f"_{u}.value") for u in cast}
+    own["shop_code"] = F.coalesce(*[blank_to_null(own[c]) for c in ("shop_code", "shop_name") if c in cast], F.lit("__UNKNOWN__"))
+    own["platform_key"] = F.lit(spec.platform_key)
 
     def target(c: str) -> Column:
-        if c in good.columns:
-            return F.col(c)
-        return cell(c) if c in place else none
-
-    reasons = [F.when(~passes(target(f["column"]), f), F.lit(f"被过滤：{f['column']} {f['op']}")) for f in spec.row_filters]
-    judged = good.withColumn("_why", F.coalesce(*reasons, none))
-    filtered = judged.where("_why is not null").select("row_no", F.lit("filtered_out").alias("error_type"), F.col("_why").alias("error_message"), "raw")
-    kept = judged.where("_why is null").drop("_why", "cells")
-    merged, gone = merge_rows(kept, spec)
-    repeated = gone.join(raw.select("row_no", snapshot.alias("raw")), "row_no").select("row_no", F.lit("duplicate_row").alias("error_type"), F.col("message").alias("error_message"), "raw")
-
-    full = merged
+        return own[c] if c in own else cell(c) if c in place else F.lit(None).cast("string")
+
+    why = F.lit(None).cast("string")
+    for f in reversed(spec.row_filters):
+        why = F.when(~passes(target(f["column"]), f), F.lit(f"被过滤：{f['column']} {f['op']}")).otherwise(why)
+    bad = F.array_compact(F.array(*errors)) if errors else F.array().cast(ERROR)
+    out = F.array_compact(F.array(F.when(why.isNotNull(), F.struct(F.lit("filtered_out").alias("error_type"), why.alias("error_message")))))
+    checked = once.withColumn("_bad", bad)
+    return checked.select(F.inline(F.array(F.struct("row_no", "raw", *[v.alias(u) for u, v in own.items()], F.when(F.size("_bad") > 0, F.col("_bad")).otherwise(out).alias("_errors")))))
+
+
+def normalise(raw: DataFrame, header: list[str], spec: Spec, upload_id: int = 0, keep: Callable[[DataFrame], DataFrame] | None = None) -> Normalised:
+    """raw: row_no and cells of one file or of files with the same header."""
+    rows = (keep or (lambda df: df))(typed(raw, header, spec))
+    good = rows.where(F.size("_errors") == 0).drop("_errors")
+    merged = merge_rows(good.drop("raw"), spec)
+    # the texts of rows don't go through the merge; they meet its rows by number
+    met = good.select("row_no", "raw").join(merged.withColumn("_kept", F.lit(True)), "row_no", "left")
+    message = "重复行，已按 sum 策略合并（keys=%s）" % [k for k in spec.dedup["keys"] if k in good.columns] if spec.dedup["strategy"] == "sum" else f"重复行，按策略 {spec.dedup['strategy']} 保留另一条"
+    repeated = met.where("_kept is null").select("row_no", F.lit("duplicate_row").alias("error_type"), F.lit(message).alias("error_message"), "raw")
+    full = met.where("_kept").drop("_kept")
     for f in FACTS:
         if f.name not in full.columns and f.name not in ("upload_id", "raw_row_json", "net_amount"):
             full = full.withColumn(f.name, F.lit(None).cast(f.dataType))
     computed = full.withColumn("net_amount", F.bround(formula.compiled(spec.metric_semantics["net_amount_formula"]), 2).try_cast("decimal(14,2)"))
-    why = F.when(F.col("gmv").isNull(), F.struct(F.lit("number_parse_failed").alias("error_type"), F.lit("必需列 gmv 缺失或无法解析，整行判为无效").alias("error_message")))
-    why = why.when(F.col("stat_date").isNull(), F.struct(F.lit("date_parse_failed").alias("error_type"), F.lit("必需列 stat_date 缺失或无法解析，整行判为无效").alias("error_message")))
-    why = why.when(F.col("net_amount").isNull(), F.struct(F.lit("number_parse_failed").alias("error_type"), F.lit("net_amount 计算失败").alias("error_message")))
-    checked = computed.withColumn("_why", why)
+    error = lambda kind, text: F.struct(F.lit(kind).alias("error_type"), F.lit(text).alias("error_message"))
+    why = F.when(F.col("gmv").isNull(), error("number_parse_failed", "必需列 gmv 缺失或无法解析，整行判为无效")).when(F.col("stat_date").isNull(), error("date_parse_failed", "必需列 stat_date 缺失或无法解析，整行判为无效"))
+    checked = computed.withColumn("_why", why.when(F.col("net_amount").isNull(), error("number_parse_failed", "net_amount 计算失败")))
     invalid = checked.where("_why is not null").select("row_no", "_why.*", "raw")
     facts = checked.where("_why is null").withColumns({"upload_id": F.lit(upload_id).cast("long"), "raw_row_json": F.col("raw"), "platform_product_code": F.coalesce("platform_product_code", F.lit(""))})
     facts = facts.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in FACTS])
-    bad = failed.unionByName(filtered).unionByName(repeated).unionByName(invalid)
+    failed = rows.where(F.size("_errors") > 0).select("row_no", F.explode("_errors").alias("e"), "raw").select("row_no", "e.*", "raw")
+    bad = failed.unionByName(repeated).unionByName(invalid)
     content = F.when(F.length("raw") <= MOST_CONTENT, F.col("raw")).otherwise(F.concat(F.left("raw", F.lit(MOST_CONTENT)), F.lit("…")))
-    return Normalised(facts, bad.select(F.lit(upload_id).cast("long").alias("upload_id"), F.col("row_no").alias("row_number"), "error_type", "error_message", content.alias("raw_content")), raw)
+    return Normalised(facts, bad.select(F.lit(upload_id).cast("long").alias("upload_id"), F.col("row_no").alias("row_number"), "error_type", "error_message", content.alias("raw_content")), rows)

@@ -223,6 +223,12 @@ def read(spark: SparkSession, paths: str | list[str], matching: FileMatching) ->
 
 def parsed(files: DataFrame, matching: FileMatching) -> DataFrame:
     """files: path, content, sha256, one row each."""
+    names = [c.split()[0] for c in PARSED.split(", ")]
+
+    def frame(rows: list[dict]) -> pd.DataFrame:
+        """Absent values are None in columns of objects, and nullable integers in those of numbers."""
+        columns = {n: pd.Series([r.get(n) for r in rows], dtype="Int64" if n in ("row_no", "header_row_index", "dropped_empty_rows") else object) for n in names}
+        return pd.DataFrame(columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -231,11 +237,11 @@ def parsed(files: DataFrame, matching: FileMatching) -> DataFrame:
                 try:
                     got = parse(bytes(content), path.rpartition("/")[2], matching)
                 except RetailError as e:
-                    yield pd.DataFrame([base | {"error_code": e.code, "error_message": e.message}], dtype=object).reindex(columns=[c.split()[0] for c in PARSED.split(", ")])
+                    yield frame([base | {"error_code": e.code, "error_message": e.message}])
                     continue
                 rows = got.pop("rows")
                 for i in range(0, max(len(rows), 1), 10_000):
                     some = rows[i : i + 10_000] or [None]
-                    yield pd.DataFrame([base | got | {"row_no": got["header_row_index"] + 1 + i + j if r is not None else None, "cells": r} for j, r in enumerate(some)])[[c.split()[0] for c in PARSED.split(", ")]].astype({"row_no": "Int64"})
+                    yield frame([base | got | {"row_no": got["header_row_index"] + 1 + i + j if r is not None else None, "cells": r} for j, r in enumerate(some)])
 
     return files.select("path", "content", "sha256").mapInPandas(run, PARSED)
