@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from tallyhouse.functions.columns import normal_name, similarity
 
 HIGH, MEDIUM, LEAST_POOL = 90.0, 75.0, 5
+RANGES = 1024
 
 
 def match_codes(codes: DataFrame, mappings: DataFrame, skus: DataFrame) -> DataFrame:
@@ -63,9 +64,14 @@ def upserted(mappings: DataFrame, changes: DataFrame) -> DataFrame:
     new = changes.select(*key, *[F.col(c).alias("_" + c) for c in ("platform_product_name", "sku_id", "match_type", "confidence")], F.lit(True).alias("_new"))
     both = mappings.join(new, key, "full_outer")
     keep = F.col("_new").isNull() | (F.col("_sku_id").isNull() & F.col("sku_id").isNotNull())
-    top = mappings.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    fresh = F.when(F.col("id").isNull(), F.struct(*key))
-    number = F.coalesce("id", F.lit(top) + F.dense_rank().over(Window.orderBy(fresh.asc_nulls_last())))
+    top = mappings.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))  # one row
+    # new rows are numbered within the ranges of a hash, and these go on from one another
+    both = both.crossJoin(F.broadcast(top)).withColumn("_range", F.when(F.col("id").isNull(), F.pmod(F.xxhash64(*key), F.lit(RANGES))))
+    sizes = both.where("_range is not null").groupBy("_range").agg(F.count("*").alias("n"))
+    starts = sizes.select(F.col("_range").alias("_r"), (F.sum("n").over(Window.orderBy("_range")) - F.col("n")).alias("_start"))  # RANGES rows at most
+    nth = F.row_number().over(Window.partitionBy("_range").orderBy(*key))
+    old, new_rows = both.where("_range is null"), both.where("_range is not null").withColumn("_nth", nth).join(F.broadcast(starts), F.col("_range") == F.col("_r"))
+    both = old.unionByName(new_rows.withColumn("id", F.col("_top") + F.col("_start") + F.col("_nth")).select(*old.columns))
     name = F.when(F.coalesce("_platform_product_name", F.lit("")) == "", F.col("platform_product_name")).otherwise(F.col("_platform_product_name"))
     pick = lambda c: F.when(keep, F.col(c)).otherwise(F.col("_" + c)).alias(c)
-    return both.select(number.alias("id"), *key, name.alias("platform_product_name"), *[pick(c) for c in ("sku_id", "match_type", "confidence")])
+    return both.select("id", *key, name.alias("platform_product_name"), *[pick(c) for c in ("sku_id", "match_type", "confidence")])

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse import oracle
+from tallyhouse import oracle, oracle_dirty
 from tallyhouse.functions.columns import divide
 from tallyhouse.operators import anomaly
 from tallyhouse.operators.metrics import rollup, with_costs
-from tallyhouse.plans import bridge, daily, weekly
+from tallyhouse.plans import bridge, daily, dirty, weekly
 from tallyhouse.schema import DEFAULT_RULES, RULES
 
 DAY = bridge.DAY
@@ -125,4 +125,5 @@ def weekly_top_skus(spark, d):
     return weekly.hot_list(_facts(spark, d, rounded=False), bridge.skus(spark, d), bridge.channels(spark), DAY)
 
 
-ORACLE_SQL: dict[str, str] = dict(oracle.SQL)
+QUERIES.update(dirty.QUERIES)
+ORACLE_SQL: dict[str, str] = {**oracle.SQL, **oracle_dirty.SQL}
