@@ -1,7 +1,7 @@
 """Mixing sources to target weights.
 
-Every document gets a hash-random key. The keys of a source are cut into even ranges by their first bits, rows are
-sorted within each range, and prefix sums of word counts are made in two levels: within a range, and over the ranges
+Every document gets a hash-random key. The keys of a source are cut into even ranges by their first bits, so many that a
+range has about ``per_range`` rows at most whatever the table's size, rows are sorted within each range, and prefix sums of word counts are made in two levels: within a range, and over the ranges
 of a source. Each source is cut at its exact budget: a source whose target is over its size is gone through again, and
 the document at the cut gives its first words only.
 
@@ -51,14 +51,16 @@ def targets(sizes: DataFrame, scratch: Scratch, share: float = 1.5, cap: float =
     return now.withColumn("target", F.least(limit, F.col("weight") * level))
 
 
-def mix(docs: DataFrame, scratch: Scratch, seed: int = 11, ranges_bits: int = 10, **shares: float) -> DataFrame:
+def mix(docs: DataFrame, scratch: Scratch, seed: int = 11, per_range: int = 1 << 16, **shares: float) -> DataFrame:
     """docs: doc_id, source, size and the tie-breaker text_key. Adds source_size, target and taken.
 
     taken counts the words of all passes: with budget b and size s of a source, pass e takes what of words e*s to b
     falls on the document.
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    keyed = scratch.keep(docs.withColumn("_key", key).withColumn("_range", F.shiftright(F.conv(F.substring("_key", 1, 4), 16, 10).cast("int"), 16 - ranges_bits)))
+    keyed = scratch.keep(docs.withColumn("_key", key))
+    bits = min(40, max(10, (keyed.count() // per_range).bit_length()))
+    keyed = keyed.withColumn("_range", F.shiftright(F.conv(F.substring("_key", 1, 10), 16, 10).cast("long"), 40 - bits))
     in_range = keyed.groupBy("source", "_range").agg(F.sum("size").alias("n"))
     ranges = scratch.keep(in_range.withColumn("_start", F.sum("n").over(Window.partitionBy("source").orderBy("_range")) - F.col("n")))
     goals = scratch.keep(targets(ranges.groupBy("source").agg(F.sum("n").alias("source_size")), scratch, **shares).select(F.col("source").alias("_source"), "source_size", "target"))
