@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 from tallyhouse.llm.common import Scratch, lower_ascii, whole
 from tallyhouse.llm.components import connected_components
 
-MOST_RULES = 1000
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -41,18 +39,26 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return lower_ascii(F.regexp_extract(whole(url), pattern, 1)), F.regexp_extract(whole(url), pattern, 2)
 
 
-def fitting_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
-    """The longest rule that fits, allow before block among equals, as struct(rule, verdict); null if none.
+def suffixes(host: Column) -> Column:
+    """A host and its parent domains."""
+    labels = F.split(host, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
+
+def with_rule(df: DataFrame, rules: DataFrame) -> DataFrame:
+    """df (host, path) with ``fit``: the longest rule that fits, allow before block among equals, or null.
 
-    The rules become one expression; there may be 1,000 at most.
+    rules: host, path, verdict, any number of them. Hosts meet rules by their suffixes, each place once; Spark
+    broadcasts the rules while they are small. Of the rules that meet a place the best is kept before the shuffle.
     """
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; the expression takes {MOST_RULES}")
-    best = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for r in sorted(rules, key=lambda r: (len(r.name), r.verdict == "allow", r.name)):
-        fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
-        best = F.when(fits, F.struct(F.lit(r.name).alias("rule"), F.lit(r.verdict).alias("verdict"))).otherwise(best)
-    return best
+    places = df.select("host", "path").distinct()
+    named = rules.select(F.col("host").alias("_suffix"), F.col("path").alias("_start"), F.col("verdict").alias("_verdict"))
+    met = places.withColumn("_suffix", F.explode(suffixes(F.col("host")))).join(named, "_suffix").where(F.col("path").startswith(F.col("_start")))
+    name = F.concat("_suffix", "_start")
+    best = met.groupBy("host", "path").agg(F.max(F.struct(F.length(name).alias("n"), (F.col("_verdict") == "allow").alias("allow"), name.alias("rule"))).alias("b"))
+    fit = F.struct(F.col("b.rule").alias("rule"), F.when(F.col("b.allow"), "allow").otherwise("block").alias("verdict"))
+    found = best.select(F.col("host").alias("_h"), F.col("path").alias("_p"), fit.alias("fit"))
+    return df.join(found, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left").drop("_h", "_p")
 
 
 def node(url: Column) -> Column:
@@ -85,19 +91,27 @@ def page_links(html: Column) -> Column:
     return F.when(html.rlike(r"(?i)canonical|refresh"), found)
 
 
-def judge(pages: DataFrame, rules: list[Rule], scratch: Scratch, redirects: DataFrame | None = None) -> DataFrame:
-    """pages (page_id, url, html) -> page_id, host, path, rule, verdict. redirects: observed (src, dst) urls."""
+def judge(pages: DataFrame, rules: list[Rule] | DataFrame, scratch: Scratch, redirects: DataFrame | None = None) -> DataFrame:
+    """pages (page_id, url, html) -> page_id, host, path, rule, verdict. redirects: observed (src, dst) urls.
+
+    rules: a list, or a table of host, path and verdict with any number of rows.
+    """
+    if not isinstance(rules, DataFrame):
+        rules = pages.sparkSession.createDataFrame([(r.host, r.path, r.verdict) for r in rules], "host string, path string, verdict string")
     host, path = host_and_path(F.col("url"))
-    own = scratch.keep(pages.select("page_id", host.alias("host"), path.alias("path"), fitting_rule(host, path, rules).alias("own"), node(F.col("url")).alias("node"), F.transform(page_links(F.col("html")), lambda t: node(absolute(t, F.col("url")))).alias("links")))
+    own = scratch.keep(pages.select("page_id", host.alias("host"), path.alias("path"), node(F.col("url")).alias("node"), F.transform(page_links(F.col("html")), lambda t: node(absolute(t, F.col("url")))).alias("links")))
     edges = own.where("links is not null").select(F.col("node").alias("a"), F.explode("links").alias("b"))
     if redirects is not None:
         edges = edges.union(redirects.select(node(F.col("src")), node(F.col("dst"))))
     comp = scratch.keep(connected_components(edges.where("a is not null and b is not null"), scratch))
+    judged = with_rule(own, rules)
     if comp.isEmpty():
-        judged = own.withColumn("blocked", F.lit(False))
+        judged = judged.withColumn("blocked", F.lit(False))
     else:
         h, p = F.regexp_extract("node", "^([^/?]*)", 1), F.regexp_extract("node", r"^[^/?]*([^?]*)", 1)
-        bad = comp.groupBy("component").agg(F.max(F.coalesce(fitting_rule(h, p, rules)["verdict"] == "block", F.lit(False))).alias("blocked"))
-        judged = own.join(comp.join(bad.where("blocked"), "component").select("node", "blocked"), "node", "left")
+        members = with_rule(comp.select("node", "component", h.alias("host"), p.alias("path")), rules)
+        bad = members.where("fit.verdict = 'block'").select("component").distinct()
+        aliases = comp.join(bad, "component").select(F.col("node").alias("_node"), F.lit(True).alias("blocked"))
+        judged = judged.where("node is not null").join(aliases, F.col("node") == F.col("_node"), "left").drop("_node").unionByName(judged.where("node is null").withColumn("blocked", F.lit(None).cast("boolean")))
     by_alias = F.when(F.coalesce("blocked", F.lit(False)), "block").otherwise("allow")
-    return judged.select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.coalesce(F.col("own.verdict"), by_alias).alias("verdict"))
+    return judged.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.verdict"), by_alias).alias("verdict"))
