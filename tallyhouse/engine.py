@@ -129,7 +129,7 @@ class Engine:
         own = self.adapter(platform_key)
         rows = files.parsed(one, own.file_matching)
         first = self._first(rows)
-        return normalise(rows.where("cells is not null").select("row_no", "cells"), first["header"], own, upload_id), own, first
+        return normalise(rows.where("cells is not null").select("row_no", "cells"), first["header"], own, upload_id, lambda df: self.store.staged(f"staging/{upload_id}", df)), own, first
 
     @staticmethod
     def _probe() -> spec.FileMatching:
@@ -177,18 +177,18 @@ class Engine:
         done, own, _ = self._parsed(upload_id, up.platform_key)
         stats = done.stats()
         facts, codes = identity.attach(done.facts, self.store.table("sku_mappings"), self.store.table("skus"))
-        found = collected(codes)
         self._drop_reports(done.facts.select("stat_date"))
         with self.store.writing():
             self.store.put_upload("upload_errors", upload_id, done.errors)
             if up.status == "committed":
                 self._drop_reports(self.store.table("sales_facts").where(F.col("upload_id") == upload_id).select("stat_date"), locked=True)
             self.store.put_upload("sales_facts", upload_id, facts)
-            changes = self._changes([(c["platform_key"], c["platform_product_code"], c["platform_product_name"], c["sku_id"], c["match_type"], Decimal(1 if c["sku_id"] else 0)) for c in found if c["match_type"] != "mapping"])
+            matched = {r.match_type: r["count"] for r in codes.groupBy("match_type").count().collect()}
+            changes = codes.where("match_type <> 'mapping'").withColumn("confidence", F.when(F.col("sku_id").isNotNull(), 1).otherwise(0).cast("decimal(5,4)"))
             self.store.replace("sku_mappings", identity.upserted(self.store.table("sku_mappings"), changes))
         self._set_upload(id=upload_id, status="committed", row_count_total=stats["total"], row_count_valid=stats["valid"], row_count_error=stats["failed"])
         last = self.store.table("sales_facts").where(F.col("upload_id") == upload_id).agg(F.max("stat_date")).first()[0]
-        return stats | {"latest_date": plain(last), "unmapped_codes": sum(c["sku_id"] is None for c in found), "matched": {k: sum(c["match_type"] == k for c in found) for k in ("mapping", "exact", "unmapped")}}
+        return stats | {"latest_date": plain(last), "unmapped_codes": matched.get("unmapped", 0), "matched": {k: matched.get(k, 0) for k in ("mapping", "exact", "unmapped")}}
 
     def _changes(self, rows: list[tuple]) -> DataFrame:
         return self.spark.createDataFrame(rows, "platform_key string, platform_product_code string, platform_product_name string, sku_id long, match_type string, confidence decimal(5,4)")
@@ -284,7 +284,7 @@ class Engine:
     def map_products(self, pairs: list[tuple[str, str, int | None]], match_type: str = "manual", confidence: float = 1.0) -> int:
         """Map (platform_key, code) to SKUs, all or none, and write the SKU into committed facts. Counts pairs."""
         self._require_skus(sorted({s for *_, s in pairs if s is not None}))
-        changes = self._changes([(k, c, None, s, match_type if s is not None else "unmapped", Decimal(str(confidence if s is not None else 0))) for k, c, s in pairs])
+        changes = self._changes([(k, c, None, s, match_type, Decimal(str(confidence))) for k, c, s in pairs])
         with self.store.writing():
             self.store.replace("sku_mappings", identity.upserted(self.store.table("sku_mappings"), changes))
             self._backfill(changes.where("sku_id is not null").select("platform_key", "platform_product_code", F.col("sku_id").alias("_new")))

@@ -34,25 +34,43 @@ def attach(facts: DataFrame, mappings: DataFrame, skus: DataFrame) -> tuple[Data
     return out, named.join(found, key)
 
 
+def _letters(c):
+    """The characters of a name with the number of the same ones before each."""
+    return F.transform(F.split(c, ""), lambda x, i: F.concat(x, F.size(F.filter(F.slice(F.split(c, ""), F.lit(1), i), lambda y: y == x)).cast("string")))
+
+
+def _rarest(names: DataFrame, name: str, marks: DataFrame, cutoff: float) -> DataFrame:
+    """name, _ch: the characters of which a likely name must have one. A score of c over lengths a and b needs c/200 * (a + b)
+    characters in common, and b is c/(200 - c) of a at least."""
+    need = F.ceil(F.length(name) * (cutoff / (200.0 - cutoff)) - 1e-9)
+    ranked = names.withColumn("_ch", F.explode(_letters(F.col(name)))).join(marks, "_ch").withColumn("_nth", F.row_number().over(Window.partitionBy(name).orderBy("_often", "_ch")))
+    return ranked.where(F.col("_nth") <= F.length(name) - need + 1).select(name, "_ch")
+
+
 def candidates(products: DataFrame, skus: DataFrame, k: int = 3, cutoff: float = MEDIUM) -> DataFrame:
     """products: key columns, product_name, category. The k likeliest active SKUs of each with score, band and rank.
 
     SKUs of the product's category are asked if there are at least five, else all. Equal scores go by SKU number.
-    A score of ``cutoff`` needs both a length ratio and a common character, so SKUs meet products by character.
+    A score of ``cutoff`` needs a length ratio and so many characters in common that two names share one of the rarest of
+    each (the prefix filter), so names meet by these.
     """
     keys = [c for c in products.columns if c not in ("product_name", "category")]
     target = products.withColumn("_t", normal_name(F.col("product_name"))).where("_t <> ''")
     pool = skus.where("status = 'active'").select(F.col("id").alias("sku_id"), "sku_code", F.col("name").alias("sku_name"), F.col("category").alias("_c"), normal_name(F.col("name")).alias("_s")).where("_s <> ''")
     sizes = skus.where("status = 'active'").groupBy(F.col("category").alias("_cat")).agg(F.count("*").alias("_n"))
     target = target.join(sizes, F.col("category") == F.col("_cat"), "left").withColumn("_own", F.coalesce(F.col("_n") >= LEAST_POOL, F.lit(False)) & (F.coalesce("category", F.lit("")) != "")).drop("_cat", "_n")
-    letters = lambda c: F.explode(F.array_distinct(F.filter(F.split(c, ""), lambda x: (x != "") & (x != " "))))
-    met = target.withColumn("_ch", letters("_t")).join(pool.withColumn("_ch", letters("_s")), "_ch").where(~F.col("_own") | (F.col("category") == F.col("_c")))
+    # names are compared once each, and of SKUs with one name and category the first k can be asked for
+    first = F.row_number().over(Window.partitionBy("_s", "_c").orderBy("sku_id"))
+    pool = pool.withColumn("_nth", first).where(F.col("_nth") <= k).drop("_nth")
+    left, right = target.select("_t").distinct(), pool.select("_s").distinct()
+    marks = left.select(F.explode(_letters(F.col("_t"))).alias("_ch")).union(right.select(F.explode(_letters(F.col("_s"))))).groupBy("_ch").agg(F.count("*").alias("_often"))
+    met = _rarest(left, "_t", marks, cutoff).join(_rarest(right, "_s", marks, cutoff), "_ch")
     bound = 200.0 * F.least(F.length("_t"), F.length("_s")) / (F.length("_t") + F.length("_s")) >= cutoff
-    pairs = met.where(bound).select(*keys, "_t", "_s", "sku_id", "sku_code", "sku_name").distinct()
-    scored = pairs.withColumn("score", similarity(F.col("_t"), F.col("_s"))).where(F.col("score") >= cutoff)
+    scored = met.where(bound).select("_t", "_s").distinct().withColumn("score", similarity(F.col("_t"), F.col("_s"))).where(F.col("score") >= cutoff)
+    pairs = target.join(scored, "_t").join(pool, "_s").where(~F.col("_own") | (F.col("category") == F.col("_c")))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "sku_id"))
     band = F.when(F.col("score") >= HIGH, "high").otherwise("medium")
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select(*keys, "sku_id", "sku_code", "sku_name", "score", band.alias("band"), "rank")
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select(*keys, "sku_id", "sku_code", "sku_name", "score", band.alias("band"), "rank")
 
 
 def upserted(mappings: DataFrame, changes: DataFrame) -> DataFrame:

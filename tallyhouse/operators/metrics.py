@@ -97,12 +97,6 @@ def rollup(facts: DataFrame, keys: list[str], day: dt.date, total_net: bool = Tr
     sums = of_three_days(facts, day).groupBy(*keys).agg(*period_sums(day)).where("rows > 0")
     if not total_net:
         return sums.select(*keys, *blocks(compare))
-    whole = F.sum("net_amount").over(_all_rows())
-    return sums.withColumn("share", F.round(divide(F.col("net_amount"), whole), 4)).select(*keys, *blocks(compare), "share")
-
-
-def _all_rows():
-    """One window over all rows of a dimension: their number is that of its keys, not of facts."""
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy(F.lit(0))
+    whole = sums.agg(F.sum("net_amount").alias("_whole"))  # one row
+    shared = sums.crossJoin(F.broadcast(whole)).withColumn("share", F.round(divide(F.col("net_amount"), F.col("_whole")), 4))
+    return shared.select(*keys, *blocks(compare), "share")

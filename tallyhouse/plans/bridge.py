@@ -18,9 +18,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem with its supplier and part as sales facts. Dates filter the scan; unused columns are never read."""
+def facts(spark: SparkSession, sf_dir: str, products: int | None = None) -> DataFrame:
+    """lineitem with its supplier and part as sales facts. Dates filter the scan; unused columns are never read.
+
+    products: deal the sales to the first so many products, so that each sells on most days.
+    """
     li, supplier, part = (read(spark, sf_dir, t) for t in ("lineitem", "supplier", "part"))
+    if products:
+        li = li.withColumn("l_partkey", F.col("l_partkey") % products + 1)
     rows = li.join(supplier.select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey")).join(part.select("p_partkey", "p_name", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
     gmv = F.col("l_extendedprice").cast("decimal(14,2)")
     share = lambda c: F.round(gmv * F.col(c).cast("decimal(4,2)"), 2).cast("decimal(14,2)")

@@ -138,6 +138,12 @@ def top(sku_rows: DataFrame, kind: str, n: int = 10) -> DataFrame:
     return sku_rows.where(where).select(*TOP_COLUMNS).orderBy(order, F.coalesce("net_amount", F.lit(0.0)).desc(), "sku_id").limit(n)
 
 
+def ranked(sku_rows: DataFrame, kind: str, n: int = 10) -> DataFrame:
+    """top() with rank from 1; the window sees n rows."""
+    order = {"by_gmv": F.col("gmv").desc(), "by_growth": F.col("gmv_dod").desc(), "by_decline": F.col("gmv_dod").asc(), "by_refund": F.col("refund_rate").desc()}[kind]
+    return top(sku_rows, kind, n).withColumn("rank", F.row_number().over(Window.orderBy(order, F.coalesce("net_amount", F.lit(0.0)).desc(), "sku_id")))
+
+
 def missing_platforms(facts: DataFrame, channels: DataFrame, day: dt.date) -> DataFrame:
     present = facts.where(F.col("stat_date") == F.lit(day)).select("platform_key").distinct()
     return channels.select("platform_key", "display_name").join(present, "platform_key", "left_anti")

@@ -21,8 +21,12 @@ def query(f):
     return f
 
 
-def _facts(spark: SparkSession, d: str, rounded: bool = True) -> DataFrame:
-    return with_costs(bridge.facts(spark, d), bridge.skus(spark, d), bridge.channels(spark), rounded)
+#: Products that sell on most days, for the queries that compare a product's days.
+PRODUCTS = 40
+
+
+def _facts(spark: SparkSession, d: str, rounded: bool = True, products: int | None = None) -> DataFrame:
+    return with_costs(bridge.facts(spark, d, products), bridge.skus(spark, d), bridge.channels(spark), rounded)
 
 
 def _plain(name: str, plan):
@@ -49,7 +53,7 @@ _plain("daily_trend_30d", lambda f: daily.trend(f, DAY))
 _plain("trend_promo_flags", lambda f: daily.promo_days(daily.trend(f, DAY)))
 _plain("cost_coverage", lambda f: daily.cost_coverage(f, DAY))
 _plain("gmv_attribution", lambda f: daily.gmv_attribution(f, DAY))
-_named("missing_platforms", lambda f, c: daily.missing_platforms(f, c, DAY))
+_named("missing_platforms", lambda f, c: daily.missing_platforms(daily.scoped(f, ["jd", "taobao"]), c, DAY))
 _named("shipping_note", lambda f, c: daily.shipping_note(f, c, DAY))
 _plain("scope_filter", lambda f: daily.overall(daily.scoped(f, ["jd", "taobao"], ["Supplier#000000003", "Supplier#000000004", "Supplier#000000007"]), DAY))
 _plain("profit_rows", lambda f: daily.in_window(f, DAY).select("upload_id", "row_no", *[F.col(c).cast("double").alias(c) for c in ("cogs", "platform_fee", "fulfillment_cost", "gross_profit")]))
@@ -72,23 +76,33 @@ def by_sku_mapped(spark, d):
     return daily.by_sku(_facts(spark, d), bridge.skus(spark, d), bridge.channels(spark), DAY)
 
 
+def _top(kind: str, products: int | None):
+    """A top list with its ranks."""
+    def run(spark, d):
+        rows = daily.by_sku(_facts(spark, d, products=products), bridge.skus(spark, d), bridge.channels(spark), DAY)
+        return daily.ranked(rows, f"by_{kind}")
+
+    return run
+
+
 for _kind in ("gmv", "growth", "decline", "refund"):
-    QUERIES[f"top_{_kind}"] = lambda spark, d, k=f"by_{_kind}": daily.top(by_sku_mapped(spark, d), k)
+    QUERIES[f"top_{_kind}"] = _top(_kind, None if _kind in ("gmv", "refund") else PRODUCTS)
 
 
-def rules(spark: SparkSession) -> DataFrame:
-    rows = ", ".join(f"({i}L, '{n}', '{m}', '{s}', '{o}', cast({t} as decimal(14,4)), cast({b} as decimal(14,2)), true)" for i, (n, m, s, o, t, b) in enumerate(DEFAULT_RULES, 1))
+def rules(spark: SparkSession, thresholds: dict[str, str] | None = None) -> DataFrame:
+    """The default rules, some with thresholds of their own by name."""
+    rows = ", ".join(f"({i}L, '{n}', '{m}', '{s}', '{o}', cast({(thresholds or {}).get(n, t)} as decimal(14,4)), cast({b} as decimal(14,2)), true)" for i, (n, m, s, o, t, b) in enumerate(DEFAULT_RULES, 1))
     return spark.sql(f"select * from values {rows} as t({', '.join(c.split()[0] for c in RULES.split(', '))})")
 
 
-def _alerts(spark, context: DataFrame) -> DataFrame:
-    found = anomaly.alerts(context, rules(spark))
+def _alerts(spark, context: DataFrame, thresholds: dict[str, str] | None = None) -> DataFrame:
+    found = anomaly.alerts(context, rules(spark, thresholds))
     return found.select("rule_id", "rule_name", "severity", "scope", "subject", "metric", F.round("value", 6).alias("value"), "threshold", F.round("overshoot", 6).alias("overshoot"))
 
 
 @query
 def anomalies_overall(spark, d):
-    return _alerts(spark, anomaly.subjects(_facts(spark, d), "overall", [], F.lit("整体"), DAY))
+    return _alerts(spark, anomaly.subjects(_facts(spark, d), "overall", [], F.lit("整体"), DAY), {"整体退款率超限": "0.001"})
 
 
 @query
@@ -100,7 +114,7 @@ def anomalies_platform(spark, d):
 
 @query
 def anomalies_sku(spark, d):
-    context = anomaly.subjects(_facts(spark, d).where("sku_id is not null"), "sku", ["sku_id"], F.col("sku_id"), DAY)
+    context = anomaly.subjects(_facts(spark, d, products=PRODUCTS).where("sku_id is not null"), "sku", ["sku_id"], F.col("sku_id"), DAY)
     names = bridge.skus(spark, d).select(F.col("id").alias("subject"), F.concat_ws(" ", "sku_code", "name").alias("_n"))
     return _alerts(spark, context.join(names, "subject", "left").withColumn("subject", F.coalesce("_n", F.concat(F.lit("SKU#"), F.col("subject").cast("string")))))
 

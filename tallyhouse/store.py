@@ -95,6 +95,11 @@ class Store:
             df = df.sortWithinPartitions("stat_date", "platform_key")
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("upload_id").parquet(f"{self.root}/{name}")
 
+    def staged(self, name: str, df: DataFrame) -> DataFrame:
+        """df written under a name of its own and read back: what follows reads it and does not make it again."""
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
     def drop_upload(self, name: str, upload_id: int) -> None:
         self.remove(f"{name}/upload_id={upload_id}")
 

@@ -1,5 +1,6 @@
 """Casting, names, formulas and filters against known values."""
 
+import random
 from decimal import Decimal
 
 import pytest
@@ -7,8 +8,9 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions import formula
 from tallyhouse.functions.columns import day, money, normal_name, similarity, whole_number
+from tallyhouse.operators import identity
 from tallyhouse.operators.normalize import cast_field, passes
-from tallyhouse.schema import RetailError
+from tallyhouse.schema import SKUS, RetailError
 
 
 def one(spark, value, column):
@@ -75,3 +77,29 @@ def test_filters(spark, op, extra, want):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(VALUES)], "i int, x string")
     got = df.where(passes(F.col("x"), {"op": op, **extra})).orderBy("i").collect()
     assert ",".join(str(r.x) for r in got) == want
+
+
+def plain_similarity(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row, above = [0], row
+        for j, y in enumerate(b):
+            row.append(above[j] + 1 if x == y else max(row[-1], above[j + 1]))
+    return 200 * row[-1] / (len(a) + len(b))
+
+
+def test_candidates_against_all_pairs(spark):
+    """The prefix filter loses no pair: the best three by brute force, ties by SKU."""
+    rng = random.Random(1)
+    name = lambda: "".join(rng.choices("abcde", k=rng.randint(3, 9)))
+    skus = [(i, f"S{i}", name(), "c1" if i < 20 else "c2", None, None, "active" if i % 9 else "inactive") for i in range(40)]
+    skus += [(100 + i, f"T{i}", skus[i][2], "c2", None, None, "active") for i in range(5)]
+    products = [(f"p{i}", name() if i % 3 else skus[i][2], rng.choice(["c1", "c2", "c3", None])) for i in range(40)]
+    got = {(r.code, r["rank"]): (r.sku_id, round(r.score, 6)) for r in identity.candidates(spark.createDataFrame(products, "code string, product_name string, category string"), spark.createDataFrame(skus, SKUS)).collect()}
+    want = {}
+    live = [s for s in skus if s[6] == "active"]
+    for code, text, category in products:
+        own = [s for s in live if s[3] == category]
+        found = sorted((-plain_similarity(text, s[2]), s[0]) for s in (own if category and len(own) >= 5 else live) if plain_similarity(text, s[2]) >= 75 - 1e-9)[:3]
+        want |= {(code, n): (i, round(-x, 6)) for n, (x, i) in enumerate(found, 1)}
+    assert got == want and len(want) > 20
