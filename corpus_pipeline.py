@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import jaccard, mixture, packing, pii, quality
+from tallyhouse.llm import jaccard, mixture, packing, pii, quality, simhash
 from tallyhouse.llm.common import Scratch, whole
+from tallyhouse.llm.components import connected_components
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -22,7 +23,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component stays: that of its smallest doc_id. Links are texts of 0.8 or more on 5-word shingles.
+    """One row of each component stays: that of its smallest doc_id.
+
+    Texts are linked if their fingerprints of 5-word shingles differ in 2 bits or fewer, which the covering tables find
+    whole, or if MinHash bands find them and their exact similarity on 5-word shingles is 0.8 or more.
 
     Rows that share this doc_id are told apart by the hash of their text, and whole copies among them by an aggregate
     over these rows alone. A component without any doc_id keeps the row with the smallest hash.
@@ -30,7 +34,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     texted = docs.select(*COLUMNS).withColumn("_h", F.xxhash64("text", "lang", "source", "n_chars"))
     prints = scratch.keep(texted.select("doc_id", "_h", jaccard.node().alias("node")))
-    groups = jaccard.components(texted.select(jaccard.node().alias("node"), "text"), scratch)
+    nodes = texted.select(jaccard.node().alias("node"), "text")
+    marks = scratch.keep(simhash.with_fingerprint(nodes, shingle=5).select("node", "fp"))
+    lead = scratch.keep(marks.groupBy("fp").agg(F.min("node").alias("lead")))  # one node stands for all of a fingerprint
+    same = marks.join(lead, "fp").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    near = simhash.links(lead.select("fp"), scratch).join(lead.select(F.col("fp").alias("a"), F.col("lead").alias("x")), "a").join(lead.select(F.col("fp").alias("b"), F.col("lead").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    groups = scratch.keep(connected_components(scratch.keep(jaccard.links(nodes, scratch).union(same).union(near)), scratch))
     parts = prints.join(groups, "node", "left").groupBy(F.coalesce("component", "node").alias("group"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h"))
     chosen = scratch.keep(parts.agg(first.alias("m")).select(F.col("m.doc_id").alias("doc_id"), F.col("m._h").alias("_h")))
@@ -68,7 +77,7 @@ def vector_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("personal_data", personal_data), ("source_mixture", source_mixture), ("vector_packing", vector_packing)]
 
-#: Tokenizer ids and fingerprints are beyond SQL; tests hold the stages against plain Python.
+#: Tokenizer ids and fingerprints are beyond SQL; a test holds near_dedup against plain Python, the other stages by their operators.
 ORACLE_SQL = None
 
 

@@ -4,8 +4,11 @@ A text's shingles are its runs of five words, A-Z folded, hashed to 64 bits. Six
 a pair of similarity 0.8 with probability 1 - (1 - 0.8 ** 4) ** 16, over 0.9998; every candidate is then held against
 the bar by its whole shingle sets, so that no pair under it is linked.
 
-No bucket is cut. First every member meets the smallest of its bucket; then members whose components still differ
-meet each other. A large group of copies is one component after the first step and costs its size, not its square.
+Members of a bucket don't meet each other but a lead: all meet the smallest, those that are not its likes meet the
+smallest among themselves, and so on for ``leads`` rounds. A round costs the size of what is left, so that a large group
+of copies costs its size, not its square. What a bucket then holds of texts unlike all its leads is not compared further
+there; a pair of likes is lost only if this befalls it in each of the buckets it shares. These links come on top of
+those of the covering tables of simhash, which lose none.
 
 Nulls and odd rows: a null or blank text has no shingles, and all of them are one node. A text of fewer words than a
 shingle is one shingle. Copies are one node. Extra columns are kept.
@@ -21,7 +24,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.llm.common import SPACES, Scratch, lower_ascii, whole
-from tallyhouse.llm.components import connected_components
 from tallyhouse.llm.simhash import FOLD
 
 BANDS, ROWS = 16, 4
@@ -50,8 +52,8 @@ def node(text: str = "text") -> Column:
     return F.xxhash64(F.when(F.btrim(body, F.lit(SPACES)) == "", "").otherwise(body))
 
 
-def components(docs: DataFrame, scratch: Scratch, size: int = 5, bar: float = 0.8) -> DataFrame:
-    """docs: a written table of node and text. (node, component) of all nodes linked to another one."""
+def links(docs: DataFrame, scratch: Scratch, size: int = 5, bar: float = 0.8, leads: int = 6) -> DataFrame:
+    """docs: a written table of node and text. Pairs (a, b) of nodes whose similarity is the bar or more."""
 
     @F.pandas_udf("array<bigint>")
     def keys(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -74,11 +76,13 @@ def components(docs: DataFrame, scratch: Scratch, size: int = 5, bar: float = 0.
         both = pairs.join(left, "a").join(right, "b").withColumn("_both", F.size(F.array_intersect("sa", "sb")))
         return both.where(F.col("_both") >= bar * (F.size("sa") + F.size("sb") - F.col("_both"))).select("a", "b")
 
-    first = scratch.keep(confirmed(full.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()))
-    comp = scratch.keep(connected_components(first, scratch))
-    placed = full.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
-    rest = scratch.keep(placed.join(mixed, "key"))
-    one, other = rest.select("key", F.col("node").alias("a"), F.col("c").alias("ca")), rest.select("key", F.col("node").alias("b"), F.col("c").alias("cb"))
-    second = confirmed(one.join(other, "key").where("ca < cb").select("a", "b").distinct())
-    return scratch.keep(connected_components(scratch.keep(first.union(second)), scratch))
+    pairs, left = None, full.where("node <> lead")
+    for _ in range(leads):
+        found = scratch.keep(confirmed(left.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()))
+        pairs = found if pairs is None else pairs.union(found)
+        unlike = left.join(found, (F.col("lead") == F.col("a")) & (F.col("node") == F.col("b")), "left_anti").select("key", "node")
+        new = unlike.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead")
+        left = scratch.keep(unlike.join(new, "key").where("node <> lead"))
+        if left.isEmpty():
+            break
+    return pairs

@@ -43,13 +43,12 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * total > len(parts), bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for some in texts:
-        yield pd.Series([fingerprint(t) for t in some], dtype="uint64").astype("int64")
+def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fp", shingle: int = 3) -> DataFrame:
+    def fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in texts:
+            yield pd.Series([fingerprint(t, shingle) for t in some], dtype="uint64").astype("int64")
 
-
-def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fp") -> DataFrame:
-    return docs.withColumn(name, F.pandas_udf(_fingerprints, "long")(F.col(text)))
+    return docs.withColumn(name, F.pandas_udf(fingerprints, "long")(F.col(text)))
 
 
 def masks() -> list[int]:
