@@ -220,6 +220,7 @@ class Engine:
         with self.store.writing():
             for t in ("upload_errors", "raw_files"):
                 self.store.drop_upload(t, upload_id)
+            self.store.remove(f"staging/{upload_id}")
             self.store.replace("uploads", self.store.table("uploads").where(F.col("id") != upload_id))
 
     def uploads(self, status: str | None = None, platform_key: str | None = None, page: int = 1, size: int = 20) -> dict:
