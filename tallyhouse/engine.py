@@ -149,7 +149,7 @@ class Engine:
         digest = hashlib.sha256(raw).hexdigest()
         with self.store.writing():
             self.store.put_upload("raw_files", upload_id, self.spark.createDataFrame([(upload_id, filename, digest, bytearray(raw))], "upload_id long, filename string, sha256 string, content binary"))
-        self._set_upload(id=upload_id, filename=filename, sha256=digest, platform_key=platform_key, status="parsing")
+        self._set_upload(id=upload_id, filename=filename, sha256=digest, platform_key=platform_key, status="parsing", created_at=dt.datetime.now())
         self._stage(upload_id, platform_key)
         return upload_id
 
@@ -164,6 +164,22 @@ class Engine:
             self.store.put_upload("upload_errors", upload_id, done.errors)
         self._set_upload(id=upload_id, platform_key=own.platform_key, adapter_version=own.adapter_version, status="parsed", row_count_total=stats["total"], row_count_valid=stats["valid"], row_count_error=stats["failed"], error_message=None)
 
+    def sources(self, date: str) -> list[dict]:
+        """The uploads that a day's rows came from, by file name."""
+        found = daily.sources(self.store.table("sales_facts"), self.store.table("uploads"), date_of(date)).orderBy("filename", "id")
+        return collected(found.select("filename", "platform_key", F.date_format("created_at", "yyyy-MM-dd HH:mm").alias("created_at"), "row_count_total", "row_count_valid"))
+
+    def commit_all(self, upload_ids: list[int]) -> dict:
+        """Commit each upload; one that fails does not stop the others. Totals are over those that went in."""
+        done, failed = [], []
+        for upload_id in upload_ids:
+            try:
+                done.append(self.commit(upload_id))
+            except RetailError as e:
+                failed.append({"upload_id": upload_id, "error": f"{e.code}: {e.message}"})
+        total = {k: sum(r[k] for r in done) for k in ("valid", "unmapped_codes")}
+        return total | {"latest_date": max((r["latest_date"] for r in done if r["latest_date"]), default=None), "committed": len(done), "failed": failed}
+
     def preview(self, upload_id: int, n: int = 20) -> list[dict]:
         done, _, _ = self._parsed(upload_id, self._upload(upload_id).platform_key)
         return [{k: None if v is None else str(v) for k, v in r.asDict().items()} for r in done.facts.orderBy("row_no").limit(n).collect()]
@@ -426,10 +442,10 @@ class Engine:
         dims = lambda rows, name, title: [[title, *heads], *[[r[name], *[r.get(f) for f in fields]] for r in rows]]
         sku = [["类型", "编码", "名称", "类目", "平台", "GMV", "实际成交", "环比", "退款率"], *[["已映射", r["sku_code"], r["name"], r["category"], r["platforms"], r["gmv"], r["net_amount"], r["gmv_dod"], r["refund_rate"]] for r in report["by_sku"]["mapped"]], *[["未映射", r["platform_product_code"], r["product_name"], None, r["platform_key"], r["gmv"], r["net_amount"], r["gmv_dod"], r["refund_rate"]] for r in report["by_sku"]["unmapped"]]]
         alerts = [["级别", "规则", "对象", "指标", "当前值", "阈值", "说明"], *[[a["severity"], a["rule_name"], a["subject"], a["metric"], a["value"], a["threshold"], a["message"]] for a in report["anomalies"]]]
-        notes = [["平台", "口径说明"], *[[s.display_name, spec.semantics_note(s)] for s in self.adapters().values()]]
+        notes = [["平台", "口径说明"], *[[s.display_name, spec.semantics_note(s)] for s in self.adapters().values()], [], ["数据来源文件", "平台", "导入时间", "总行数", "有效行数"], *[list(u.values()) for u in self.sources(report["report_date"])]]
         return workbook([
             ("日报总览", first, ["text", "money", "money", "pct_signed", "money", "pct_signed"]), ("分平台", dims(report["by_platform"], "platform_name", "平台"), formats), ("分店铺", dims(report["by_shop"], "display", "店铺"), formats),
-            ("分类目", dims(report["by_category"], "display", "类目"), formats), ("分SKU", sku, ["text"] * 5 + ["money", "money", "pct_signed", "pct"]), ("异常预警", alerts, ["text"] * 4 + ["money", "money"]), ("口径说明", notes, ["text", "text"]),
+            ("分类目", dims(report["by_category"], "display", "类目"), formats), ("分SKU", sku, ["text"] * 5 + ["money", "money", "pct_signed", "pct"]), ("异常预警", alerts, ["text"] * 4 + ["money", "money"]), ("口径说明", notes, ["text", "text", "text", "int", "int"]),
         ])
 
     def weekly_report(self, date: str) -> dict:

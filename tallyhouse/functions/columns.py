@@ -19,6 +19,11 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(ustrip(c), F.lit(""))
 
 
+def composite_key(*names: str) -> Column:
+    """The values of a group's columns joined by ``_``; a null reads ``None``."""
+    return F.concat_ws("_", *[F.coalesce(F.col(n).cast("string"), F.lit("None")) for n in names])
+
+
 def divide(a: Column, b: Column) -> Column:
     """a / b as DOUBLE; NULL if either is NULL or b is 0."""
     return F.try_divide(a.cast("double"), b.cast("double"))

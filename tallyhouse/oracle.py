@@ -200,5 +200,8 @@ SQL = {
     "meta_categories": query("SELECT DISTINCT category FROM facts"),
     "meta_shops": query("SELECT DISTINCT platform_key, shop_code, shop_name FROM facts"),
     "latest_date": query("SELECT max(stat_date) AS latest_date FROM facts"),
+    "upload_totals": query("SELECT CAST(sum(n) AS BIGINT) AS valid, CAST(sum(u) AS BIGINT) AS unmapped_codes, max(m) AS latest_date FROM (SELECT upload_id, count(*) AS n, count(DISTINCT platform_key || '/' || platform_product_code) FILTER (sku_id IS NULL) AS u, max(stat_date) AS m FROM facts GROUP BY 1)"),
+    "group_keys": query("SELECT DISTINCT platform_key || '_' || shop_code AS shop, platform_key || '_' || coalesce(CAST(sku_id AS VARCHAR), 'None') AS sku FROM facts"),
+    "report_sources": query(f"SELECT o_orderkey AS id, '订单' || o_orderkey || '.csv' AS filename FROM orders WHERE o_orderkey IN (SELECT upload_id FROM facts WHERE stat_date = {DAY})"),
     "upload_unmapped_count": query("SELECT platform_key, count(DISTINCT platform_product_code) FILTER (sku_id IS NULL) AS unmapped_codes, max(stat_date) AS last_date FROM facts GROUP BY 1"),
 }

@@ -54,6 +54,11 @@ def facts(spark: SparkSession, sf_dir: str, products: int | None = None) -> Data
     )
 
 
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as uploads."""
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("订单"), F.col("o_orderkey"), F.lit(".csv")).alias("filename"))
+
+
 def skus(spark: SparkSession, sf_dir: str) -> DataFrame:
     cost = F.round(F.col("p_retailprice").cast("decimal(14,2)") * F.lit("0.6").cast("decimal(3,1)"), 2).cast("decimal(14,2)")
     return read(spark, sf_dir, "part").where(F.col("p_partkey") % 5 != 0).select(

@@ -24,6 +24,23 @@ def scoped(facts: DataFrame, platforms: list[str] | None = None, shops: list[str
     return facts
 
 
+def sources(facts: DataFrame, uploads: DataFrame, day: dt.date) -> DataFrame:
+    """Uploads that rows of the day came from."""
+    of_day = facts.where(F.col("stat_date") == F.lit(day)).select(F.col("upload_id").alias("id"))
+    return uploads.join(of_day, "id", "left_semi")
+
+
+def upload_results(facts: DataFrame) -> DataFrame:
+    """Rows, products without a SKU and the latest date of each upload."""
+    unmapped = F.countDistinct(F.when(F.col("sku_id").isNull(), F.struct("platform_key", "platform_product_code")))
+    return facts.groupBy("upload_id").agg(F.count("*").alias("valid"), unmapped.alias("unmapped_codes"), F.max("stat_date").alias("latest_date"))
+
+
+def upload_totals(results: DataFrame) -> DataFrame:
+    """What several uploads came to together."""
+    return results.agg(F.sum("valid").alias("valid"), F.sum("unmapped_codes").alias("unmapped_codes"), F.max("latest_date").alias("latest_date"))
+
+
 def in_window(facts: DataFrame, day: dt.date, days: int = WINDOW_DAYS) -> DataFrame:
     return facts.where(F.col("stat_date").between(F.lit(day - dt.timedelta(days=days - 1)), F.lit(day)))
 

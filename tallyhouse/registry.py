@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse import oracle, oracle_dirty
-from tallyhouse.functions.columns import divide
+from tallyhouse.functions.columns import composite_key, divide
 from tallyhouse.operators import anomaly
 from tallyhouse.operators.metrics import rollup, with_costs
 from tallyhouse.plans import bridge, daily, dirty, weekly
@@ -63,6 +63,14 @@ _plain("meta_shops", lambda f: f.select("platform_key", "shop_code", "shop_name"
 _plain("latest_date", lambda f: f.agg(F.max("stat_date").alias("latest_date")))
 _plain("upload_unmapped_count", lambda f: f.groupBy("platform_key").agg(F.countDistinct(F.when(F.col("sku_id").isNull(), F.col("platform_product_code"))).alias("unmapped_codes"), F.max("stat_date").alias("last_date")))
 
+_plain("upload_totals", lambda f: daily.upload_totals(daily.upload_results(f)))
+_plain("group_keys", lambda f: f.select(composite_key("platform_key", "shop_code").alias("shop"), composite_key("platform_key", "sku_id").alias("sku")).distinct())
+
+
+@query
+def report_sources(spark, d):
+    return daily.sources(_facts(spark, d), bridge.uploads(spark, d), DAY)
+
 
 @query
 def profit_summary(spark, d):

@@ -25,7 +25,7 @@ ERRORS = "upload_id long, row_number long, error_type string, error_message stri
 SKUS = "id long, sku_code string, name string, category string, brand string, cost_price decimal(14,2), status string"
 MAPPINGS = "id long, platform_key string, platform_product_code string, platform_product_name string, sku_id long, match_type string, confidence decimal(5,4)"
 RULES = "id long, name string, metric string, scope string, operator string, threshold decimal(14,4), min_base decimal(14,2), enabled boolean"
-UPLOADS = "id long, filename string, sha256 string, platform_key string, adapter_version int, status string, row_count_total long, row_count_valid long, row_count_error long, error_message string, version long"
+UPLOADS = "id long, filename string, sha256 string, platform_key string, adapter_version int, status string, row_count_total long, row_count_valid long, row_count_error long, error_message string, version long, created_at timestamp"
 CHANNELS = "platform_key string, display_name string, platform_fee_rate decimal(10,6), fulfillment_cost_per_unit decimal(14,4), gmv_includes_shipping boolean"
 
 #: The rules that a new store starts with.

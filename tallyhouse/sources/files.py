@@ -138,7 +138,26 @@ class Workbook:
         return [[cells.get((y, x), "") for x in range(width)] for y in range(height)]
 
 
-def _sheet(book: Workbook, matching: FileMatching, warnings: list[str]) -> str:
+class OldWorkbook:
+    """Sheets of a BIFF workbook by name, cells as text: whole numbers read as floats."""
+
+    def __init__(self, raw: bytes) -> None:
+        try:
+            import xlrd
+        except ModuleNotFoundError as e:
+            raise RetailError("FILE_PARSE_ERROR", "old .xls workbooks need the xlrd package; save the file as .xlsx") from e
+        try:
+            book = xlrd.open_workbook(file_contents=raw)
+        except Exception as e:  # xlrd raises errors of many kinds on broken files
+            raise RetailError("FILE_PARSE_ERROR", f"the .xls workbook can't be read: {type(e).__name__}") from e
+        self.sheets = {n: book.sheet_by_name(n) for n in book.sheet_names()}
+
+    def rows(self, name: str) -> list[list[str]]:
+        sheet = self.sheets[name]
+        return [["" if v is None else str(v) for v in sheet.row_values(i)] for i in range(sheet.nrows)]
+
+
+def _sheet(book: Workbook | OldWorkbook, matching: FileMatching, warnings: list[str]) -> str:
     names = list(book.sheets)
     want = matching.sheet
     if not names:
@@ -176,6 +195,10 @@ def header_index(rows: list[list[str]], matching: FileMatching, warnings: list[s
     return at
 
 
+#: How workbooks of either kind start.
+MAGIC = {"xlsx": b"PK\x03\x04", "xls": b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"}
+
+
 def parse(raw: bytes, filename: str, matching: FileMatching) -> dict:
     """One file: header, rows and what was noticed. Its content, not its name, tells a workbook from text."""
     extension = "." + filename.rpartition(".")[2].lower() if "." in filename else ""
@@ -185,21 +208,12 @@ def parse(raw: bytes, filename: str, matching: FileMatching) -> dict:
         raise RetailError("FILE_PARSE_ERROR", f"{len(raw)} bytes; files may have {MOST_BYTES}")
     warnings: list[str] = []
     meta = {"encoding": None, "sheet_name": None, "sheet_names": []}
-    if raw[:4] == b"PK\x03\x04":
-        book = Workbook(raw)
+    kind = next((k for k, start in MAGIC.items() if raw.startswith(start)), None)
+    if kind:
+        book = Workbook(raw) if kind == "xlsx" else OldWorkbook(raw)
         name = _sheet(book, matching, warnings)
         rows = book.rows(name)
-        meta |= {"encoding": "xlsx", "sheet_name": name, "sheet_names": list(book.sheets)}
-    elif raw[:8] == b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1":
-        try:
-            import xlrd
-        except ModuleNotFoundError as e:
-            raise RetailError("FILE_PARSE_ERROR", "old .xls workbooks need the xlrd package; save the file as .xlsx") from e
-        old = xlrd.open_workbook(file_contents=raw)
-        names = old.sheet_names()
-        name = next((n for n in ([matching.sheet] if isinstance(matching.sheet, str) else matching.sheet or []) if n in names), names[0])
-        rows = [[str(v) for v in old.sheet_by_name(name).row_values(i)] for i in range(old.sheet_by_name(name).nrows)]
-        meta |= {"encoding": "xls", "sheet_name": name, "sheet_names": names}
+        meta |= {"encoding": kind, "sheet_name": name, "sheet_names": list(book.sheets)}
     else:
         text, meta["encoding"] = decode(raw, matching.encoding_candidates)
         rows = delimited(text)

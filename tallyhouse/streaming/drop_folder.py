@@ -1,11 +1,13 @@
 """A drop folder as a stream of files: each content once, failures apart, reports current.
 
 Structured Streaming tracks paths; contents seen before are skipped by digest inside the batch, so that a renamed copy
-is not taken twice. A file that fails is recorded and does not stop the batch.
+is not taken twice. A file that fails is recorded and does not stop the batch. With an archive, finished files are moved there, failures apart.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,31 +20,69 @@ FILE = "path string, modificationTime timestamp, length long, content binary"
 IGNORED = r"(^|/)[.~][^/]*$|\.(tmp|crdownload|part)$"
 
 
-def ingest_batch(engine: Engine, batch: DataFrame, auto_commit: bool = True) -> list[dict]:
-    """The files of a batch in order of time: skipped, parsed, committed or failed."""
+def _filed(engine: Engine, path: str, archive: str, outcome: str) -> None:
+    """Move a finished file to the archive's folder of its outcome, the time before its name."""
+    hadoop = engine.spark._jvm.org.apache.hadoop.fs
+    source = hadoop.Path(path)
+    fs = source.getFileSystem(engine.spark._jsc.hadoopConfiguration())
+    target = hadoop.Path(f"{archive}/{outcome}/{dt.datetime.now():%Y%m%d_%H%M%S_%f}_{source.getName()}")
+    fs.mkdirs(target.getParent())
+    fs.rename(source, target)
+
+
+def _outcome(engine: Engine, upload_id: int, auto_commit: bool) -> dict:
+    state = engine._upload(upload_id)
+    if state.status != "parsed" or not auto_commit:
+        return {"status": state.status, "error": state.error_message}
+    try:
+        engine.commit(upload_id)
+    except RetailError as e:
+        return {"status": "failed", "error": str(e)}
+    return {"status": "committed"}
+
+
+def ingest_batch(engine: Engine, batch: DataFrame, auto_commit: bool = True, archive: str | None = None) -> list[dict]:
+    """The files of a batch in order of time: skipped, parsed, committed or failed.
+
+    With an archive, files that are committed or skipped go to its folder ``processed`` and failed ones, with their
+    copies in the batch, to ``failed``; a file that is only parsed stays where it is.
+    """
     found = batch.where(~F.col("path").rlike(IGNORED) & (F.col("length") > 0)).withColumn("sha256", F.sha2("content", 256))
+    if archive:
+        home = engine.spark._jvm.org.apache.hadoop.fs.Path(archive)
+        home = home.getFileSystem(engine.spark._jsc.hadoopConfiguration()).makeQualified(home).toString()
+        found = found.where(~F.col("path").startswith(home + "/processed/") & ~F.col("path").startswith(home + "/failed/"))
     known = engine.store.table("uploads").where("status = 'committed'").select("sha256")
-    fresh = found.join(known, "sha256", "left_anti").dropDuplicates(["sha256"])
-    out = []
+    listed = found.select("path", "modificationTime", "sha256")
+    first = listed.join(known, "sha256", "left_anti").groupBy("sha256").agg(F.min(F.struct("modificationTime", "path")).alias("m")).select("m.path")
+    fresh = found.join(first, "path", "left_semi")
+    copies = listed.join(first, "path", "left_anti").orderBy("modificationTime", "path").collect()
+    out, states = [], {}
     for row in fresh.orderBy("modificationTime", "path").toLocalIterator():
-        name = row.path.rpartition("/")[2]
-        upload_id = engine.ingest(bytes(row.content), name)
-        state = engine._upload(upload_id)
-        if state.status == "parsed" and auto_commit:
-            try:
-                engine.commit(upload_id)
-                out.append({"file": name, "upload_id": upload_id, "status": "committed"})
-            except RetailError as e:
-                out.append({"file": name, "upload_id": upload_id, "status": "failed", "error": str(e)})
-            continue
-        out.append({"file": name, "upload_id": upload_id, "status": state.status, "error": state.error_message})
+        upload_id = engine.ingest(bytes(row.content), row.path.rpartition("/")[2])
+        done = _outcome(engine, upload_id, auto_commit)
+        states[row.sha256] = done["status"]
+        out.append({"file": row.path.rpartition("/")[2], "path": row.path, "upload_id": upload_id} | done)
+    out += [{"file": r.path.rpartition("/")[2], "path": r.path, "upload_id": None, "status": "skipped", "of": states.get(r.sha256, "committed")} for r in copies]
+    for done in out if archive else ():
+        state = done.get("of", done["status"])
+        if state in ("committed", "failed"):
+            _filed(engine, done["path"], archive, "failed" if state == "failed" else "processed")
     return out
 
 
+def scan(engine: Engine, folder: str, auto_commit: bool = True, archive: str | None = None) -> list[dict]:
+    """One pass over what is in the folder now, under whatever name it came before. Finished files move, by default to folders in this one."""
+    files = engine.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return ingest_batch(engine, files, auto_commit, archive or folder)
+
+
 def watch(engine: Engine, folder: str, checkpoint: str, every: str | None = None, auto_commit: bool = True, files_per_batch: int = 20, archive: str | None = None) -> StreamingQuery:
-    """Take what is in the folder once (every=None), or keep watching. archive: where finished files go."""
-    stream = engine.spark.readStream.format("binaryFile").schema(FILE).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true")
-    if archive:
-        stream = stream.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    writer = stream.load(folder).writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: ingest_batch(engine, df, auto_commit) and None)
+    """Take what is in the folder once (every=None), or keep watching. archive: where finished files go, by outcome.
+
+    A path is taken once, even if another file comes under it later: scan() takes those.
+    A batch that runs again after a stop finds some of its files moved already; those are passed over.
+    """
+    stream = engine.spark.readStream.format("binaryFile").schema(FILE).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
+    writer = stream.load(folder).writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: ingest_batch(engine, df, auto_commit, archive) and None)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -8,7 +8,7 @@ from tallyhouse.engine import Engine
 from tallyhouse.schema import RetailError
 from tallyhouse.sinks import texts
 from tallyhouse.sources import files, spec
-from tallyhouse.streaming.drop_folder import watch
+from tallyhouse.streaming.drop_folder import scan, watch
 
 HEAD = "统计日期,店铺名称,商品ID,商品名称,一级类目,支付金额,支付件数,退款金额,商品访客数,支付买家数,推广花费\n"
 DAY = "2026-09-06"
@@ -129,3 +129,24 @@ def test_drop_folder(spark, tmp_path):
         (drop / "renamed.csv").write_bytes(TAOBAO)
     states = sorted((u["filename"], u["status"]) for u in e.uploads()["items"])
     assert [s for _, s in states] == ["failed", "committed"] and e.facts().count() == 3
+
+
+def test_archive(spark, tmp_path):
+    """Finished files move by outcome; a copy goes where its first went, and a later one is skipped."""
+    e = Engine(spark, f"file://{tmp_path}/store")
+    drop = archive = tmp_path / "drop"
+    drop.mkdir()
+    for name, raw in (("生意参谋1.csv", TAOBAO), ("bad.xlsx", b"PK\x03\x04broken"), ("worse.xlsx", b"PK\x03\x04broken"), ("x.csv.part", TAOBAO)):
+        (drop / name).write_bytes(raw)
+    for _ in range(2):
+        watch(e, str(drop), str(tmp_path / "checkpoint"), archive=str(archive)).awaitTermination()
+        (drop / "again.csv").write_bytes(TAOBAO)
+    assert [(r["file"], r["status"]) for r in scan(e, str(drop))] == [("again.csv", "skipped")] and scan(e, str(drop)) == []
+    names = {f: sorted(x.name.split("_", 3)[3] for x in (archive / f).glob("[0-9]*")) for f in ("processed", "failed")}
+    assert names["failed"] == ["bad.xlsx", "worse.xlsx"] and set(names["processed"]) == {"again.csv", "生意参谋1.csv"}
+    assert [x.name for x in drop.glob("*.*") if x.is_file()] == ["x.csv.part"]
+    assert e.facts().count() == 3 and e.uploads()["total"] == 2
+    assert [(s["filename"], s["row_count_valid"]) for s in e.sources(DAY)] == [("生意参谋1.csv", 3)] and e.sources("2020-01-01") == []
+    up = e.ingest(PDD, "拼多多.csv")
+    got = e.commit_all([up, 99])
+    assert (got["valid"], got["unmapped_codes"], got["latest_date"], got["committed"]) == (5, 5, DAY, 1) and got["failed"][0]["upload_id"] == 99

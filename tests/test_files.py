@@ -94,3 +94,36 @@ def test_missing_column():
     with pytest.raises(RetailError) as e:
         spec.builtin("taobao").resolve(["商品ID"])
     assert e.value.code == "MISSING_REQUIRED_COLUMN" and "gmv" in e.value.detail["missing_columns"]
+
+
+def test_old_workbook_sheets(monkeypatch):
+    """The sheet rules hold for both kinds of workbook; xlrd is stood in for by a stub."""
+    import sys
+    import types
+
+    class Sheet:
+        def __init__(self, rows):
+            self.rows, self.nrows = rows, len(rows)
+
+        def row_values(self, i):
+            return self.rows[i]
+
+    sheets = {"说明": Sheet([["q"]]), "数据": Sheet([["商品ID", "支付金额"], ["A", 1.0], ["B", None]])}
+    book = types.SimpleNamespace(sheet_names=lambda: list(sheets), sheet_by_name=sheets.get)
+    stub = types.SimpleNamespace(open_workbook=lambda file_contents: book)
+    monkeypatch.setitem(sys.modules, "xlrd", stub)
+    raw = files.MAGIC["xls"] + b"..."
+    for want in ("auto", "数据", ["无", "数据"]):
+        got = files.parse(raw, "x.xls", matching(sheet=want))
+        assert got["sheet_name"] == "数据" and got["rows"] == [["A", "1.0"], ["B", ""]] and got["encoding"] == "xls"
+    assert files.parse(raw, "x.xls", matching(sheet=None))["sheet_name"] == "说明"
+    for want in ("无", ["无"]):
+        with pytest.raises(RetailError):
+            files.parse(raw, "x.xls", matching(sheet=want))
+
+    def broken(file_contents):
+        raise AssertionError
+
+    stub.open_workbook = broken
+    with pytest.raises(RetailError):
+        files.parse(raw, "x.xls", matching(sheet="auto"))
