@@ -34,4 +34,26 @@ p AS (SELECT doc_id, size, source_size, target, CAST(floor(target + 0.5) AS BIGI
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, CAST(passes * size + greatest(0, least(size, budget - passes * source_size - before)) AS BIGINT) AS taken FROM p
 """
-ORACLE_SQL: dict[str, str] = {"op7_source_mixture": MIXTURE}
+#: Links of pages as urls, nodes as host, path and query, and blocks carried along links in both directions until nothing is new.
+URLS = r"""
+WITH RECURSIVE rules(verdict, host, start) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+p AS (SELECT page_id, url, html, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^([^:/?#]*)://', 1) AS scheme FROM pages),
+tags AS (SELECT p.*, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM p),
+targets AS (SELECT *, replace(regexp_extract(tag, '(?i)(?:\bhref\s*=\s*|;\s*url\s*=\s*)["'']?([^"''>\s]+)', 1), '&amp;', '&') AS link FROM tags
+  WHERE regexp_matches(tag, '(?i)\brel\s*=\s*["'']?canonical\b|\bhttp-equiv\s*=\s*["'']?refresh\b')),
+absolute AS (SELECT url AS source, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link WHEN starts_with(link, '//') THEN scheme || ':' || link WHEN starts_with(link, '/') THEN scheme || '://' || host || link
+    WHEN starts_with(link, '?') THEN scheme || '://' || host || path || link WHEN starts_with(link, '#') OR regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    ELSE scheme || '://' || host || regexp_replace(CASE path WHEN '' THEN '/' ELSE path END, '[^/]*$', '') || link END AS target FROM targets WHERE link <> ''),
+urls AS (SELECT url, translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(nullif(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), ''), '/') AS path,
+    regexp_extract(url, '^[^#?]*(\?[^#]*)', 1) AS query FROM (SELECT url FROM pages UNION SELECT target FROM absolute) WHERE contains(url, '://')),
+nodes AS (SELECT url, host || path || query AS node, regexp_extract(host || path || query, '^([^/?]*)', 1) AS host, regexp_extract(host || path || query, '^[^/?]*([^?]*)', 1) AS path FROM urls),
+edges AS (SELECT DISTINCT a.node AS a, b.node AS b FROM absolute JOIN nodes a ON a.url = source JOIN nodes b ON b.url = target),
+fits AS (SELECT host, path, arg_max({'rule': name, 'verdict': verdict}, (length(name), verdict = 'allow', name)) AS fit
+  FROM (SELECT w.host, w.path, r.host || r.start AS name, verdict FROM (SELECT host, path FROM p UNION SELECT host, path FROM nodes) w JOIN rules r ON (w.host = r.host OR ends_with(w.host, '.' || r.host)) AND starts_with(w.path, r.start)) GROUP BY ALL),
+blocked(node) AS (SELECT node FROM nodes JOIN fits USING (host, path) WHERE fit.verdict = 'block' AND node IN (SELECT a FROM edges UNION ALL SELECT b FROM edges)
+  UNION SELECT e.v FROM blocked JOIN (SELECT a AS u, b AS v FROM edges UNION SELECT b, a FROM edges) e ON e.u = blocked.node)
+SELECT page_id, p.host, p.path, fit.rule AS rule, coalesce(fit.verdict, CASE WHEN nodes.node IN (SELECT node FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN fits ON fits.host = p.host AND fits.path = p.path LEFT JOIN nodes ON nodes.url = p.url
+"""
+ORACLE_SQL: dict[str, str] = {"op3_url_redirect_filter": URLS, "op7_source_mixture": MIXTURE}
