@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from tallyhouse.llm import jaccard, mixture, packing, pii, quality, simhash
 from tallyhouse.llm.common import Scratch, whole
-from tallyhouse.llm.components import connected_components
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -39,7 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     lead = scratch.keep(marks.groupBy("fp").agg(F.min("node").alias("lead")))  # one node stands for all of a fingerprint
     same = marks.join(lead, "fp").select(F.col("lead").alias("a"), F.col("node").alias("b"))
     near = simhash.links(lead.select("fp"), scratch).join(lead.select(F.col("fp").alias("a"), F.col("lead").alias("x")), "a").join(lead.select(F.col("fp").alias("b"), F.col("lead").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    groups = scratch.keep(connected_components(scratch.keep(jaccard.links(nodes, scratch).union(same).union(near)), scratch))
+    groups = scratch.keep(jaccard.groups(nodes, same.union(near), scratch))
     parts = prints.join(groups, "node", "left").groupBy(F.coalesce("component", "node").alias("group"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h"))
     chosen = scratch.keep(parts.agg(first.alias("m")).select(F.col("m.doc_id").alias("doc_id"), F.col("m._h").alias("_h")))

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from tallyhouse.llm.simhash import fingerprint
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -12,6 +13,29 @@ def shingles(text):
     return {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)} if len(ws) > 5 else {tuple(ws)} if ws else set()
 
 
+def groups(texts):
+    """The least text number of each text's group, by all pairs: similarity of 0.8, or fingerprints within 2 bits."""
+    sets, up = [shingles(t) for t in texts], list(range(len(texts)))
+    prints = [fingerprint(t, 5) for t in texts]
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or (prints[i] ^ prints[j]).bit_count() <= 2 or a and len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                x, y = sorted((root(i), root(j)))
+                up[y] = x
+    return [root(i) for i in range(len(texts))]
+
+
+def kept(spark, texts):
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], DOCS)
+    return {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+
+
 def test_near_dedup(spark):
     """Copies with up to three changed words of 120, texts under the bar, exact copies and blank texts."""
     rng = random.Random(5)
@@ -25,18 +49,23 @@ def test_near_dedup(spark):
             for at in rng.sample(range(5, 115), changes):
                 copy[at] = word()
             texts.append(" ".join(copy))
-    sets, up = [shingles(t) for t in texts], list(range(len(texts)))
+    assert kept(spark, texts) == set(groups(texts))
 
-    def root(i):
-        while up[i] != i:
-            i = up[i]
-        return i
 
-    for i, a in enumerate(sets):
-        for j in range(i):
-            if a == sets[j] or a and len(a & sets[j]) >= 0.8 * len(a | sets[j]):
-                x, y = sorted((root(i), root(j)))
-                up[y] = x
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], DOCS)
-    got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
-    assert got == {root(i) for i in range(len(texts))}
+def test_near_dedup_buckets(spark):
+    """Chains, whose ends are unlike, and many texts about one passage: buckets hold more groups than there are leads."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    texts = []
+    for _ in range(3):
+        ws = [word() for _ in range(420)]
+        texts += [" ".join(ws[at : at + 120]) for at in range(0, 300, 10)]
+    passage = [word() for _ in range(140)]
+    for own in (18, 20, 24, 30):
+        for _ in range(20):
+            ws = passage + [word() for _ in range(own)]
+            texts.append(" ".join(ws))
+            ws[rng.randrange(len(ws))] = word()
+            texts.append(" ".join(ws))
+    rng.shuffle(texts)
+    assert kept(spark, texts) == set(groups(texts))
