@@ -34,10 +34,20 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Rows that a Python worker gets at once. Whole texts are large, so that Spark's 10,000 would fill its memory.
+BATCH = 1000
+
+
 class Scratch:
-    """Tables written to the shared folder. They cut lineage, survive lost executors and are read by path."""
+    """Tables written to the shared folder. They cut lineage, survive lost executors and are read by path.
+
+    Making one bounds the session's Arrow batches to BATCH rows; a smaller setting stays.
+    """
 
     def __init__(self, spark: SparkSession) -> None:
+        size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(size)) <= BATCH:
+            spark.conf.set(size, str(BATCH))
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tallyhouse/{uuid.uuid4().hex}"
         self.count = 0
