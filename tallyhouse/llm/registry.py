@@ -18,6 +18,9 @@ QUERIES = {
         free.op8_license_diagonals,
         free.op9_simhash_covering,
         free.op10_vector_packing,
+        free.op11_weighted_sampling,
+        free.op12_fill_in_middle,
+        free.op13_periodic_runs,
     )
 }
 
@@ -56,4 +59,16 @@ blocked(node) AS (SELECT node FROM nodes JOIN fits USING (host, path) WHERE fit.
 SELECT page_id, p.host, p.path, fit.rule AS rule, coalesce(fit.verdict, CASE WHEN nodes.node IN (SELECT node FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN fits ON fits.host = p.host AND fits.path = p.path LEFT JOIN nodes ON nodes.url = p.url
 """
-ORACLE_SQL: dict[str, str] = {"op3_url_redirect_filter": URLS, "op7_source_mixture": MIXTURE}
+#: Units listed one by one, cuts by slices of the list, and the text rebuilt by where the marks stand.
+MIDDLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS units, [CAST('0x' || substr(s, 8 * i + 1, 8) AS BIGINT) FOR i IN range(4)] AS h FROM d),
+c AS (SELECT *, len(units) AS n, least(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS a, greatest(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, coalesce(array_to_string(units[1:a], ''), '') AS prefix, coalesce(array_to_string(units[a + 1:b], ''), '') AS middle, coalesce(array_to_string(units[b + 1:n], ''), '') AS suffix FROM c),
+o AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END AS output FROM p),
+r AS (SELECT *, strpos(output, '<P>') AS x, strpos(output, '<S>') AS y, strpos(output, '<M>') AS z FROM o)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars, sha256(output) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN output WHEN 'psm' THEN substr(output, 4, y - 4) || substr(output, z + 3) || substr(output, y + 3, z - y - 3) ELSE substr(output, x + 3, z - x - 3) || substr(output, z + 3) || substr(output, 4, x - 4) END) AS restored_sha256 FROM r
+"""
+ORACLE_SQL: dict[str, str] = {"op12_fill_in_middle": MIDDLE, "op3_url_redirect_filter": URLS, "op7_source_mixture": MIXTURE}
