@@ -78,16 +78,17 @@ def passes(c: Column, f: dict) -> Column:
     return F.coalesce(test, F.lit(op == "neq"))
 
 
-def merge_rows(rows: DataFrame, spec: Spec, null_as_zero: bool = True) -> DataFrame:
+def merge_rows(rows: DataFrame, spec: Spec, null_as_zero: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
     """One row for each key of the specification: keys, row_no, and for ``sum`` numeric fields added and the first text that isn't blank.
 
     With null_as_zero a NULL sum is 0 for a field that has any value among the rows. ``first`` and ``last`` keep a row's
-    own fields. Keys may be NULL. Aggregates combine within tasks before the shuffle, so that a frequent key is no trap.
+    own fields. Keys may be NULL. Columns of ``by`` tell files apart, and each file is merged by itself. Aggregates combine within tasks before the shuffle, so that a frequent key is no trap.
     """
     d = spec.dedup
     keys = [k for k in d["keys"] if k in rows.columns]
     if not d["enabled"] or not keys:
         return rows
+    keys = [*by, *keys]
     fields = [c for c in rows.columns if c not in (*keys, "row_no")]
     if d["strategy"] != "sum":
         pick = F.min_by if d["strategy"] == "first" else F.max_by
@@ -97,13 +98,14 @@ def merge_rows(rows: DataFrame, spec: Spec, null_as_zero: bool = True) -> DataFr
     merged = rows.groupBy(*keys).agg(F.min("row_no").alias("row_no"), *first, *[F.sum(c).cast(rows.schema[c].dataType).alias(c) for c in numeric])
     if not (null_as_zero and numeric):
         return merged
-    seen = merged.agg(*[F.max(F.col(c).isNotNull()).alias(f"_{c}") for c in numeric])  # one row
+    seen = merged.groupBy(*by).agg(*[F.max(F.col(c).isNotNull()).alias(f"_{c}") for c in numeric])  # a row a file
     zero = {c: F.coalesce(F.col(c), F.when(F.col(f"_{c}"), F.lit(0).cast(rows.schema[c].dataType))) for c in numeric}
-    return merged.crossJoin(F.broadcast(seen)).withColumns(zero).select(*merged.columns)
+    both = merged.join(seen, list(by)) if by else merged.crossJoin(F.broadcast(seen))
+    return both.withColumns(zero).select(*merged.columns)
 
 
-def typed(raw: DataFrame, header: list[str], spec: Spec) -> DataFrame:
-    """raw (row_no, cells) -> row_no, raw, the cast fields, shop_code, platform_key and the row's errors.
+def typed(raw: DataFrame, header: list[str], spec: Spec, by: tuple[str, ...] = ()) -> DataFrame:
+    """raw (by, row_no, cells) -> by, row_no, raw, the cast fields, shop_code, platform_key and the row's errors.
 
     Every cell is cast once: a generator stands between the casts and what tests their results, since a filter on them
     would otherwise move below and cast again.
@@ -122,7 +124,7 @@ def typed(raw: DataFrame, header: list[str], spec: Spec) -> DataFrame:
         cast[u] = value
         if kind:
             errors.append(F.when(F.col(f"_{u}.failed"), F.struct(F.lit(kind).alias("error_type"), F.concat(F.lit(f"字段 {u} 无法解析："), cell(h)).alias("error_message"))))
-    once = raw.select(F.inline(F.array(F.struct("row_no", "cells", snapshot.alias("raw"), *[v.alias(f"_{u}") for u, v in cast.items()]))))
+    once = raw.select(F.inline(F.array(F.struct(*by, "row_no", "cells", snapshot.alias("raw"), *[v.alias(f"_{u}") for u, v in cast.items()]))))
     own = {u: F.col(f"_{u}.value") for u in cast}
     own["shop_code"] = F.coalesce(*[blank_to_null(own[c]) for c in ("shop_code", "shop_name") if c in cast], F.lit("__UNKNOWN__"))
     own["platform_key"] = F.lit(spec.platform_key)
@@ -136,18 +138,23 @@ def typed(raw: DataFrame, header: list[str], spec: Spec) -> DataFrame:
     bad = F.array_compact(F.array(*errors)) if errors else F.array().cast(ERROR)
     out = F.array_compact(F.array(F.when(why.isNotNull(), F.struct(F.lit("filtered_out").alias("error_type"), why.alias("error_message")))))
     checked = once.withColumn("_bad", bad)
-    return checked.select(F.inline(F.array(F.struct("row_no", "raw", *[v.alias(u) for u, v in own.items()], F.when(F.size("_bad") > 0, F.col("_bad")).otherwise(out).alias("_errors")))))
+    return checked.select(F.inline(F.array(F.struct(*by, "row_no", "raw", *[v.alias(u) for u, v in own.items()], F.when(F.size("_bad") > 0, F.col("_bad")).otherwise(out).alias("_errors")))))
 
 
 def normalise(raw: DataFrame, header: list[str], spec: Spec, upload_id: int = 0, keep: Callable[[DataFrame], DataFrame] | None = None) -> Normalised:
-    """raw: row_no and cells of one file or of files with the same header."""
-    rows = (keep or (lambda df: df))(typed(raw, header, spec))
+    """raw: row_no and cells of one file."""
+    return finished((keep or (lambda df: df))(typed(raw, header, spec)), spec, upload_id)
+
+
+def finished(rows: DataFrame, spec: Spec, upload_id: int = 0) -> Normalised:
+    """Rows of typed(), of one file or, with upload_id among their columns, of many, each judged by itself."""
+    by = ("upload_id",) if "upload_id" in rows.columns else ()
     good = rows.where(F.size("_errors") == 0).drop("_errors")
-    merged = merge_rows(good.drop("raw"), spec)
+    merged = merge_rows(good.drop("raw"), spec, by=by)
     # the texts of rows don't go through the merge; they meet its rows by number
-    met = good.select("row_no", "raw").join(merged.withColumn("_kept", F.lit(True)), "row_no", "left")
+    met = good.select(*by, "row_no", "raw").join(merged.withColumn("_kept", F.lit(True)), [*by, "row_no"], "left")
     message = "重复行，已按 sum 策略合并（keys=%s）" % [k for k in spec.dedup["keys"] if k in good.columns] if spec.dedup["strategy"] == "sum" else f"重复行，按策略 {spec.dedup['strategy']} 保留另一条"
-    repeated = met.where("_kept is null").select("row_no", F.lit("duplicate_row").alias("error_type"), F.lit(message).alias("error_message"), "raw")
+    repeated = met.where("_kept is null").select(*by, "row_no", F.lit("duplicate_row").alias("error_type"), F.lit(message).alias("error_message"), "raw")
     full = met.where("_kept").drop("_kept")
     for f in FACTS:
         if f.name not in full.columns and f.name not in ("upload_id", "raw_row_json", "net_amount"):
@@ -156,10 +163,10 @@ def normalise(raw: DataFrame, header: list[str], spec: Spec, upload_id: int = 0,
     error = lambda kind, text: F.struct(F.lit(kind).alias("error_type"), F.lit(text).alias("error_message"))
     why = F.when(F.col("gmv").isNull(), error("number_parse_failed", "必需列 gmv 缺失或无法解析，整行判为无效")).when(F.col("stat_date").isNull(), error("date_parse_failed", "必需列 stat_date 缺失或无法解析，整行判为无效"))
     checked = computed.withColumn("_why", why.when(F.col("net_amount").isNull(), error("number_parse_failed", "net_amount 计算失败")))
-    invalid = checked.where("_why is not null").select("row_no", "_why.*", "raw")
-    facts = checked.where("_why is null").withColumns({"upload_id": F.lit(upload_id).cast("long"), "raw_row_json": F.col("raw"), "platform_product_code": F.coalesce("platform_product_code", F.lit(""))})
+    invalid = checked.where("_why is not null").select(*by, "row_no", "_why.*", "raw")
+    facts = checked.where("_why is null").withColumns({"upload_id": F.col("upload_id") if by else F.lit(upload_id), "raw_row_json": F.col("raw"), "platform_product_code": F.coalesce("platform_product_code", F.lit(""))})
     facts = facts.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in FACTS])
-    failed = rows.where(F.size("_errors") > 0).select("row_no", F.explode("_errors").alias("e"), "raw").select("row_no", "e.*", "raw")
+    failed = rows.where(F.size("_errors") > 0).select(*by, "row_no", F.explode("_errors").alias("e"), "raw").select(*by, "row_no", "e.*", "raw")
     bad = failed.unionByName(repeated).unionByName(invalid)
     content = F.when(F.length("raw") <= MOST_CONTENT, F.col("raw")).otherwise(F.concat(F.left("raw", F.lit(MOST_CONTENT)), F.lit("…")))
-    return Normalised(facts, bad.select(F.lit(upload_id).cast("long").alias("upload_id"), F.col("row_no").alias("row_number"), "error_type", "error_message", content.alias("raw_content")), rows)
+    return Normalised(facts, bad.select((F.col("upload_id") if by else F.lit(upload_id)).cast("long").alias("upload_id"), F.col("row_no").alias("row_number"), "error_type", "error_message", content.alias("raw_content")), rows)

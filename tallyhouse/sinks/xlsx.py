@@ -23,7 +23,7 @@ def column(i: int) -> str:
     return out
 
 
-def _cell(ref: str, v: object, style: int) -> str:
+def _cell(ref: str, v: object, style: int, guard: bool = True) -> str:
     if v is None:
         v, style = "—", 0
     if isinstance(v, bool):
@@ -32,25 +32,29 @@ def _cell(ref: str, v: object, style: int) -> str:
         v = int(v) if isinstance(v, float) and v.is_integer() else v
         return f'<c r="{ref}" s="{style}"><v>{v}</v></c>'
     text = v.isoformat() if isinstance(v, dt.date) else str(v)
-    if text[:1] in ("=", "+", "-", "@"):
+    if guard and text[:1] in ("=", "+", "-", "@"):
         text = "'" + text
     return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
 
 
-def workbook(sheets: list[tuple[str, list[list], list[str]]]) -> bytes:
-    """sheets: (name, rows, format of each column). Rows may be of any length."""
+def workbook(sheets: list[tuple[str, list[list], list[str]]], guard: bool = True) -> bytes:
+    """sheets: (name, rows, format of each column). Rows may be of any length. The same sheets give the same bytes.
+
+    guard=False leaves texts as they are.
+    """
     names = list(FORMATS)
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("[Content_Types].xml", _TYPES.format("".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(sheets) + 1))))
-        z.writestr("_rels/.rels", f'<Relationships xmlns="{_RELS}"><Relationship Id="r1" Type="{_OFFICE}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{_MAIN}" xmlns:r="{_OFFICE}"><sheets>' + "".join(f'<sheet name={quoteattr(n[:31])} sheetId="{i}" r:id="r{i}"/>' for i, (n, _, _) in enumerate(sheets, 1)) + "</sheets></workbook>")
-        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{_RELS}">' + "".join(f'<Relationship Id="r{i}" Type="{_OFFICE}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1)) + f'<Relationship Id="rs" Type="{_OFFICE}/styles" Target="styles.xml"/></Relationships>')
+        put = lambda name, text: z.writestr(zipfile.ZipInfo(name), text, zipfile.ZIP_DEFLATED)
+        put("[Content_Types].xml", _TYPES.format("".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(sheets) + 1))))
+        put("_rels/.rels", f'<Relationships xmlns="{_RELS}"><Relationship Id="r1" Type="{_OFFICE}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        put("xl/workbook.xml", f'<workbook xmlns="{_MAIN}" xmlns:r="{_OFFICE}"><sheets>' + "".join(f'<sheet name={quoteattr(n[:31])} sheetId="{i}" r:id="r{i}"/>' for i, (n, _, _) in enumerate(sheets, 1)) + "</sheets></workbook>")
+        put("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{_RELS}">' + "".join(f'<Relationship Id="r{i}" Type="{_OFFICE}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1)) + f'<Relationship Id="rs" Type="{_OFFICE}/styles" Target="styles.xml"/></Relationships>')
         own = "".join(f'<numFmt numFmtId="{164 + i}" formatCode={quoteattr(FORMATS[n])}/>' for i, n in enumerate(names) if FORMATS[n])
         xfs = "".join(f'<xf numFmtId="{164 + i if FORMATS[n] else 0}" applyNumberFormat="1"/>' for i, n in enumerate(names))
-        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{_MAIN}"><numFmts count="{len(names) - 1}">{own}</numFmts><fonts count="1"><font/></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="{len(names)}">{xfs}</cellXfs></styleSheet>')
+        put("xl/styles.xml", f'<styleSheet xmlns="{_MAIN}"><numFmts count="{len(names) - 1}">{own}</numFmts><fonts count="1"><font/></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="{len(names)}">{xfs}</cellXfs></styleSheet>')
         for i, (_, rows, formats) in enumerate(sheets, 1):
             style = lambda c: names.index(formats[c]) if c < len(formats) else 0  # noqa: B023, E731
-            body = "".join(f'<row r="{r}">' + "".join(_cell(f"{column(c)}{r}", v, style(c)) for c, v in enumerate(row)) + "</row>" for r, row in enumerate(rows, 1))
-            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{_MAIN}"><sheetData>{body}</sheetData></worksheet>')
+            body = "".join(f'<row r="{r}">' + "".join(_cell(f"{column(c)}{r}", v, style(c), guard) for c, v in enumerate(row)) + "</row>" for r, row in enumerate(rows, 1))
+            put(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{_MAIN}"><sheetData>{body}</sheetData></worksheet>')
     return out.getvalue()
