@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.operators import anomaly, identity
 from tallyhouse.operators.metrics import with_costs
-from tallyhouse.operators.normalize import Normalised, normalise
+from tallyhouse.operators.normalize import Normalised, finished, normalise, typed
 from tallyhouse.plans import daily, weekly
 from tallyhouse.schema import CHANNELS, DEFAULT_RULES, WEEKDAYS, RetailError
 from tallyhouse.sinks import detail, texts
@@ -109,12 +109,18 @@ class Engine:
         return row
 
     def _set_upload(self, **values) -> None:
+        self._set_uploads([values])
+
+    def _set_uploads(self, changes: list[dict]) -> None:
+        """Values of uploads by id, over those they have; one snapshot."""
         old = self.store.table("uploads")
-        before = old.where(F.col("id") == values["id"]).first()
-        row = ({} if before is None else before.asDict()) | values
-        row["version"] = (row.get("version") or 0) + 1
+        ids = [c["id"] for c in changes]
+        before = {r.id: r.asDict() for r in old.where(F.col("id").isin(ids)).collect()}
+        rows = [before.get(c["id"], {}) | c for c in changes]
         names = old.columns
-        self._save("uploads", old.where(F.col("id") != values["id"]).unionByName(self.store.rows("uploads", [tuple(row.get(n) for n in names)])))
+        for row in rows:
+            row["version"] = (row.get("version") or 0) + 1
+        self._save("uploads", old.where(~F.col("id").isin(ids)).unionByName(self.store.rows("uploads", [tuple(row.get(n) for n in names) for row in rows])))
 
     def _parsed(self, upload_id: int, platform_key: str | None) -> tuple[Normalised, spec.Spec, dict]:
         """Parse an upload's stored file with the current specification of its channel."""
@@ -153,6 +159,94 @@ class Engine:
         self._stage(upload_id, platform_key)
         return upload_id
 
+    def ingest_files(self, found: DataFrame, listed: list[tuple[str, str]], auto_commit: bool = True) -> list[dict]:
+        """Register, parse and, if asked, commit many files: the jobs go with the number of channels, not of files.
+
+        found: path, sha256 and content. listed: path and sha256 of each, in the order in which they get numbers. Contents
+        and rows stay with the executors; the driver sees paths, headers and counts. A file that fails is recorded and
+        does not stop the others. What a run that was stopped had begun is taken up under the same numbers.
+        """
+        if not listed:
+            return []
+        table = self.spark.createDataFrame(listed, "path string, sha256 string")
+        begun = {r.sha256: r.id for r in self.store.table("uploads").where("status = 'parsing'").join(table.select("sha256"), "sha256", "left_semi").collect()}
+        free = self.store.next_id("uploads")
+        uploads = {}
+        for path, digest in listed:
+            number = begun.get(digest, free)
+            free += number == free
+            uploads[number] = {"id": number, "path": path, "filename": path.rpartition("/")[2], "sha256": digest, "status": "parsing", "created_at": dt.datetime.now()}
+        self._set_uploads(list(uploads.values()))
+        ids = self.spark.createDataFrame([(u["path"], n, u["filename"]) for n, u in uploads.items()], "path string, upload_id long, filename string")
+        with self.store.writing():
+            self.store.put_uploads("raw_files", found.select("path", "sha256", "content").join(ids, "path").select("upload_id", "filename", "sha256", "content"))
+        stored = lambda some: self.store.table("raw_files").where(F.col("upload_id").isin(some)).select(F.concat_ws("/", "upload_id", "filename").alias("path"), "content", "sha256")
+
+        def failed(numbers: list[int], code: str, message: str) -> None:
+            for n in numbers:
+                uploads[n] |= {"status": "failed", "error_message": f"{code}: {message}"}
+
+        channels: dict[str, list[int]] = {}
+        for head in files.parsed(stored(list(uploads)), self._probe(), heads=True).select("path", "header", "error_code", "error_message").collect():
+            n, _, name = head.path.partition("/")
+            ranked = spec.detect(head.header, name) if head.error_code is None else []
+            if head.error_code:
+                failed([int(n)], head.error_code, head.error_message)
+            elif not ranked or not ranked[0]["score"]:
+                failed([int(n)], "ADAPTER_NOT_FOUND", "the file's channel can't be told")
+            else:
+                channels.setdefault(ranked[0]["platform_key"], []).append(int(n))
+        place, facts = f"staging/files-{min(uploads)}", None
+        for key, numbers in sorted(channels.items()):
+            own = self.adapter(key)
+            read = files.parsed(stored(numbers), own.file_matching).withColumn("upload_id", F.split("path", "/")[0].cast("long"))
+            rows = self.store.staged(f"{place}/{key}/rows", read.select("upload_id", "row_no", "header", "cells", "error_code", "error_message"))
+            headers: dict[tuple, list[int]] = {}
+            for r in rows.groupBy("upload_id").agg(F.first("header", True).alias("header"), F.max("error_code").alias("code"), F.max("error_message").alias("message")).collect():
+                uploads[r.upload_id] |= {"platform_key": key, "adapter_version": own.adapter_version}
+                if r.code:
+                    failed([r.upload_id], r.code, r.message)
+                else:
+                    headers.setdefault(tuple(r.header), []).append(r.upload_id)
+            every = None
+            for header, some in sorted(headers.items()):
+                try:
+                    part = typed(rows.where(F.col("upload_id").isin(some) & F.col("cells").isNotNull()).select("upload_id", "row_no", "cells"), list(header), own, ("upload_id",))
+                except RetailError as e:
+                    failed(some, e.code, e.message)
+                    continue
+                for n in some:
+                    uploads[n] |= {"status": "parsed", "row_count_total": 0, "row_count_valid": 0, "row_count_error": 0, "error_message": None}
+                every = part if every is None else every.unionByName(part, allowMissingColumns=True)
+            if every is None:
+                continue
+            cast = self.store.staged(f"{place}/{key}/typed", every)
+            done = finished(cast, own)
+            sold = self.store.staged(f"{place}/{key}/facts", done.facts)
+            bad = self.store.staged(f"{place}/{key}/errors", done.errors)
+            with self.store.writing():
+                self.store.put_uploads("upload_errors", bad)
+            counts = [cast.select("upload_id", F.lit("row_count_total").alias("what")), sold.select("upload_id", F.lit("row_count_valid").alias("what")), bad.where(F.col("error_type").isin("number_parse_failed", "date_parse_failed")).select("upload_id", F.lit("row_count_error").alias("what"))]
+            for r in counts[0].union(counts[1]).union(counts[2]).groupBy("upload_id", "what").count().collect():
+                uploads[r.upload_id][r.what] = r["count"]
+            facts = sold if facts is None else facts.unionByName(sold)
+        if auto_commit and facts is not None:
+            self._commit_facts(facts)
+            for u in uploads.values():
+                u["status"] = "committed" if u["status"] == "parsed" else u["status"]
+        self._set_uploads(list(uploads.values()))
+        self.store.remove(place)
+        return [{"file": u["filename"], "path": u["path"], "upload_id": u["id"], "status": u["status"]} | ({"error": u["error_message"]} if u["status"] != "committed" else {}) for u in uploads.values()]
+
+    def _commit_facts(self, facts: DataFrame) -> None:
+        """Put the facts of new uploads in, with SKUs, and their products among the mappings."""
+        found, codes = identity.attach(facts, self.store.table("sku_mappings"), self.store.table("skus"))
+        changes = codes.where("match_type <> 'mapping'").withColumn("confidence", F.when(F.col("sku_id").isNotNull(), 1).otherwise(0).cast("decimal(5,4)"))
+        with self.store.writing():
+            self._drop_reports(facts.select("stat_date"), locked=True)
+            self.store.put_uploads("sales_facts", found)
+            self.store.replace("sku_mappings", identity.upserted(self.store.table("sku_mappings"), changes))
+
     def _stage(self, upload_id: int, platform_key: str | None) -> None:
         try:
             done, own, _ = self._parsed(upload_id, platform_key)
@@ -318,18 +412,8 @@ class Engine:
             self._backfill(was, only_old=True)
 
     def _backfill(self, changes: DataFrame, only_old: bool = False) -> None:
-        """Rewrite the upload partitions that hold the changed codes, and no others. Runs under the writer's lock."""
-        key = ["platform_key", "platform_product_code"]
-        facts = self.store.table("sales_facts")
-        touched = [r.upload_id for r in facts.join(changes, key, "left_semi").select("upload_id").distinct().collect()]
-        for upload_id in touched:
-            own = facts.where(F.col("upload_id") == upload_id).join(changes.withColumn("_hit", F.lit(True)), key, "left")
-            hit = F.col("_hit").isNotNull() & (F.col("sku_id").eqNullSafe(F.col("_old")) if only_old else F.lit(True))
-            out = own.withColumn("sku_id", F.when(hit, F.col("_new")).otherwise(F.col("sku_id"))).select(*facts.columns)
-            self.store.remove("rewrite")
-            out.write.parquet(f"{self.store.root}/rewrite")
-            self.store.put_upload("sales_facts", upload_id, self.spark.read.schema(facts.schema).parquet(f"{self.store.root}/rewrite"))
-        self.store.remove("rewrite")
+        """Rewrite the upload partitions that hold the changed codes, and no others, by one write. Runs under the writer's lock."""
+        self.store.put_uploads("sales_facts", identity.backfilled(self.store.table("sales_facts"), changes, only_old))
 
     def suggest(self, k: int = 3) -> DataFrame:
         """Likely SKUs of unmapped products."""

@@ -93,3 +93,18 @@ def upserted(mappings: DataFrame, changes: DataFrame) -> DataFrame:
     name = F.when(F.coalesce("_platform_product_name", F.lit("")) == "", F.col("platform_product_name")).otherwise(F.col("_platform_product_name"))
     pick = lambda c: F.when(keep, F.col(c)).otherwise(F.col("_" + c)).alias(c)
     return both.select("id", *key, name.alias("platform_product_name"), *[pick(c) for c in ("sku_id", "match_type", "confidence")])
+
+
+def backfilled(facts: DataFrame, changes: DataFrame, only_old: bool = False) -> DataFrame:
+    """All rows of the uploads that hold a changed product, with its new SKU: what must be written anew, and no more.
+
+    changes: platform_key, platform_product_code and _new, one row a product; with only_old also _old, and only rows
+    that have this SKU change. The uploads are found by a narrow scan, and meet the facts by upload, so that partitions
+    of other uploads need not be read.
+    """
+    key = ["platform_key", "platform_product_code"]
+    change = changes.select(*key, F.struct("_new", *["_old"] * only_old).alias("_change"))
+    hit = F.col("_change").isNotNull() & (F.col("sku_id").eqNullSafe(F.col("_change._old")) if only_old else F.lit(True))
+    touched = facts.select("upload_id", "sku_id", *key).join(change, key).where(hit).select("upload_id").distinct()
+    own = facts.join(touched, "upload_id", "left_semi").join(change, key, "left")
+    return own.withColumn("sku_id", F.when(hit, F.col("_change._new")).otherwise(F.col("sku_id"))).select(*facts.columns)

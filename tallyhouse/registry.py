@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse import oracle, oracle_dirty
+from tallyhouse import oracle, oracle_dirty, oracle_written
 from tallyhouse.functions.columns import composite_key, divide
 from tallyhouse.operators import anomaly
 from tallyhouse.operators.metrics import rollup, with_costs
-from tallyhouse.plans import bridge, daily, dirty, weekly
+from tallyhouse.plans import bridge, daily, dirty, weekly, written
 from tallyhouse.schema import DEFAULT_RULES, RULES
 
 DAY = bridge.DAY
@@ -148,4 +148,5 @@ def weekly_top_skus(spark, d):
 
 
 QUERIES.update(dirty.QUERIES)
-ORACLE_SQL: dict[str, str] = {**oracle.SQL, **oracle_dirty.SQL}
+QUERIES.update(written.QUERIES)
+ORACLE_SQL: dict[str, str] = {**oracle.SQL, **oracle_dirty.SQL, **oracle_written.SQL}

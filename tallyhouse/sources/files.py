@@ -235,8 +235,8 @@ def read(spark: SparkSession, paths: str | list[str], matching: FileMatching) ->
     return parsed(files, matching)
 
 
-def parsed(files: DataFrame, matching: FileMatching) -> DataFrame:
-    """files: path, content, sha256, one row each."""
+def parsed(files: DataFrame, matching: FileMatching, heads: bool = False) -> DataFrame:
+    """files: path, content, sha256, one row each. heads: one row a file, without cells."""
     names = [c.split()[0] for c in PARSED.split(", ")]
 
     def frame(rows: list[dict]) -> pd.DataFrame:
@@ -253,7 +253,8 @@ def parsed(files: DataFrame, matching: FileMatching) -> DataFrame:
                 except RetailError as e:
                     yield frame([base | {"error_code": e.code, "error_message": e.message}])
                     continue
-                rows = got.pop("rows")
+                rows = [] if heads else got["rows"]
+                del got["rows"]
                 for i in range(0, max(len(rows), 1), 10_000):
                     some = rows[i : i + 10_000] or [None]
                     yield frame([base | got | {"row_no": got["header_row_index"] + 1 + i + j if r is not None else None, "cells": r} for j, r in enumerate(some)])

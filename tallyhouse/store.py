@@ -95,6 +95,16 @@ class Store:
             df = df.sortWithinPartitions("stat_date", "platform_key")
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("upload_id").parquet(f"{self.root}/{name}")
 
+    def put_uploads(self, name: str, df: DataFrame) -> None:
+        """Replace the rows of every upload in df by one write; df may be made of the table itself.
+
+        Only the partitions of these uploads are written anew. A task has whole uploads, each a file's worth of rows, so
+        that an upload is one file and not one of each task.
+        """
+        if name != "raw_files":
+            df = df.repartition("upload_id").sortWithinPartitions("upload_id", *[c for c in ("stat_date", "platform_key") if c in df.columns])
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("upload_id").parquet(f"{self.root}/{name}")
+
     def staged(self, name: str, df: DataFrame) -> DataFrame:
         """df written under a name of its own and read back: what follows reads it and does not make it again."""
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")

@@ -1,7 +1,8 @@
 """A drop folder as a stream of files: each content once, failures apart, reports current.
 
-Structured Streaming tracks paths; contents seen before are skipped by digest inside the batch, so that a renamed copy
-is not taken twice. A file that fails is recorded and does not stop the batch. With an archive, finished files are moved there, failures apart.
+Structured Streaming tracks paths; contents seen before are skipped by digest, so that a renamed copy is not taken twice.
+A batch is a few jobs for each channel, however many files it has. A file that fails is recorded and does not stop the
+batch. With an archive, finished files are moved there, failures apart.
 """
 
 from __future__ import annotations
@@ -13,61 +14,52 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyhouse.engine import Engine
-from tallyhouse.schema import RetailError
 
 FILE = "path string, modificationTime timestamp, length long, content binary"
 #: Names of files that are still being written or are not meant for us.
 IGNORED = r"(^|/)[.~][^/]*$|\.(tmp|crdownload|part)$"
 
 
-def _filed(engine: Engine, path: str, archive: str, outcome: str) -> None:
-    """Move a finished file to the archive's folder of its outcome, the time before its name."""
+def _filed(engine: Engine, path: str, archive: str, outcome: str) -> bool:
+    """Move a finished file to the archive's folder of its outcome, the time before its name; False if it could not be moved."""
     hadoop = engine.spark._jvm.org.apache.hadoop.fs
     source = hadoop.Path(path)
     fs = source.getFileSystem(engine.spark._jsc.hadoopConfiguration())
     target = hadoop.Path(f"{archive}/{outcome}/{dt.datetime.now():%Y%m%d_%H%M%S_%f}_{source.getName()}")
     fs.mkdirs(target.getParent())
-    fs.rename(source, target)
-
-
-def _outcome(engine: Engine, upload_id: int, auto_commit: bool) -> dict:
-    state = engine._upload(upload_id)
-    if state.status != "parsed" or not auto_commit:
-        return {"status": state.status, "error": state.error_message}
-    try:
-        engine.commit(upload_id)
-    except RetailError as e:
-        return {"status": "failed", "error": str(e)}
-    return {"status": "committed"}
+    return fs.rename(source, target)
 
 
 def ingest_batch(engine: Engine, batch: DataFrame, auto_commit: bool = True, archive: str | None = None) -> list[dict]:
     """The files of a batch in order of time: skipped, parsed, committed or failed.
 
+    Contents stay with the executors: digests, parsing and writing are jobs over all new files of a channel at once. The
+    driver sees a row a file. Contents that are committed, by whatever name, are known by their digest in the store.
+
     With an archive, files that are committed or skipped go to its folder ``processed`` and failed ones, with their
-    copies in the batch, to ``failed``; a file that is only parsed stays where it is.
+    copies in the batch, to ``failed``; a file that is only parsed stays where it is, and one that can't be moved has
+    ``moved`` False.
     """
     found = batch.where(~F.col("path").rlike(IGNORED) & (F.col("length") > 0)).withColumn("sha256", F.sha2("content", 256))
     if archive:
         home = engine.spark._jvm.org.apache.hadoop.fs.Path(archive)
         home = home.getFileSystem(engine.spark._jsc.hadoopConfiguration()).makeQualified(home).toString()
         found = found.where(~F.col("path").startswith(home + "/processed/") & ~F.col("path").startswith(home + "/failed/"))
-    known = engine.store.table("uploads").where("status = 'committed'").select("sha256")
-    listed = found.select("path", "modificationTime", "sha256")
-    first = listed.join(known, "sha256", "left_anti").groupBy("sha256").agg(F.min(F.struct("modificationTime", "path")).alias("m")).select("m.path")
-    fresh = found.join(first, "path", "left_semi")
-    copies = listed.join(first, "path", "left_anti").orderBy("modificationTime", "path").collect()
-    out, states = [], {}
-    for row in fresh.orderBy("modificationTime", "path").toLocalIterator():
-        upload_id = engine.ingest(bytes(row.content), row.path.rpartition("/")[2])
-        done = _outcome(engine, upload_id, auto_commit)
-        states[row.sha256] = done["status"]
-        out.append({"file": row.path.rpartition("/")[2], "path": row.path, "upload_id": upload_id} | done)
-    out += [{"file": r.path.rpartition("/")[2], "path": r.path, "upload_id": None, "status": "skipped", "of": states.get(r.sha256, "committed")} for r in copies]
+    known = engine.store.table("uploads").where("status = 'committed'").select("sha256").distinct().withColumn("_known", F.lit(True))
+    listed = found.select("path", "modificationTime", "sha256").join(known, "sha256", "left").orderBy("modificationTime", "path").collect()
+    first = {}
+    for r in listed:
+        if not r._known:
+            first.setdefault(r.sha256, r.path)
+    fresh = [(r.path, r.sha256) for r in listed if first.get(r.sha256) == r.path]
+    wanted = engine.spark.createDataFrame(fresh, "path string, _digest string").select("path")
+    out = engine.ingest_files(found.join(wanted, "path", "left_semi"), fresh, auto_commit)
+    states = {digest: done["status"] for (_, digest), done in zip(fresh, out, strict=True)}
+    out += [{"file": r.path.rpartition("/")[2], "path": r.path, "upload_id": None, "status": "skipped", "of": states.get(r.sha256, "committed")} for r in listed if first.get(r.sha256) != r.path]
     for done in out if archive else ():
         state = done.get("of", done["status"])
         if state in ("committed", "failed"):
-            _filed(engine, done["path"], archive, "failed" if state == "failed" else "processed")
+            done["moved"] = _filed(engine, done["path"], archive, "failed" if state == "failed" else "processed")
     return out
 
 

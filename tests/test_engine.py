@@ -3,11 +3,13 @@
 import datetime as dt
 
 import pytest
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import functions as F
 
 from tallyhouse.engine import Engine
-from tallyhouse.schema import RetailError
+from tallyhouse.schema import FACTS, RetailError
 from tallyhouse.sinks import texts
-from tallyhouse.sources import files, spec
+from tallyhouse.sources import files, generator, spec
 from tallyhouse.streaming.drop_folder import scan, watch
 
 HEAD = "统计日期,店铺名称,商品ID,商品名称,一级类目,支付金额,支付件数,退款金额,商品访客数,支付买家数,推广花费\n"
@@ -150,3 +152,78 @@ def test_archive(spark, tmp_path):
     up = e.ingest(PDD, "拼多多.csv")
     got = e.commit_all([up, 99])
     assert (got["valid"], got["unmapped_codes"], got["latest_date"], got["committed"]) == (5, 5, DAY, 1) and got["failed"][0]["upload_id"] == 99
+
+
+def jobs(spark, run):
+    """Spark jobs of a call, and what it returns."""
+    spark.sparkContext.setJobGroup(f"count-{id(run)}", "count")
+    out = run()
+    n = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"count-{id(run)}"))
+    spark.sparkContext.setJobGroup("", "")
+    return n, out
+
+
+def test_many_files_at_once(spark, tmp_path):
+    """A folder of generated files, one that is broken, one of another layout and a copy: facts reach the manifest, with as many jobs as for fewer files."""
+    days, skus = 6, 12
+    made = generator.rows(spark, days, skus)
+    counts = []
+    for name, rows_per_file in (("few", 1000), ("many", 30)):
+        generator.ROWS_PER_FILE, before = rows_per_file, generator.ROWS_PER_FILE
+        try:
+            generator.write(generator.files(made, days, skus), f"file://{tmp_path}/{name}").collect()
+        finally:
+            generator.ROWS_PER_FILE = before
+        drop = tmp_path / name
+        (drop / "bad.xlsx").write_bytes(b"PK\x03\x04broken")
+        (drop / "none.csv").write_bytes(b"a,b\n1,2\n")
+        (drop / "other.csv").write_bytes("商品ID,统计日期,支付金额\nZ1,2026-01-01,7.5\n".encode())
+        e = Engine(spark, f"file://{tmp_path}/store-{name}")
+        n, out = jobs(spark, lambda e=e, drop=drop: scan(e, str(drop)))
+        counts.append((n, len(out)))
+        assert {r["status"] for r in out} == {"committed", "failed"} and sorted(r["file"] for r in out if r["status"] == "failed") == ["bad.xlsx", "none.csv"]
+        assert all(r["moved"] for r in out)
+        want = generator.manifest(made).groupBy("platform_key").agg(F.sum("gmv").alias("gmv"), F.sum("paid_qty").alias("qty"), (F.sum("rows") - F.sum("filtered") - F.sum("failed") - F.sum("duplicated")).alias("n"))
+        got = e.facts().where("stat_date > '2026-02-01'").groupBy("platform_key").agg(F.sum("gmv").alias("gmv"), F.sum("paid_qty").alias("qty"), F.count("*").alias("n"))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        assert e.facts().where("platform_product_code = 'Z1' and gmv = 7.5 and visitors is null").count() == 1
+        state = {u["filename"]: u for u in e.uploads(size=100)["items"]}
+        assert sum(u["row_count_total"] or 0 for u in state.values() if u["status"] == "committed") == made.count() + 1
+        assert sum(u["row_count_error"] or 0 for u in state.values()) == 0 and sum(r["count"] for r in e.store.table("upload_errors").groupBy("error_type").count().collect()) == 7
+        assert e.mappings(match_type="unmapped")["total"] == e.facts().select("platform_key", "platform_product_code").distinct().count()
+    (a, few), (b, many) = counts
+    assert many > 2 * few - 4 and b <= a + 6
+
+
+def test_stopped_batch_is_taken_up(spark, tmp_path, monkeypatch):
+    """A batch that stops before its facts are in runs again under the same numbers, and nothing is there twice."""
+    e = Engine(spark, f"file://{tmp_path}/store")
+    drop = tmp_path / "drop"
+    drop.mkdir()
+    (drop / "生意参谋1.csv").write_bytes(TAOBAO)
+    (drop / "拼多多.csv").write_bytes(PDD)
+    with monkeypatch.context() as m:
+        m.setattr(Engine, "_commit_facts", lambda self, facts: 1 / 0)
+        with pytest.raises(StreamingQueryException):
+            watch(e, str(drop), str(tmp_path / "checkpoint")).awaitTermination()
+    assert [u["status"] for u in e.uploads()["items"]] == ["parsing"] * 2 and e.facts().count() == 0
+    for _ in range(2):
+        watch(e, str(drop), str(tmp_path / "checkpoint")).awaitTermination()
+    assert sorted((u["id"], u["status"]) for u in e.uploads()["items"]) == [(1, "committed"), (2, "committed")] and e.facts().count() == 8
+
+
+def test_backfill_is_one_write(spark, tmp_path):
+    """Hundreds of uploads with a product get its SKU by as many jobs as one, and other partitions stay as they are."""
+    e = Engine(spark, f"file://{tmp_path}/store")
+    e.add_sku("K1", "a")
+    columns = {f.name: F.lit(None).cast(f.dataType) for f in FACTS}
+    own = {"row_no": F.lit(1).cast("long"), "stat_date": F.lit(DAY).cast("date"), "platform_key": F.lit("taobao"), "shop_code": F.lit("s"), "gmv": F.lit(1).cast("decimal(14,2)")}
+    facts = spark.range(300).withColumns({"upload_id": F.col("id"), "platform_product_code": F.when(F.col("id") % 3 == 0, "A").otherwise("B")})
+    e.store.put_uploads("sales_facts", facts.select(*[F.col(n) if n in facts.columns else own.get(n, c).alias(n) for n, c in columns.items()]))
+    stamp = lambda k: {p.name: p.stat().st_mtime_ns for p in (tmp_path / f"store/sales_facts/upload_id={k}").glob("*.parquet")}
+    other, own_file = stamp(1), stamp(3)
+    n, _ = jobs(spark, lambda: e.map_products([("taobao", "A", 1)]))
+    assert n < 40 and stamp(1) == other and stamp(3) != own_file
+    assert e.facts().where("sku_id = 1").count() == 100 and e.facts().count() == 300
+    e.clear_mapping("taobao", "A")
+    assert e.facts().where("sku_id is not null").count() == 0 and e.facts().count() == 300
