@@ -2,7 +2,8 @@
 
 Native: DataFrame functions only. Every whole text is read once. The base spans of four kinds are the seed entities.
 The one and two words before a seed induce lexical patterns; every identifier-shaped run that no base span covers is a
-candidate instance of the patterns before it. Spark scores the graph of patterns and instances in rounds:
+candidate instance of the patterns before it. Spark scores the graph of patterns and instances in rounds, until one
+accepts nothing new:
 
 - a pattern's confidence is the sum of its known instances' scores of its commonest kind, over that of all kinds and its
   contradicting instances, each whole, and those that nothing is known of, each ``doubt``;
@@ -31,6 +32,8 @@ an empty result.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,8 +53,9 @@ PATTERNS = {
 }
 NEEDS = {"email": "[@]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]"}
 SPAN = "struct<start:bigint,kind:int,stop:bigint>"
-#: Groups of digits with one or two separators between, else a run with a digit or @ in it that ends in a letter or digit.
-CANDIDATE = r"(?<![A-Za-z0-9@_.+=-])(?:\+?\(?[0-9]++(?:[\x20./()-]{1,2}+[0-9]++)++(?![A-Za-z0-9@_=])|[A-Za-z0-9@_.+=-]*[0-9@][A-Za-z0-9@_.+=-]*(?<=[A-Za-z0-9]))"
+#: Groups of digits with one or two separators between, none before a letter, else a run with a digit or @ in it up to its
+#: last letter or digit. All runs are possessive and what is asked after them is one character: no part is tried twice.
+CANDIDATE = r"(?<![A-Za-z0-9@_.+=-])(?:\+?\(?[0-9]++(?:[\x20./()-]{1,2}+[0-9]++(?![A-Za-z0-9@_=]))++|[A-Za-z_.+=-]*+(?:[0-9]|@[@_.+=-]*+[A-Za-z0-9])(?:[@_.+=-]*+[A-Za-z0-9])*+)"
 BLOCK = 128
 
 
@@ -143,15 +147,18 @@ def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("cand", let(cand, lambda c: _outside(c, F.col("base"))))
 
 
-def bootstrap(found: DataFrame, scratch: Scratch, rounds: int = 3, least_seeds: int = 4, bar: float = 0.8, doubt: float = 0.05) -> DataFrame:
-    """found: a written table with base and cand. The accepted instances: hit, kind."""
+def bootstrap(found: DataFrame, scratch: Scratch, rounds: int | None = None, least_seeds: int = 4, bar: float = 0.8, doubt: float = 0.05) -> DataFrame:
+    """found: a written table with base and cand. The accepted instances: hit, kind.
+
+    Rounds go on until one finds nothing new, or for so many as given.
+    """
     form = F.when(F.col("m.hit").rlike("[A-Za-z]"), "a ").otherwise("0 ")
     pairs = lambda name, kind: found.select(F.explode(name).alias("m")).select(F.explode("m.ctx").alias("c"), "m", form.alias("f")).select(F.concat("f", "c").alias("pattern"), "m.hit", kind.alias("kind"))
     edges = scratch.keep(pairs("base", F.col("m.kind")).union(pairs("cand", F.lit(None).cast("int"))).groupBy("pattern", "hit").agg(F.min("kind").alias("kind")))
     exact = lambda c: F.round(c, 9).cast("decimal(20,9)")
     seeds = edges.where("kind is not null").groupBy("hit").agg(F.min("kind").alias("as")).select("hit", "as", exact(F.lit(1.0)).alias("score"))
     known, fresh = seeds, edges.sparkSession.createDataFrame([], "hit string, as int, score decimal(20,9)")
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         of_kind = [F.coalesce(F.sum(F.when(F.coalesce("kind", "as") == k, F.col("score"))), F.lit(0)).alias(f"s{k}") for k in range(len(KINDS))]
         stats = scratch.keep(edges.join(known, "hit", "left").groupBy("pattern").agg(F.count("*").alias("n"), F.count("score").alias("n_known"), *of_kind))
         unknown = edges.join(known, "hit", "left_anti")
@@ -167,7 +174,10 @@ def bootstrap(found: DataFrame, scratch: Scratch, rounds: int = 3, least_seeds:
         err = F.exp(F.sum(exact(F.log(1.000001 - F.col("conf")))).cast("double"))
         said = unknown.join(trusted, "pattern").groupBy("hit").agg((1 - err).alias("score"), F.max_by("as", F.struct("conf", -F.col("as"))).alias("as"))
         new = said.join(against, "hit", "left").select("hit", "as", exact(F.col("score") / (1 + F.coalesce("_no", F.lit(0)))).alias("score")).where(F.col("score") >= bar)
-        fresh = scratch.keep(fresh.unionByName(new))
+        more = scratch.keep(new)
+        if more.isEmpty():
+            break
+        fresh = fresh.unionByName(more)
         known = seeds.unionByName(fresh)
     return fresh.select("hit", F.col("as").alias("kind"))
 
