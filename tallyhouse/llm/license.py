@@ -158,18 +158,20 @@ def scan(docs: DataFrame, scratch: Scratch, templates: list[Template] | None = N
     places = docs.sparkSession.createDataFrame(at, "template int, label string, phrase boolean, long int, exact boolean, t long, code long")
     votes = read.where(F.size("place") > 0).select("_rid", F.explode(F.arrays_zip("place", "code")).alias("h")).select("_rid", F.col("h.place").alias("p"), F.col("h.code").alias("code")).join(F.broadcast(places), "code").withColumn("diagonal", F.col("p") - F.col("t"))
 
-    # a phrase: all its k-grams on one diagonal
-    by = ["_rid", "template", "label", "long", "exact", "diagonal"]
-    phrase = votes.where("phrase").groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") == F.col("long") - K + 1)
+    # a phrase or a short statement: all its k-grams on one diagonal
+    by = ["_rid", "template", "label", "long", "diagonal"]
+    whole = votes.where("phrase or exact").groupBy(*by, "phrase").agg(F.count("*").alias("n")).where(F.col("n") == F.col("long") - K + 1)
+    phrase = whole.where("phrase")
+    stated = whole.where("not phrase").select("_rid", "label", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("long")).alias("stop"), F.lit(1.0).alias("share"))
     base_hits = phrase.groupBy("_rid").agg(F.count("*").alias("n_base"), F.min("diagonal").alias("first_word"), F.max("diagonal").alias("last_word"), F.collect_set("label").alias("_base"))
 
     # a passage: diagonals within ``slack`` of the one before are one; each template word counts once
-    passage = votes.where(~F.col("phrase")).groupBy(*by).agg(F.collect_set("t").alias("ts"), F.min("p").alias("start"), F.max("p").alias("stop"))
+    passage = votes.where("not phrase and not exact").groupBy(*by).agg(F.collect_set("t").alias("ts"), F.min("p").alias("start"), F.max("p").alias("stop"))
     order = Window.partitionBy("_rid", "template").orderBy("diagonal")
     fresh = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > slack, F.lit(True)).cast("int")
-    merged = passage.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(order)).groupBy("_rid", "template", "label", "long", "exact", "_run").agg(F.array_distinct(F.flatten(F.collect_list("ts"))).alias("ts"), F.min("start").alias("start"), (F.max("stop") + K).alias("stop"))
+    merged = passage.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(order)).groupBy("_rid", "template", "label", "long", "_run").agg(F.array_distinct(F.flatten(F.collect_list("ts"))).alias("ts"), F.min("start").alias("start"), (F.max("stop") + K).alias("stop"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("ts", lambda t: F.sequence(t, t + K - 1)))))
-    found = merged.withColumn("share", covered / F.col("long")).where((F.col("share") >= least_share) & (~F.col("exact") | (F.size("ts") == F.col("long") - K + 1)))
+    found = merged.withColumn("share", covered / F.col("long")).where(F.col("share") >= least_share).select("_rid", "label", "start", "stop", "share").unionByName(stated)
     # of labels at overlapping places the one with the largest share stays: licenses borrow one another's wording
     reach = max(map(len, split)) * (1 + slack)
     near = Window.partitionBy("_rid").orderBy("start").rangeBetween(-reach, reach)

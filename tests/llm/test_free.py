@@ -413,3 +413,10 @@ def test_packer_follows_the_heuristic(seed):
     assert sorted(item) == list(range(120)) and (start == 0).all() and (length == tokens[item]).all()
     got = [[(int(tokens[i]), 1, int(loss[i])) for i in item[sequence == s]] for s in range(sequence[-1] + 1)]
     assert got == plain_fill(tokens.tolist(), loss.tolist(), limits)
+
+
+def test_license_statements_stand_whole(spark):
+    """A statement's words must stand in a row: two halves on neighbouring places are none."""
+    texts = ["creative commons attribution zzz commons attribution license", "x creative commons attribution license y", "under the gnu general public the gnu general public license", "of this license " * 3000]
+    rows = {r.doc_id: r for r in license.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), Scratch(spark)).collect()}
+    assert (rows[0].labels, rows[0].score) == ("", 0.0) and (rows[1].labels, rows[1].score) == ("cc-by", 1.0) and rows[2].labels == "" and rows[3].labels == ""
