@@ -13,6 +13,8 @@ it rejects nobody. Repeated rows count as often as they occur. An empty table gi
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,8 +27,12 @@ STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: The smallest standard deviation allowed for each coordinate of the vector, so that a constant one is no trap.
 FLOORS = [0.06, 0.05, 0.06, 0.05]
 DIM = len(FLOORS)
-#: Three quarters kept shrink a normal covariance; this factor for 4 dimensions undoes it.
-CONSISTENCY = 1.65
+#: The share of a group that its estimates are made of, and the quantile of chi-square with DIM degrees of freedom for it:
+#: 1 - exp(-x/2) (1 + x/2) = KEPT.
+KEPT, NEAREST = 0.75, 5.38527
+#: What is kept has a smaller covariance than all of a normal group, by the share that chi-square with DIM + 2 degrees of
+#: freedom has under NEAREST, over KEPT; this factor undoes it (Croux and Haesbroeck, 1999).
+CONSISTENCY = KEPT / (1 - math.exp(-NEAREST / 2) * (1 + NEAREST / 2 + (NEAREST / 2) ** 2 / 2))
 #: The 0.9999 quantile of the chi-square distribution with DIM degrees of freedom: exp(-x/2) (1 + x/2) = 0.0001.
 CUTOFF = 23.5127
 
@@ -114,7 +120,7 @@ def estimates(points: DataFrame, scratch: Scratch, steps: int = 3) -> DataFrame:
     now = scratch.keep(_factor(start.withColumns({f"c{i}{j}": F.lit(0.0) for i in range(DIM) for j in range(i)})))
     for _ in range(steps):
         near = _distance(points.join(now, "grp")).withColumn("bin", F.floor(F.least(F.log2(1 + F.col("d2")), F.lit(60)) * 32).cast("int"))
-        edge = scratch.keep(_quantile_bin(near.groupBy("grp", "bin").agg(F.count("*").alias("n")), ["grp"], 0.75, "upto"))
+        edge = scratch.keep(_quantile_bin(near.groupBy("grp", "bin").agg(F.count("*").alias("n")), ["grp"], KEPT, "upto"))
         core = near.join(edge, "grp").where("bin <= upto")
         # moments about the last centre lose no digits
         dev = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(DIM)]

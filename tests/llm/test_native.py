@@ -1,12 +1,16 @@
 """Personal data, url filters and quality rules against plain Python, with odd rows."""
 
+import collections
 import hashlib
+import time
 import math
 import random
 import re
 
 import pytest
 
+import numpy as np
+
 from tallyhouse.llm import pii, quality, queries_native, urls
 from tallyhouse.llm.common import Scratch
 
@@ -245,3 +249,92 @@ def test_url_query(spark):
         rule, verdict = plain_rule(*plain_parts(url))
         assert (r.host, r.path, r.rule) == (*plain_parts(url), rule)
         assert r.verdict == (verdict or ("block" if "://" in (url or "") and plain_node(url) in blocked else "allow")), url
+
+
+def test_candidates_in_linear_time(spark):
+    """Runs that have no end to find: a hundred thousand characters of each, in seconds, and the same candidates as a plain scan."""
+    long = [unit * (100_000 // len(unit)) for unit in ("@", "=@", ".@", "a-", "1 ", "12 34x ", "9.", "+1(", "a@b=")]
+    began = time.time()
+    rows = pii.with_candidates(frame(spark, long)).select(pii.F.size("cand").alias("n")).collect()
+    assert len(rows) == len(long) and time.time() - began < 60
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("a1@.=+- (/_,2") for _ in range(rng.randrange(30))) for _ in range(400)]
+    # maximal runs with a digit or @, cut at their last letter or digit, where no groups of digits begin
+    grouped = re.compile(r"\+?\(?[0-9]+(?:[\x20./()-]{1,2}[0-9]+(?![A-Za-z0-9@_=]))+")
+    inside = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789@_.+=-")
+    for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", pii.F.regexp_extract_all("t", pii.F.lit(pii.CANDIDATE), pii.F.lit(0)).alias("c")).collect():
+        text, at = texts[r.i], 0
+        for hit in r.c:
+            at = text.index(hit, at)
+            assert at == 0 or text[at - 1] not in inside or hit[0] == "("
+            if not grouped.fullmatch(hit):
+                run = re.match(r"[A-Za-z0-9@_.+=-]+", text[at:])[0]
+                assert hit == re.sub(r"[^A-Za-z0-9]+$", "", run) and re.search("[0-9@]", hit)
+            at += len(hit)
+
+
+def test_bootstrap_goes_on_while_it_finds(spark):
+    """Five words, each known only from instances that the word before found: more rounds than any fixed number of three."""
+    steps = ["contact", "reach", "ask", "page", "ring", "poke"]
+    texts = [f"contact u{i}@mail.example.com" for i in range(20)]
+    texts += [f"{w} agent-{k}{i}77" for k in range(5) for w in steps[k : k + 2] for i in range(5)]
+    assert all(len(x) == 1 for x in added(spark, texts)[20:])
+
+
+def plain_mcd(points, steps=3):
+    """The estimate in numpy: quartiles, then the nearest three quarters three times; distances of all points."""
+    grid, floors = 1024, np.array(quality.FLOORS)
+
+    def edge(values, share):
+        ordered = np.sort(values)
+        return ordered[int(np.ceil(share * len(ordered))) - 1]
+
+    bins = np.floor(points * grid)
+    a, b, c = (np.array([edge(bins[:, k], s) for k in range(4)]) for s in (0.25, 0.5, 0.75))
+    mean, cov = (b + 0.5) / grid, np.diag(((c - a) / grid / 1.349) ** 2 + floors**2)
+    for _ in range(steps):
+        dev = points - mean
+        d2 = np.einsum("ij,ij->i", dev, np.linalg.solve(cov, dev.T).T)
+        place = np.floor(np.minimum(np.log2(1 + d2), 60) * 32)
+        core = points[place <= edge(place, 0.75)]
+        mean = core.mean(0)
+        cov = 1.48642 * ((core - mean).T @ (core - mean) / len(core)) + np.diag(floors**2)
+    dev = points - mean
+    return np.einsum("ij,ij->i", dev, np.linalg.solve(cov, dev.T).T)
+
+
+def test_outliers_against_numpy(spark):
+    """d2 and kept of every document of sf0.01, group by group."""
+    assert abs(quality.CONSISTENCY - 1.48642) < 1e-4
+    assert abs(1 - math.exp(-quality.NEAREST / 2) * (1 + quality.NEAREST / 2) - quality.KEPT) < 1e-5
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    keep = [*quality.STATS, "n_lines", "base_failed", "lang", "source", "doc_id"]
+    rows = quality.judge(Scratch(spark).keep(quality.with_statistics(docs).select(*keep)), Scratch(spark)).toPandas()
+    good = rows[~rows.base_failed].copy()
+    pair = list(zip(good.lang.fillna("~"), good.source.fillna("~")))
+    size = collections.Counter(pair)
+    per_lang = collections.Counter()
+    for p, n in size.items():
+        per_lang[p[0]] += n if n < 100 else 0
+    good["grp"] = [p if size[p] >= 100 else p[0] if per_lang[p[0]] >= 100 else "pool" for p in pair]
+    n = good.n_words
+    x = np.stack([np.log((good.word_chars + 275) / (n + 50)), np.sqrt(good.n_symbols / (good.word_chars + 100)), good.n_dup_lines / (good.n_lines + 8), good.n_repeat_words / (n + 50)], 1).astype(float)
+    checked = 0
+    for _, at in good.reset_index(drop=True).groupby("grp").groups.items():
+        own = good.iloc[at]
+        if len(own) < 100:
+            assert own.d2.isna().all() and own.kept.all()
+            continue
+        d2 = plain_mcd(x[at])
+        assert np.allclose(own.d2, d2, rtol=1e-6, atol=1e-9)
+        assert ((d2 <= quality.CUTOFF) == own.kept).all()
+        checked += len(own)
+    assert checked > 500
+
+
+def test_judge_without_groups(spark):
+    docs = spark.createDataFrame([(i, "a b c d e f g h i j k l", None, None) for i in range(120)] + [(None, None, "en", None)], "doc_id long, text string, lang string, source string")
+    table = Scratch(spark).keep(quality.with_statistics(docs))
+    rows = quality.judge(table, Scratch(spark)).collect()
+    assert len(rows) == 121 and [r.kept for r in rows if r.doc_id is None] == [False] and all(r.kept for r in rows if r.doc_id is not None)
+    assert quality.judge(table.where("false"), Scratch(spark)).count() == 0
