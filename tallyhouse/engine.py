@@ -413,7 +413,7 @@ class Engine:
 
     def _backfill(self, changes: DataFrame, only_old: bool = False) -> None:
         """Rewrite the upload partitions that hold the changed codes, and no others, by one write. Runs under the writer's lock."""
-        self.store.put_uploads("sales_facts", identity.backfilled(self.store.table("sales_facts"), changes, only_old))
+        self.store.put_uploads("sales_facts", identity.backfilled(self.store.table("sales_facts"), changes, only_old), new_days=False)
 
     def suggest(self, k: int = 3) -> DataFrame:
         """Likely SKUs of unmapped products."""
@@ -448,13 +448,15 @@ class Engine:
         return plain(self.store.table("sales_facts").agg(F.max("stat_date")).first()[0])
 
     # reports
-    def facts(self, rounded: bool = True) -> DataFrame:
-        return with_costs(self.store.table("sales_facts"), self.store.table("skus"), self.channels(), rounded)
+    def facts(self, rounded: bool = True, first: dt.date | None = None, last: dt.date | None = None) -> DataFrame:
+        """Costed facts, of all days or of those from first to last, for which only uploads with such days are read."""
+        found = self.store.table("sales_facts") if first is None else self.store.facts_between(first, last)
+        return with_costs(found, self.store.table("skus"), self.channels(), rounded)
 
     def daily_report(self, date: str, platforms: list[str] | None = None, shops: list[str] | None = None, compare: bool = True) -> dict:
         """The whole report of a day. The window's rows are cached, since every section reads them."""
         day, channels, skus = date_of(date), self.channels(), self.store.table("skus")
-        facts = daily.scoped(daily.in_window(self.facts(), day), platforms, shops).cache()
+        facts = daily.scoped(daily.in_window(self.facts(first=day - dt.timedelta(days=daily.WINDOW_DAYS - 1), last=day), day), platforms, shops).cache()
         try:
             if facts.where(F.col("stat_date") == F.lit(day)).isEmpty():
                 raise RetailError("NO_DATA_FOR_DATE", f"no sales on {day}", {"report_date": date})
@@ -553,7 +555,7 @@ class Engine:
     def export_detail(self, date: str) -> list[dict]:
         """A file that can be read in again for each built-in channel with sales of the day."""
         day, out = date_of(date), []
-        facts = self.store.table("sales_facts").where(F.col("stat_date") == F.lit(day))
+        facts = self.store.facts_between(day, day)
         if facts.isEmpty():
             raise RetailError("NO_DATA_FOR_DATE", f"no sales on {day}")
         adapters = self.adapters()

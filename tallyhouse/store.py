@@ -7,6 +7,7 @@ lock file. Files are reached by Hadoop's file system API, so that the root may b
 
 from __future__ import annotations
 
+import datetime as dt
 import time
 from contextlib import contextmanager
 
@@ -21,14 +22,15 @@ SNAPSHOTS = {
     "adapter_configs": "platform_key string, version int, yaml_text string, is_builtin boolean, enabled boolean",
     "daily_reports": "report_date date, metrics_json string, summary string, workbook string, created_at timestamp",
 }
-BY_UPLOAD = ("sales_facts", "upload_errors", "raw_files")
+BY_UPLOAD = ("sales_facts", "fact_days", "upload_errors", "raw_files")
+DAYS = "upload_id long, stat_date date"
 RAW = "upload_id long, filename string, sha256 string, content binary"
 
 
 class Store:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-        self.shapes = {"sales_facts": schema.FACTS, "upload_errors": schema.ERRORS, "raw_files": RAW}
+        self.shapes = {"sales_facts": schema.FACTS, "fact_days": DAYS, "upload_errors": schema.ERRORS, "raw_files": RAW}
 
     # files
     def _path(self, name: str):
@@ -93,14 +95,32 @@ class Store:
             return
         if "stat_date" in df.columns:
             df = df.sortWithinPartitions("stat_date", "platform_key")
+        if name == "sales_facts":
+            self._put_days(df)
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("upload_id").parquet(f"{self.root}/{name}")
 
-    def put_uploads(self, name: str, df: DataFrame) -> None:
-        """Replace the rows of every upload in df by one write; df may be made of the table itself.
+    def _put_days(self, facts: DataFrame) -> None:
+        """Note the days of uploads before their facts are written. Days that an upload had before stay: one too many costs a look, one too few would lose rows."""
+        new = facts.select("upload_id", "stat_date").distinct()
+        old = self.table("fact_days").join(new.select("upload_id"), "upload_id", "left_semi")
+        new.union(old).distinct().repartition("upload_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("upload_id").parquet(f"{self.root}/fact_days")
+
+    def facts_between(self, first: dt.date, last: dt.date) -> DataFrame:
+        """The facts of some days. Facts lie by upload; the small table of their days tells which uploads are read at all."""
+        within = F.col("stat_date").between(F.lit(first), F.lit(last))
+        facts = self.table("sales_facts").where(within)
+        if not self._exists("fact_days"):
+            return facts
+        return facts.join(self.table("fact_days").where(within).select("upload_id").distinct(), "upload_id", "left_semi").select(*facts.columns)
+
+    def put_uploads(self, name: str, df: DataFrame, new_days: bool = True) -> None:
+        """Replace the rows of every upload in df by one write; df may be made of the table itself. new_days=False: rows keep their days.
 
         Only the partitions of these uploads are written anew. A task has whole uploads, each a file's worth of rows, so
         that an upload is one file and not one of each task.
         """
+        if name == "sales_facts" and new_days:
+            self._put_days(df)
         if name != "raw_files":
             df = df.repartition("upload_id").sortWithinPartitions("upload_id", *[c for c in ("stat_date", "platform_key") if c in df.columns])
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("upload_id").parquet(f"{self.root}/{name}")
@@ -111,7 +131,8 @@ class Store:
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop_upload(self, name: str, upload_id: int) -> None:
-        self.remove(f"{name}/upload_id={upload_id}")
+        for table in (name, "fact_days") if name == "sales_facts" else (name,):
+            self.remove(f"{table}/upload_id={upload_id}")
 
     def next_id(self, name: str) -> int:
         return (self.table(name).agg(F.max("id")).first()[0] or 0) + 1

@@ -227,3 +227,18 @@ def test_backfill_is_one_write(spark, tmp_path):
     assert e.facts().where("sku_id = 1").count() == 100 and e.facts().count() == 300
     e.clear_mapping("taobao", "A")
     assert e.facts().where("sku_id is not null").count() == 0 and e.facts().count() == 300
+
+
+def test_days_choose_uploads(spark, tmp_path):
+    """A report's window reads the partitions of uploads that have such days, and only those; moved and dropped uploads stay right."""
+    e = Engine(spark, f"file://{tmp_path}/store")
+    rows = "".join(f"2026-01-{d:02d},店,K{d},面霜,美妆,{d},1,0,1,1,0\n" for d in (1, 2))
+    for m in range(1, 5):
+        e.commit(e.ingest((HEAD + rows.replace("2026-01", f"2026-{m:02d}")).encode("gb18030"), f"生意参谋{m}.csv", "taobao"))
+    got = e.store.facts_between(dt.date(2026, 3, 1), dt.date(2026, 3, 31))
+    assert sorted(r.upload_id for r in got.collect()) == [3, 3] and e.store.facts_between(dt.date(2026, 1, 2), dt.date(2026, 2, 1)).count() == 2
+    assert "dynamicpruning" in got._jdf.queryExecution().executedPlan().toString()
+    e.map_products([("taobao", "K1", None)])
+    e.delete_facts(3)
+    assert got.sparkSession is spark and e.store.facts_between(dt.date(2026, 3, 1), dt.date(2026, 3, 31)).count() == 0
+    assert [x["row_count"] for x in e.export_detail("2026-02-02")] == [1] and e.daily_report("2026-02-02")["overview"]["gmv"] == 2
