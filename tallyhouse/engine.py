@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from tallyhouse.operators import anomaly, identity
 from tallyhouse.operators.metrics import with_costs
-from tallyhouse.operators.normalize import Normalised, finished, normalise, typed
-from tallyhouse.plans import daily, weekly
+from tallyhouse.operators.normalize import Normalised, cast_counts, error_counts, finished, normalise, observed_stats, typed
+from tallyhouse.plans import daily, listing, sections, weekly
 from tallyhouse.schema import CHANNELS, DEFAULT_RULES, WEEKDAYS, RetailError
 from tallyhouse.sinks import detail, texts
 from tallyhouse.sinks.xlsx import workbook
@@ -123,7 +123,7 @@ class Engine:
         self._save("uploads", old.where(~F.col("id").isin(ids)).unionByName(self.store.rows("uploads", [tuple(row.get(n) for n in names) for row in rows])))
 
     def _parsed(self, upload_id: int, platform_key: str | None) -> tuple[Normalised, spec.Spec, dict]:
-        """Parse an upload's stored file with the current specification of its channel."""
+        """Parse an upload's stored file with the current specification of its channel. The counts of cast rows are observed while they are staged."""
         raw = self.store.table("raw_files").where(F.col("upload_id") == upload_id)
         one = raw.select(F.col("filename").alias("path"), "content", "sha256")
         if platform_key is None:
@@ -135,7 +135,12 @@ class Engine:
         own = self.adapter(platform_key)
         rows = files.parsed(one, own.file_matching)
         first = self._first(rows)
-        return normalise(rows.where("cells is not null").select("row_no", "cells"), first["header"], own, upload_id, lambda df: self.store.staged(f"staging/{upload_id}", df)), own, first
+        seen: dict = {}
+
+        def keep(cast: DataFrame) -> DataFrame:
+            return self.store.staged(f"staging/{upload_id}", cast, cast_counts(), seen)
+
+        return normalise(rows.where("cells is not null").select("row_no", "cells"), first["header"], own, upload_id, keep), own, seen
 
     @staticmethod
     def _probe() -> spec.FileMatching:
@@ -249,13 +254,12 @@ class Engine:
 
     def _stage(self, upload_id: int, platform_key: str | None) -> None:
         try:
-            done, own, _ = self._parsed(upload_id, platform_key)
+            done, own, cast = self._parsed(upload_id, platform_key)
         except RetailError as e:
             self._set_upload(id=upload_id, status="failed", error_message=f"{e.code}: {e.message}")
             return
-        stats = done.stats()
         with self.store.writing():
-            self.store.put_upload("upload_errors", upload_id, done.errors)
+            stats = observed_stats(cast, self.store.put_upload("upload_errors", upload_id, done.errors, error_counts()))
         self._set_upload(id=upload_id, platform_key=own.platform_key, adapter_version=own.adapter_version, status="parsed", row_count_total=stats["total"], row_count_valid=stats["valid"], row_count_error=stats["failed"], error_message=None)
 
     def sources(self, date: str) -> list[dict]:
@@ -284,21 +288,19 @@ class Engine:
         same = self.store.table("uploads").where((F.col("sha256") == up.sha256) & (F.col("id") != upload_id) & (F.col("status") == "committed"))
         if not force and (other := same.first()) is not None:
             raise RetailError("DUPLICATE_UPLOAD_COMMITTED", f"upload {other.id} has the same content", {"upload_id": other.id})
-        done, own, _ = self._parsed(upload_id, up.platform_key)
-        stats = done.stats()
+        done, own, cast = self._parsed(upload_id, up.platform_key)
         facts, codes = identity.attach(done.facts, self.store.table("sku_mappings"), self.store.table("skus"))
         self._drop_reports(done.facts.select("stat_date"))
         with self.store.writing():
-            self.store.put_upload("upload_errors", upload_id, done.errors)
+            stats = observed_stats(cast, self.store.put_upload("upload_errors", upload_id, done.errors, error_counts()))
             if up.status == "committed":
                 self._drop_reports(self.store.table("sales_facts").where(F.col("upload_id") == upload_id).select("stat_date"), locked=True)
-            self.store.put_upload("sales_facts", upload_id, facts)
-            matched = {r.match_type: r["count"] for r in codes.groupBy("match_type").count().collect()}
+            stats["valid"] = (sold := self.store.put_upload("sales_facts", upload_id, facts, {"last": F.max("stat_date")}))["rows"]
+            matched = {r.match_type: r.codes for r in identity.match_counts(codes).collect()}
             changes = codes.where("match_type <> 'mapping'").withColumn("confidence", F.when(F.col("sku_id").isNotNull(), 1).otherwise(0).cast("decimal(5,4)"))
             self.store.replace("sku_mappings", identity.upserted(self.store.table("sku_mappings"), changes))
         self._set_upload(id=upload_id, status="committed", row_count_total=stats["total"], row_count_valid=stats["valid"], row_count_error=stats["failed"])
-        last = self.store.table("sales_facts").where(F.col("upload_id") == upload_id).agg(F.max("stat_date")).first()[0]
-        return stats | {"latest_date": plain(last), "unmapped_codes": matched.get("unmapped", 0), "matched": {k: matched.get(k, 0) for k in ("mapping", "exact", "unmapped")}}
+        return stats | {"latest_date": plain(sold["last"]), "unmapped_codes": matched.get("unmapped", 0), "matched": {k: matched.get(k, 0) for k in ("mapping", "exact", "unmapped")}}
 
     def _changes(self, rows: list[tuple]) -> DataFrame:
         return self.spark.createDataFrame(rows, "platform_key string, platform_product_code string, platform_product_name string, sku_id long, match_type string, confidence decimal(5,4)")
@@ -346,7 +348,7 @@ class Engine:
     def skus(self, q: str | None = None, category: str | None = None, status: str | None = None, page: int = 1, size: int = 50) -> dict:
         got = self.store.table("skus")
         if q:
-            got = got.where(F.col("name").ilike(f"%{q}%") | F.col("sku_code").ilike(f"%{q}%"))
+            got = listing.searched(got, name=q, sku_code=q)
         for c, v in (("category", category), ("status", status)):
             got = got if v is None else got.where(F.col(c) == v)
         return page_of(got, [F.asc("id")], page, size)
@@ -378,19 +380,18 @@ class Engine:
 
     def _require_skus(self, ids: list[int]) -> None:
         asked = self.spark.createDataFrame([(i,) for i in ids], "id long")
-        if missing := [r.id for r in asked.join(self.store.table("skus"), "id", "left_anti").collect()]:
+        if missing := [r.id for r in listing.missing(asked, self.store.table("skus")).collect()]:
             raise RetailError("SKU_NOT_FOUND", f"no SKU {missing}", {"missing": missing})
 
     def mappings(self, q: str | None = None, platform_key: str | None = None, match_type: str | None = None, page: int = 1, size: int = 50) -> dict:
         got = self.store.table("sku_mappings")
         if q:
-            got = got.where(F.col("platform_product_name").ilike(f"%{q}%") | F.col("platform_product_code").ilike(f"%{q}%"))
+            got = listing.searched(got, platform_product_name=q, platform_product_code=q)
         if platform_key:
             got = got.where(F.col("platform_key") == platform_key)
         if match_type:
             got = got.where("sku_id is not null" if match_type == "confirmed" else F.col("match_type") == match_type)
-        names = self.store.table("skus").select(F.col("id").alias("sku_id"), "sku_code", F.col("name").alias("sku_name"))
-        return page_of(got.join(names, "sku_id", "left"), [F.asc("id")], page, size)
+        return page_of(listing.with_skus(got, self.store.table("skus")), [F.asc("id")], page, size)
 
     def map_products(self, pairs: list[tuple[str, str, int | None]], match_type: str = "manual", confidence: float = 1.0) -> int:
         """Map (platform_key, code) to SKUs, all or none, and write the SKU into committed facts. Counts pairs."""
@@ -441,7 +442,7 @@ class Engine:
 
     def meta(self) -> dict:
         facts = self.store.table("sales_facts")
-        one = lambda c: [r[0] for r in facts.where(F.col(c).isNotNull()).select(c).distinct().orderBy(c).collect()]
+        one = lambda c: [r[0] for r in listing.values(facts, c).orderBy(c).collect()]
         return {"platforms": one("platform_key"), "categories": one("category"), "shops": one("shop_name")}
 
     def latest_date(self) -> str | None:
@@ -454,13 +455,15 @@ class Engine:
         return with_costs(found, self.store.table("skus"), self.channels(), rounded)
 
     def daily_report(self, date: str, platforms: list[str] | None = None, shops: list[str] | None = None, compare: bool = True) -> dict:
-        """The whole report of a day. The window's rows are cached, since every section reads them."""
+        """The whole report of a day. The window's rows are cached, and so are the groups' sums, which all sections over a dimension and the alerts are made of."""
         day, channels, skus = date_of(date), self.channels(), self.store.table("skus")
         facts = daily.scoped(daily.in_window(self.facts(first=day - dt.timedelta(days=daily.WINDOW_DAYS - 1), last=day), day), platforms, shops).cache()
+        sums = sections.sums(facts, channels, day).cache()
         try:
             if facts.where(F.col("stat_date") == F.lit(day)).isEmpty():
                 raise RetailError("NO_DATA_FOR_DATE", f"no sales on {day}", {"report_date": date})
-            overview = collected(daily.overall(facts, day, compare))[0] | collected(daily.rolling_refund(facts, day))[0]
+            part = sections.parts(sums, channels, skus, compare)
+            overview = collected(part["overall"])[0] | collected(daily.rolling_refund(facts, day))[0]
             if not compare:
                 overview |= {k: None for k in ("refund_rate_7d_dod_pp", "refund_rate_7d_wow_pp")}
             missing = collected(daily.missing_platforms(facts, channels, day).where(F.col("platform_key").isin(*spec.builtin_keys())).orderBy("platform_key"))
@@ -469,12 +472,12 @@ class Engine:
             if coverage is not None and coverage < 0.999:
                 warnings.append(f"仅 {coverage * 100:.1f}% 的成交额有成本价，毛利/经营利润只统计了这部分商品（去 SKU 管理补成本价）")
             by_net = [F.coalesce("net_amount", F.lit(0.0)).desc()]
-            mapped = daily.by_sku(facts, skus, channels, day, compare).cache()
+            mapped = part["sku"].cache()
             trend = collected(daily.trend(facts, day).orderBy("stat_date"))
             names = channels.select(F.col("platform_key").alias("_k"), "display_name")
-            subjects = anomaly.subjects(facts, "overall", [], F.lit("整体"), day, compare)
-            by_channel = anomaly.subjects(facts, "platform", ["platform_key"], F.col("platform_key"), day, compare).join(names, F.col("subject") == F.col("_k"), "left").withColumn("subject", daily.shown(F.col("subject"), F.col("display_name")))
-            by_sku = anomaly.subjects(facts.where("sku_id is not null"), "sku", ["sku_id"], F.col("sku_id"), day, compare).join(skus.select(F.col("id").alias("_id"), "sku_code", "name"), F.col("subject") == F.col("_id"), "left").withColumn("subject", F.coalesce(F.concat_ws(" ", F.col("sku_code"), F.col("name")), F.concat(F.lit("SKU#"), F.col("subject").cast("string"))))
+            subjects = anomaly.subjects_of(sections.of(sums, "overall"), "overall", F.lit("整体"), compare)
+            by_channel = anomaly.subjects_of(sections.of(sums, "platform"), "platform", F.col("platform_key"), compare).join(names, F.col("subject") == F.col("_k"), "left").withColumn("subject", daily.shown(F.col("subject"), F.col("display_name")))
+            by_sku = anomaly.subjects_of(sections.of(sums, "sku"), "sku", F.col("sku_id"), compare).join(skus.select(F.col("id").alias("_id"), "sku_code", "name"), F.col("subject") == F.col("_id"), "left").withColumn("subject", F.coalesce(F.concat_ws(" ", F.col("sku_code"), F.col("name")), F.concat(F.lit("SKU#"), F.col("subject").cast("string"))))
             context = subjects
             for more in (by_channel, by_sku):
                 context = context.unionByName(more.select(*subjects.columns))
@@ -482,12 +485,12 @@ class Engine:
             report = {
                 "report_date": date, "weekday": WEEKDAYS[day.weekday()], "compare_dates": {"dod": str(day - dt.timedelta(days=1)), "wow": str(day - dt.timedelta(days=7))},
                 "data_completeness": {"expected_platforms": spec.builtin_keys(), "present_platforms": present, "missing_platforms": [m["platform_key"] for m in missing], "warning": "；".join(warnings) or None, "cost_coverage": coverage},
-                "overview": overview, "overview_values": {r.pop("metric"): r for r in collected(daily.overall_values(facts, day))}, "note": collected(daily.shipping_note(facts, channels, day))[0]["note"],
+                "overview": overview, "overview_values": {r.pop("metric"): r for r in collected(daily.values_of(sections.of(sums, "overall")))}, "note": collected(daily.shipping_note(facts, channels, day))[0]["note"],
                 "diagnosis": texts.explained(collected(daily.gmv_attribution(facts, day))[0]) if compare else None,
-                "by_platform": collected(daily.by_platform(facts, channels, day).orderBy(*by_net, F.asc_nulls_last("platform_key"))),
-                "by_shop": collected(daily.by_shop(facts, channels, day).orderBy(*by_net, *[F.asc_nulls_last(c) for c in ("platform_key", "shop_code", "shop_name")])),
-                "by_category": collected(daily.by_category(facts, day).orderBy(*by_net, F.asc_nulls_last("category"))),
-                "by_sku": {"mapped": collected(mapped.orderBy(*by_net, "sku_id")), "unmapped": collected(daily.by_unmapped(facts, day, compare).orderBy(*by_net, "platform_key", "platform_product_code"))},
+                "by_platform": collected(part["platform"].orderBy(*by_net, F.asc_nulls_last("platform_key"))),
+                "by_shop": collected(part["shop"].orderBy(*by_net, *[F.asc_nulls_last(c) for c in ("platform_key", "shop_code", "shop_name")])),
+                "by_category": collected(part["category"].orderBy(*by_net, F.asc_nulls_last("category"))),
+                "by_sku": {"mapped": collected(mapped.orderBy(*by_net, "sku_id")), "unmapped": collected(part["unmapped"].orderBy(*by_net, "platform_key", "platform_product_code"))},
                 "trend": {"dates": [r["stat_date"] for r in trend], "series": {k: [r[k] for r in trend] for k in ("gmv", "net_amount", "refund_rate")}},
                 "top": {k: collected(daily.top(mapped, k)) for k in ("by_gmv", "by_growth", "by_decline", "by_refund")},
                 "anomalies": collected(anomaly.in_order(anomaly.alerts(context, self.store.table("anomaly_rules")))),
@@ -495,6 +498,7 @@ class Engine:
             mapped.unpersist()
             return report
         finally:
+            sums.unpersist()
             facts.unpersist()
 
     def generate_daily(self, date: str, platforms: list[str] | None = None, shops: list[str] | None = None, at: dt.datetime | None = None) -> dict:
@@ -569,4 +573,4 @@ class Engine:
 
 
 def page_of(df: DataFrame, order: list, page: int, size: int) -> dict:
-    return {"total": df.count(), "page": page, "page_size": size, "items": collected(df.orderBy(*order).offset((page - 1) * size).limit(size))}
+    return {"total": df.count(), "page": page, "page_size": size, "items": collected(listing.page(df, order, page, size))}

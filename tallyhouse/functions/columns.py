@@ -121,13 +121,47 @@ def sorted_tokens(name: Column) -> Column:
     return F.array_join(F.array_sort(F.filter(F.split(name, " "), lambda w: w != "")), " ")
 
 
+#: Characters of a name that one long holds with room for a carry.
+WORD = 62
+
+
 def similarity(a: Column, b: Column) -> Column:
     """100 * 2 * LCS / (len a + len b) of two texts with sorted tokens: insertions and deletions count, nothing else.
 
-    The table of the longest common subsequence is built row by row in one expression.
+    The longest common subsequence is found by the bits of one long, a step a character, where the shorter text has at
+    most 62 characters, else by the rows of a table; both give the same number.
     """
-    x, y = sorted_tokens(a), sorted_tokens(b)
+    def scored(x: Column, y: Column) -> Column:
+        total, short = F.length(x) + F.length(y), F.length(x) <= F.length(y)
+        return let(F.when(short, x).otherwise(y), lambda s: let(F.when(short, y).otherwise(x), lambda t: F.when(F.length(s) == 0, 0.0).otherwise(200.0 * F.when(F.length(s) <= WORD, lcs_bits(s, t)).otherwise(lcs_table(s, t)) / total)))
+
+    both = let(sorted_tokens(a), lambda x: let(sorted_tokens(b), lambda y: scored(x, y)))
+    return F.coalesce(both, F.lit(0.0))
+
+
+def lcs_bits(x: Column, y: Column) -> Column:
+    """Length of the longest common subsequence of x, of 1 to 62 characters, and y.
+
+    A bit is a position of x and is zero once the subsequence has grown there. A character of y turns the lowest set bit
+    of each run that has it: adding the bits where x has the character carries past them.
+    """
+    full = (F.call_function("shiftleft", F.lit(1).cast("long"), F.length(x)) - 1).cast("long")
+
+    def places(letters: Column) -> Column:
+        """Characters of x with the bits of their positions, the first position lowest: x is spelt anew with a 1 for the character and 0 for others."""
+        size = F.length(letters)
+        ones = F.transform(F.sequence(F.lit(1), size), lambda i: F.conv(F.call_function("translate", F.reverse(x), letters, F.concat(F.repeat(F.lit("0"), i - 1), F.lit("1"), F.repeat(F.lit("0"), size - i))), 2, 10).cast("long"))
+        return F.map_from_arrays(F.split(letters, ""), ones)
+
+    def step(v: Column, at: Column) -> Column:
+        return (v + v.bitwiseAND(at)).bitwiseOR(v.bitwiseAND(F.bitwise_not(at)))
+
+    masks = let(F.array_join(F.array_distinct(F.split(x, "")), ""), lambda letters: let(places(letters), lambda m: F.transform(F.split(y, ""), lambda ch: F.coalesce(F.try_element_at(m, ch), F.lit(0).cast("long")))))
+    return let(full, lambda ones: F.length(x) - F.bit_count(F.aggregate(masks, ones, lambda v, at: step(v, at).bitwiseAND(ones))))
+
 
+def lcs_table(x: Column, y: Column) -> Column:
+    """The same for texts of any length, by a row of the table for each character."""
     def lcs(chars: Column, others: Column) -> Column:
         def row(above: Column, ch: Column) -> Column:
             first = F.struct(F.lit(0).alias("left"), F.array(F.lit(0)).alias("row"))
@@ -140,9 +174,7 @@ def similarity(a: Column, b: Column) -> Column:
 
         return F.element_at(F.aggregate(chars, F.array_repeat(F.lit(0), F.size(others) + 1), row), -1)
 
-    total = F.length(x) + F.length(y)
-    both = (F.length(x) > 0) & (F.length(y) > 0)
-    return F.when(both, 200.0 * lcs(F.split(x, ""), F.split(y, "")) / total).otherwise(0.0)
+    return lcs(F.split(x, ""), F.split(y, ""))
 
 
 def weekday_name(d: Column) -> Column:

@@ -22,6 +22,11 @@ DIRECTIONS = {"gt": "高于阈值", "lt": "低于阈值", "abs_gt": "波动超
 def subjects(facts: DataFrame, scope: str, keys: list[str], subject: Column, day: dt.date, compare: bool = True) -> DataFrame:
     """facts -> scope, subject, metric, value, gmv of the day's groups."""
     sums = of_three_days(facts, day).groupBy(*keys).agg(*period_sums(day, ["gmv", "refund_amount", "net_amount", "buyers", "visitors", "ad_cost"])).where("rows > 0")
+    return subjects_of(sums, scope, subject, compare)
+
+
+def subjects_of(sums: DataFrame, scope: str, subject: Column, compare: bool = True) -> DataFrame:
+    """The same from groups' period sums."""
     before = F.col("`gmv@dod`").cast("double")
     values = {m: derived(m) for m in ("refund_rate", "conversion_rate", "roi", "ad_cost_ratio")}
     if compare:

@@ -34,6 +34,11 @@ def attach(facts: DataFrame, mappings: DataFrame, skus: DataFrame) -> tuple[Data
     return out, named.join(found, key)
 
 
+def match_counts(found: DataFrame, *by: str) -> DataFrame:
+    """How many codes were matched in each way."""
+    return found.groupBy(*by, "match_type").agg(F.count("*").alias("codes"))
+
+
 def _letters(c):
     """The characters of a name with the number of the same ones before each."""
     return F.transform(F.split(c, ""), lambda x, i: F.concat(x, F.size(F.filter(F.slice(F.split(c, ""), F.lit(1), i), lambda y: y == x)).cast("string")))

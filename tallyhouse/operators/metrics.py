@@ -95,8 +95,12 @@ def blocks(compare: bool = True, wow: bool = True) -> list[Column]:
 def rollup(facts: DataFrame, keys: list[str], day: dt.date, total_net: bool = True, compare: bool = True) -> DataFrame:
     """Rows of a dimension on a day with blocks and, by default, the share of net amount. facts: with costs."""
     sums = of_three_days(facts, day).groupBy(*keys).agg(*period_sums(day)).where("rows > 0")
-    if not total_net:
+    return presented(sums, keys, sums.agg(F.sum("net_amount").alias("_whole")) if total_net else None, compare)
+
+
+def presented(sums: DataFrame, keys: list[str], whole: DataFrame | None, compare: bool = True) -> DataFrame:
+    """Groups with blocks, and with their share of the net amount that ``whole``, one row, holds."""
+    if whole is None:
         return sums.select(*keys, *blocks(compare))
-    whole = sums.agg(F.sum("net_amount").alias("_whole"))  # one row
     shared = sums.crossJoin(F.broadcast(whole)).withColumn("share", F.round(divide(F.col("net_amount"), F.col("_whole")), 4))
     return shared.select(*keys, *blocks(compare), "share")

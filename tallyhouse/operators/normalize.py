@@ -28,11 +28,32 @@ class Normalised:
     errors: DataFrame
     total: DataFrame
 
+    def counts(self) -> DataFrame:
+        """One row by one job: total, valid, filtered, duplicated, failed; failed counts errors, not rows."""
+        what = self.total.select(F.lit("total").alias("what")).union(self.facts.select(F.lit("valid"))).union(self.errors.select("error_type"))
+        return what.agg(*[F.count_if(F.col("what").isin(*kinds)).alias(name) for name, kinds in {"total": ["total"], "valid": ["valid"], **KINDS}.items()])
+
     def stats(self) -> dict[str, int]:
-        """total, valid, filtered, duplicated, failed; failed counts errors, not rows."""
-        by = {r["error_type"]: r["count"] for r in self.errors.groupBy("error_type").count().collect()}
-        failed = by.get("number_parse_failed", 0) + by.get("date_parse_failed", 0)
-        return {"total": self.total.count(), "valid": self.facts.count(), "filtered": by.get("filtered_out", 0), "duplicated": by.get("duplicate_row", 0), "failed": failed}
+        return self.counts().first().asDict()
+
+
+#: What errors are counted as.
+KINDS = {"filtered": ["filtered_out"], "duplicated": ["duplicate_row"], "failed": ["number_parse_failed", "date_parse_failed"]}
+
+
+def cast_counts() -> dict[str, Column]:
+    """Aggregates over the rows of typed(), for their write to observe."""
+    return {"good": F.count_if(F.size("_errors") == 0), "cell_errors": F.coalesce(F.sum(F.size("_errors")), F.lit(0))}
+
+
+def error_counts() -> dict[str, Column]:
+    """The same over errors."""
+    return {name: F.count_if(F.col("error_type").isin(*kinds)) for name, kinds in KINDS.items()}
+
+
+def observed_stats(cast: dict, errors: dict) -> dict[str, int]:
+    """Normalised.stats() from what the writes of cast rows and of errors observed. Rows without an error of their own are facts but for those that a later error names."""
+    return {"total": cast["rows"], "valid": cast["good"] - (errors["rows"] - cast["cell_errors"]), **{k: errors[k] for k in KINDS}}
 
 
 def cast_field(text: Column, rule: dict | None) -> tuple[Column, str | None]:

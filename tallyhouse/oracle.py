@@ -205,3 +205,5 @@ SQL = {
     "report_sources": query(f"SELECT o_orderkey AS id, '订单' || o_orderkey || '.csv' AS filename FROM orders WHERE o_orderkey IN (SELECT upload_id FROM facts WHERE stat_date = {DAY})"),
     "upload_unmapped_count": query("SELECT platform_key, count(DISTINCT platform_product_code) FILTER (sku_id IS NULL) AS unmapped_codes, max(stat_date) AS last_date FROM facts GROUP BY 1"),
 }
+_SECTIONS = {"platform": "by_platform", "shop": "by_shop", "category": "by_category", "sku": "by_sku_mapped", "unmapped": "by_sku_unmapped"}
+SQL["report_sections"] = query(" UNION ALL BY NAME ".join(f"SELECT '{s}' AS section, * FROM ({SQL[q].removeprefix(f'WITH {FACTS} ')})" for s, q in _SECTIONS.items()))

@@ -44,6 +44,15 @@ def kept(which: str) -> str:
     return cleaning(f"SELECT n AS row_no, d AS stat_date, shop_code, v_code AS platform_product_code, v_name AS product_name, v_gmv AS gmv, v_qty AS paid_qty, CAST(v_visitors AS BIGINT) AS visitors FROM good WHERE {which} = 1")
 
 
+def _normal(name: str) -> str:
+    """normal_name() of names without brackets."""
+    return f"trim(regexp_replace(regexp_replace(lower({name}), 'kg|ml', '', 'g'), '\\s+', ' ', 'g'))"
+
+
+def _tokens(name: str) -> str:
+    return f"array_to_string(list_sort(list_filter(string_split({name}, ' '), lambda w: w <> '')), ' ')"
+
+
 X = {
     "not_null": "x <> ''", "is_null": "coalesce(x, '') = ''", "numeric": "TRY_CAST(x AS DOUBLE) IS NOT NULL", "in": "x IN ('5', 'ab3', '')", "not_in": "x IS NULL OR x NOT IN ('5', 'ab3', '')", "contains": "contains(x, 'b1') OR contains(x, '5')",
     "not_contains": "x IS NULL OR NOT (contains(x, 'b1') OR contains(x, '5'))", "gt": "TRY_CAST(x AS DOUBLE) > 9", "gte": "TRY_CAST(x AS DOUBLE) >= 9", "lt": "TRY_CAST(x AS DOUBLE) < 5", "lte": "TRY_CAST(x AS DOUBLE) <= 5", "eq": "TRY_CAST(x AS DOUBLE) = 7", "neq": "coalesce(TRY_CAST(x AS DOUBLE) <> 7, true)",
@@ -77,5 +86,14 @@ SQL = {
     "mapping_listing": identity("SELECT m.platform_key, m.platform_product_code, m.sku_id, s.sku_code, s.name AS sku_name FROM mapped m LEFT JOIN skus s ON m.sku_id = s.id"),
     "missing_skus": identity("SELECT DISTINCT sku_id FROM mapped WHERE sku_id IS NOT NULL AND sku_id NOT IN (SELECT id FROM skus)"),
     "like_search": query("SELECT id, sku_code, name FROM skus WHERE name ILIKE '%E%1%' OR sku_code ILIKE '%k_7%'"),
+    "page_after": query("SELECT id, sku_code, status FROM (SELECT id, sku_code, CASE WHEN id % 13 <> 0 THEN CASE WHEN id % 11 = 0 THEN 'inactive' ELSE 'active' END END AS status FROM skus) WHERE status < 'inactive' OR status IS NULL OR status = 'inactive' AND id > 44 ORDER BY status DESC NULLS LAST, id LIMIT 60"),
     "page_listing": query("SELECT id, sku_code FROM skus WHERE id % 11 <> 0 ORDER BY id LIMIT 20 OFFSET 40"),
+    "fuzzy_candidates": f"""WITH {FACTS}, asked AS (SELECT p_partkey AS product, {_normal("p_name || ' ' || right(p_brand, 2)")} AS t, CASE WHEN p_partkey % 2 = 0 THEN p_type END AS category FROM part WHERE p_partkey % 5 = 0),
+ live AS (SELECT id, sku_code, name, category, {_normal('name')} AS s FROM skus WHERE id % 11 <> 0), sizes AS (SELECT category, count(*) AS n FROM live GROUP BY 1),
+ spelt AS (SELECT t, s, string_split({_tokens('t')}, '') AS x, string_split({_tokens('s')}, '') AS y FROM (SELECT DISTINCT t FROM asked), (SELECT DISTINCT s FROM live)),
+ masked AS (SELECT *, (CAST(1 AS BIGINT) << len(x)) - 1 AS ones, list_transform(y, lambda c: CAST(list_sum(list_transform(range(len(x)), lambda i: CASE WHEN x[i + 1] = c THEN CAST(1 AS BIGINT) << i ELSE 0 END)) AS BIGINT)) AS masks FROM spelt),
+ scored AS (SELECT t, s, CAST(200 AS DOUBLE) * (len(x) - bit_count(list_reduce(list_prepend(ones, masks), lambda v, m: ((v + (v & m)) | (v & ~m)) & ones))) / (len(x) + len(y)) AS score FROM masked),
+ found AS (SELECT product, live.id AS sku_id, sku_code, name AS sku_name, score, row_number() OVER (PARTITION BY product ORDER BY score DESC, live.id) AS rank
+  FROM asked LEFT JOIN sizes USING (category) JOIN scored USING (t) JOIN live USING (s) WHERE score >= 75 AND (coalesce(n, 0) < 5 OR live.category = asked.category))
+ SELECT *, CASE WHEN score >= 90 THEN 'high' ELSE 'medium' END AS band FROM found WHERE rank <= 3""",
 }

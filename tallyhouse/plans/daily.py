@@ -79,33 +79,56 @@ def overall(facts: DataFrame, day: dt.date, compare: bool = True) -> DataFrame:
 
 def overall_values(facts: DataFrame, day: dt.date) -> DataFrame:
     """metric, today, dod_value, wow_value: the absolute values of the three days."""
-    sums = of_three_days(facts, day).agg(*period_sums(day))
+    return values_of(of_three_days(facts, day).agg(*period_sums(day)))
+
+
+def values_of(sums: DataFrame) -> DataFrame:
     rows = [F.struct(F.lit(m).alias("metric"), *[F.round(derived(m, p), digits).alias(a) for p, a in (("", "today"), ("dod", "dod_value"), ("wow", "wow_value"))]) for ms, digits in ((AMOUNTS, 2), (RATIOS, 4)) for m in ms]
     return sums.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def by_platform(facts: DataFrame, channels: DataFrame, day: dt.date) -> DataFrame:
-    return _named(rollup(facts, ["platform_key"], day), channels)
+    return platform_rows(rollup(facts, ["platform_key"], day), channels)
+
+
+def platform_rows(rows: DataFrame, channels: DataFrame) -> DataFrame:
+    return _named(rows, channels)
 
 
 def by_shop(facts: DataFrame, channels: DataFrame, day: dt.date) -> DataFrame:
-    rows = _named(rollup(facts, ["platform_key", "shop_code", "shop_name"], day), channels)
+    return shop_rows(rollup(facts, ["platform_key", "shop_code", "shop_name"], day), channels)
+
+
+def shop_rows(rows: DataFrame, channels: DataFrame) -> DataFrame:
     known = lambda c: F.when(F.col(c) != "__UNKNOWN__", blank_to_null(F.col(c)))
-    return rows.withColumn("display", F.concat("platform_name", F.lit(" · "), F.coalesce(known("shop_name"), known("shop_code"), F.lit("未命名店铺"))))
+    return _named(rows, channels).withColumn("display", F.concat("platform_name", F.lit(" · "), F.coalesce(known("shop_name"), known("shop_code"), F.lit("未命名店铺"))))
 
 
 def by_category(facts: DataFrame, day: dt.date) -> DataFrame:
-    return rollup(facts, ["category"], day).withColumn("display", F.coalesce(blank_to_null(F.col("category")), F.lit("未分类")))
+    return category_rows(rollup(facts, ["category"], day))
+
+
+def category_rows(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("display", F.coalesce(blank_to_null(F.col("category")), F.lit("未分类")))
+
+
+def names_of_day(day: dt.date) -> list[Column]:
+    """Of a group's rows of the day: the channels' names, sorted, and the first category and product name. Rows need display_name."""
+    today = F.col("stat_date") == F.lit(day)
+    seen = F.collect_set(F.when(today, shown(F.col("platform_key"), F.col("display_name"))))
+    first = lambda c: F.min(F.when(today & F.col(c).isNotNull(), F.struct("upload_id", "row_no", c)))[c]
+    return [F.array_join(F.array_sort(seen), "、").alias("platforms"), first("category").alias("_category"), first("product_name").alias("_name")]
 
 
 def by_sku(facts: DataFrame, skus: DataFrame, channels: DataFrame, day: dt.date, compare: bool = True) -> DataFrame:
     """Mapped SKUs of the day. Channels are listed by name; a SKU without a record goes by its number."""
     mapped = of_three_days(facts, day).where("sku_id is not null")
-    today = F.col("stat_date") == F.lit(day)
-    seen = F.collect_set(F.when(today, shown(F.col("platform_key"), F.col("display_name"))))
     names = channels.select(F.col("platform_key").alias("_k"), "display_name")
-    first = F.min(F.when(today & F.col("category").isNotNull(), F.struct("upload_id", "row_no", "category")))["category"].alias("_category")
-    sums = mapped.join(names, F.col("platform_key") == F.col("_k"), "left").groupBy("sku_id").agg(*period_sums(day), F.array_join(F.array_sort(seen), "、").alias("platforms"), first).where("rows > 0")
+    sums = mapped.join(names, F.col("platform_key") == F.col("_k"), "left").groupBy("sku_id").agg(*period_sums(day), *names_of_day(day)[:2]).where("rows > 0")
+    return sku_rows(sums, skus, compare)
+
+
+def sku_rows(sums: DataFrame, skus: DataFrame, compare: bool = True) -> DataFrame:
     records = skus.select(F.col("id").alias("_id"), "sku_code", "name", F.col("category").alias("_own"))
     out = sums.join(records, F.col("sku_id") == F.col("_id"), "left")
     return out.select(
@@ -121,6 +144,10 @@ def by_unmapped(facts: DataFrame, day: dt.date, compare: bool = True) -> DataFra
     today = F.col("stat_date") == F.lit(day)
     first = F.min(F.when(today & F.col("product_name").isNotNull(), F.struct("upload_id", "row_no", "product_name")))["product_name"]
     sums = free.groupBy("platform_key", "platform_product_code").agg(*period_sums(day), first.alias("_name")).where("rows > 0")
+    return unmapped_rows(sums, compare)
+
+
+def unmapped_rows(sums: DataFrame, compare: bool = True) -> DataFrame:
     return sums.select("platform_key", "platform_product_code", F.coalesce("_name", "platform_product_code").alias("product_name"), *blocks(compare, wow=False))
 
 

@@ -15,7 +15,7 @@ from tallyhouse.functions import formula
 from tallyhouse.functions.columns import clean_text, day, money, normal_name, whole_number
 from tallyhouse.operators import identity
 from tallyhouse.operators.normalize import Normalised, loose_number, merge_rows, normalise, passes, typed
-from tallyhouse.plans import bridge
+from tallyhouse.plans import bridge, listing
 from tallyhouse.sources import spec
 
 #: Numbers of a row and its cells, in SQL for either engine: {div} is the whole-number division, {text} the text type, {serial} days since 1899-12-30.
@@ -84,10 +84,7 @@ def snapshots(spark, d):
 
 def stats(spark, d):
     """total, valid, filtered, duplicated and failed; failed counts errors, not rows."""
-    done = cleaned(spark, d)
-    is_kind = lambda *k: F.count(F.when(F.col("error_type").isin(*k), 1))
-    bad = done.errors.agg(is_kind("filtered_out").alias("filtered"), is_kind("duplicate_row").alias("duplicated"), is_kind("number_parse_failed", "date_parse_failed").alias("failed"))
-    return bad.crossJoin(done.total.agg(F.count("*").alias("total"))).crossJoin(done.facts.agg(F.count("*").alias("valid")))
+    return cleaned(spark, d).counts()
 
 
 def merged(strategy: str):
@@ -183,7 +180,7 @@ def mapping_lookup(spark, d):
 
 
 def mapping_stats(spark, d):
-    return sku_match(spark, d).groupBy("platform_key", "match_type").agg(F.count("*").alias("codes"))
+    return identity.match_counts(sku_match(spark, d), "platform_key")
 
 
 def mapping_upsert(spark, d):
@@ -204,23 +201,29 @@ def upsert_ids(spark, d):
 def mapping_listing(spark, d):
     """Mappings with the code and name of their SKU."""
     _, mappings, skus = parts(spark, d)
-    return mappings.join(skus.select(F.col("id").alias("sku_id"), "sku_code", F.col("name").alias("sku_name")), "sku_id", "left").select("platform_key", "platform_product_code", "sku_id", "sku_code", "sku_name")
+    return listing.with_skus(mappings, skus).select("platform_key", "platform_product_code", "sku_id", "sku_code", "sku_name")
 
 
 def missing_skus(spark, d):
     """SKU numbers that mappings name and no record has."""
     _, mappings, skus = parts(spark, d)
-    return mappings.where("sku_id is not null").select("sku_id").distinct().join(skus, F.col("sku_id") == F.col("id"), "left_anti")
+    named = mappings.where("sku_id is not null").select(F.col("sku_id").alias("id")).distinct()
+    return listing.missing(named, skus).select(F.col("id").alias("sku_id"))
 
 
 def like_search(spark, d):
-    skus = parts(spark, d)[2]
-    return skus.where(F.col("name").ilike("%E%1%") | F.col("sku_code").ilike("%k_7%")).select("id", "sku_code", "name")
+    return listing.searched(parts(spark, d)[2], name="E%1", sku_code="k_7").select("id", "sku_code", "name")
 
 
 def page_listing(spark, d):
     """The third page of twenty active SKUs by number."""
-    return parts(spark, d)[2].where("status = 'active'").orderBy("id").offset(40).limit(20).select("id", "sku_code")
+    return listing.page(parts(spark, d)[2].where("status = 'active'"), [F.asc("id")], 3, 20).select("id", "sku_code")
+
+
+def page_after(spark, d):
+    """The sixty SKUs that follow SKU 44, which is not active: by status, then by number, those without a status last."""
+    skus = parts(spark, d)[2].withColumn("status", F.when(F.col("id") % 13 != 0, F.col("status")))
+    return listing.after(skus, [("status", True), ("id", False)], ("inactive", 44), 60).select("id", "sku_code", "status")
 
 
 def fuzzy_candidates(spark, d):
@@ -234,5 +237,5 @@ QUERIES = {
     "normalise_facts": facts, "normalise_errors": errors, "normalise_stats": stats, "raw_json_snapshot": snapshots, "dedup_sum": merged("sum"), "dedup_first": merged("first"), "dedup_last": merged("last"), "dedup_group_sizes": group_sizes,
     **{f"filter_{op}": filtered(op) for op in FILTERS}, "money_cast": money_cast, "integer_half_up": integer_half_up, "loose_numbers": loose_numbers, "date_multi_format": date_formats, "excel_serial": excel_serial, "shop_fallback": shop_fallback,
     "string_clean": string_clean, "name_normalize": name_normalize, "net_formula": net_formula, "sku_match": sku_match, "exact_sku_match": exact_sku_match, "mapping_lookup": mapping_lookup, "mapping_stats": mapping_stats, "mapping_upsert": mapping_upsert,
-    "upsert_ids": upsert_ids, "mapping_listing": mapping_listing, "missing_skus": missing_skus, "like_search": like_search, "page_listing": page_listing, "fuzzy_candidates": fuzzy_candidates,
+    "upsert_ids": upsert_ids, "mapping_listing": mapping_listing, "missing_skus": missing_skus, "like_search": like_search, "page_listing": page_listing, "page_after": page_after, "fuzzy_candidates": fuzzy_candidates,
 }

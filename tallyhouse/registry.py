@@ -9,7 +9,7 @@ from tallyhouse import oracle, oracle_dirty, oracle_written
 from tallyhouse.functions.columns import composite_key, divide
 from tallyhouse.operators import anomaly
 from tallyhouse.operators.metrics import rollup, with_costs
-from tallyhouse.plans import bridge, daily, dirty, weekly, written
+from tallyhouse.plans import bridge, daily, dirty, listing, sections, weekly, written
 from tallyhouse.schema import DEFAULT_RULES, RULES
 
 DAY = bridge.DAY
@@ -57,9 +57,9 @@ _named("missing_platforms", lambda f, c: daily.missing_platforms(daily.scoped(f,
 _named("shipping_note", lambda f, c: daily.shipping_note(f, c, DAY))
 _plain("scope_filter", lambda f: daily.overall(daily.scoped(f, ["jd", "taobao"], ["Supplier#000000003", "Supplier#000000004", "Supplier#000000007"]), DAY))
 _plain("profit_rows", lambda f: daily.in_window(f, DAY).select("upload_id", "row_no", *[F.col(c).cast("double").alias(c) for c in ("cogs", "platform_fee", "fulfillment_cost", "gross_profit")]))
-_plain("meta_platforms", lambda f: f.select("platform_key").distinct())
-_plain("meta_categories", lambda f: f.select("category").distinct())
-_plain("meta_shops", lambda f: f.select("platform_key", "shop_code", "shop_name").distinct())
+_plain("meta_platforms", lambda f: listing.values(f, "platform_key"))
+_plain("meta_categories", lambda f: listing.values(f, "category"))
+_plain("meta_shops", lambda f: listing.values(f, "shop_name", "platform_key", "shop_code"))
 _plain("latest_date", lambda f: f.agg(F.max("stat_date").alias("latest_date")))
 _plain("upload_unmapped_count", lambda f: f.groupBy("platform_key").agg(F.countDistinct(F.when(F.col("sku_id").isNull(), F.col("platform_product_code"))).alias("unmapped_codes"), F.max("stat_date").alias("last_date")))
 
@@ -84,6 +84,13 @@ def by_sku_mapped(spark, d):
     return daily.by_sku(_facts(spark, d), bridge.skus(spark, d), bridge.channels(spark), DAY)
 
 
+@query
+def report_sections(spark, d):
+    """Channels, shops, categories, SKUs and products without SKU by one scan; the groups' sums are cached, a row a group."""
+    channels = bridge.channels(spark)
+    return sections.listed(sections.sums(_facts(spark, d), channels, DAY).cache(), channels, bridge.skus(spark, d))
+
+
 def _top(kind: str, products: int | None):
     """A top list with its ranks."""
     def run(spark, d):

@@ -11,7 +11,7 @@ import datetime as dt
 import time
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse import schema
@@ -88,16 +88,17 @@ class Store:
             self.remove(f"{name}/v{now - 1}")
 
     # by upload
-    def put_upload(self, name: str, upload_id: int, df: DataFrame) -> None:
-        """Replace an upload's rows."""
-        if df.isEmpty():
-            self.drop_upload(name, upload_id)
-            return
+    def put_upload(self, name: str, upload_id: int, df: DataFrame, counts: dict[str, Column] | None = None) -> dict:
+        """Replace an upload's rows. Returns their number as ``rows`` and what ``counts`` come to, observed while they are written."""
         if "stat_date" in df.columns:
             df = df.sortWithinPartitions("stat_date", "platform_key")
         if name == "sales_facts":
             self._put_days(df)
+        df, seen = _observed(df, counts)
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("upload_id").parquet(f"{self.root}/{name}")
+        if not seen.get["rows"]:
+            self.drop_upload(name, upload_id)  # a write of nothing leaves the rows of before
+        return seen.get
 
     def _put_days(self, facts: DataFrame) -> None:
         """Note the days of uploads before their facts are written. Days that an upload had before stay: one too many costs a look, one too few would lose rows."""
@@ -125,9 +126,12 @@ class Store:
             df = df.repartition("upload_id").sortWithinPartitions("upload_id", *[c for c in ("stat_date", "platform_key") if c in df.columns])
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("upload_id").parquet(f"{self.root}/{name}")
 
-    def staged(self, name: str, df: DataFrame) -> DataFrame:
-        """df written under a name of its own and read back: what follows reads it and does not make it again."""
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+    def staged(self, name: str, df: DataFrame, counts: dict[str, Column] | None = None, found: dict | None = None) -> DataFrame:
+        """df written under a name of its own and read back: what follows reads it and does not make it again. ``found`` takes the number of rows and the counts."""
+        watched, seen = _observed(df, counts)
+        watched.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        if found is not None:
+            found.update(seen.get)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop_upload(self, name: str, upload_id: int) -> None:
@@ -141,6 +145,12 @@ class Store:
         return self.spark.createDataFrame(values, SNAPSHOTS[name])
 
 
+def _observed(df: DataFrame, counts: dict[str, Column] | None = None) -> tuple[DataFrame, Observation]:
+    """df with its number of rows and other aggregates observed by the next action on it, without a job of their own."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in (counts or {}).items()]), seen
+
+
 def _fields(ddl: str) -> list[str]:
     out, depth, now = [], 0, ""
     for ch in ddl:
