@@ -8,6 +8,8 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import json
+import re
+import uuid
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +22,7 @@ from tallyhouse.plans import daily, listing, sections, weekly
 from tallyhouse.schema import CHANNELS, DEFAULT_RULES, WEEKDAYS, RetailError
 from tallyhouse.sinks import detail, texts
 from tallyhouse.sinks.xlsx import workbook
-from tallyhouse.sources import files, spec
+from tallyhouse.sources import files, generator, spec
 from tallyhouse.store import Store
 
 
@@ -571,6 +573,36 @@ class Engine:
             raise RetailError("NO_DATA_FOR_DATE", f"no built-in channel has sales on {day}")
         return out
 
+    def export_files(self, first: str, last: str, folder: str, rows_per_file: int = detail.ROWS_PER_FILE) -> list[dict]:
+        """Detail files of all days from first to last, for each built-in channel, written into a folder that all executors reach.
+
+        Channels and days share one plan; files are cut by rows and each is written whole by the task that makes it. What the folder
+        holds is listed in the order of channels, days and parts. Parts that an earlier, larger export of the same days left are removed.
+        """
+        days = date_of(first), date_of(last)
+        place = f"staging/detail-{uuid.uuid4().hex}"
+        specs = {k: s for k, s in self.adapters().items() if k in spec.builtin_keys()}
+        try:
+            made = detail.parts(self.store.facts_between(*days), specs, lambda df: self.store.staged(place, df), rows_per_file)
+            done = collected(generator.write(made, folder))
+        finally:
+            self.store.remove(place)
+        if not done:
+            raise RetailError("NO_DATA_FOR_DATE", f"no built-in channel has sales from {first} to {last}")
+        self._remove_parts(folder, specs, days, {r["path"] for r in done})
+        rank = {k: i for i, k in enumerate(spec.builtin_keys())}
+        return sorted(done, key=lambda r: (rank[r["platform_key"]], r["stat_date"], r["path"].removesuffix(".csv")))
+
+    def _remove_parts(self, folder: str, specs: dict[str, spec.Spec], days: tuple[dt.date, dt.date], kept: set[str]) -> None:
+        """Remove this folder's detail files of these channels and days other than the kept ones."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        stems = {detail.filename(s, days[0] + dt.timedelta(days=i)).removesuffix(".csv") for s in specs.values() for i in range((days[1] - days[0]).days + 1)}
+        for found in fs.listStatus(path):
+            name = found.getPath().getName()
+            if name not in kept and re.sub(r"(_\d{5})?\.csv$", "", name) in stems:
+                fs.delete(found.getPath(), False)
+
 
 def page_of(df: DataFrame, order: list, page: int, size: int) -> dict:
     return {"total": df.count(), "page": page, "page_size": size, "items": collected(listing.page(df, order, page, size))}

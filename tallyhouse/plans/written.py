@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tallyhouse.operators import identity
 from tallyhouse.operators.normalize import finished, typed
 from tallyhouse.plans import bridge
+from tallyhouse.session import checkpointed
+from tallyhouse.sinks import detail
 from tallyhouse.sources import files, generator, spec
 
 #: Orders of a file; an order has seven lines at most.
@@ -33,6 +35,19 @@ def channel_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("platform_key", "stat_date").agg(F.count("*").alias("n_facts"), *sums)
 
 
+def detail_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line items as detail files of their channels and days, and these read, cast and merged: the same sums by channel and day."""
+    specs = {k: spec.builtin(k) for k in spec.builtin_keys()}
+    made = detail.parts(bridge.facts(spark, sf_dir), specs, checkpointed).select("path", "content", F.sha2("content", 256).alias("sha256"), "platform_key")
+    out = None
+    for key, own in specs.items():
+        read = files.parsed(made.where(F.col("platform_key") == key), own.file_matching).where("cells is not null").select(F.xxhash64("path").alias("upload_id"), "row_no", "cells")
+        facts = finished(typed(read, [s for _, s in detail.columns(own)], own, ("upload_id",)), own).facts
+        out = facts if out is None else out.unionByName(facts)
+    sums = [F.sum(c).cast("decimal(20,2)" if c in ("gmv", "refund_amount", "ad_cost") else "long").alias(c) for c in SUMS]
+    return out.groupBy("platform_key", "stat_date").agg(*sums)
+
+
 def sku_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that mapping products of one channel anew must write: all of the uploads that hold one of them."""
     facts = bridge.facts(spark, sf_dir)
@@ -50,4 +65,4 @@ def sku_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.backfilled(facts, changes, only_old=True).select("upload_id", "row_no", "platform_key", "platform_product_code", "sku_id")
 
 
-QUERIES = {f.__name__: f for f in (channel_files, sku_backfill, sku_cleared)}
+QUERIES = {f.__name__: f for f in (channel_files, detail_files, sku_backfill, sku_cleared)}

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 HERE = Path(__file__).resolve().parent
 
@@ -24,3 +24,17 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(path)
         sc._tallyhouse_shipped = True
     return spark
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the folder that driver and executors share (spark.checkpoint.dir), and read back whatever becomes of executors.
+
+    Only a local master, where driver and executors are one process, gets a temporary folder where none is set.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="tallyhouse-"))
+    return df.checkpoint()

@@ -1,4 +1,10 @@
-"""Detail files of a channel and day that can be read in again without loss."""
+"""Detail files of a channel and day that can be read in again without loss.
+
+``content`` makes the file of one channel and day on the driver. ``parts`` makes those of any number of channels and
+days by one plan, of any size: rows are put in file order by ranges, so that a channel's large day is no single task's,
+numbered by the counts of the ranges, and cut into files of bounded size, each with the header and footer rows that its
+reader takes off. A file is made and written whole by one task.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +12,14 @@ import csv
 import datetime as dt
 import io
 import re
+from collections.abc import Callable
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tallyhouse.schema import MAPPABLE_FIELDS
 from tallyhouse.sources.spec import Spec
@@ -18,6 +28,10 @@ from tallyhouse.sources.spec import Spec
 ORDER = ["stat_date", "shop_name", "platform_product_code", "product_name", "category", "visitors", "buyers", "order_qty", "paid_qty", "gmv", "refund_amount", "ad_cost"]
 FOOTERS = {"pinduoduo": ["说明：以上数据来源于拼多多商家后台，仅供参考。", "导出时间：{date}    共 {rows} 行"]}
 
+#: Rows of a file at most, far under what the readers take.
+ROWS_PER_FILE = 100_000
+PARTS = "path string, content binary, platform_key string, stat_date date, row_count long, footer_rows int"
+
 
 def columns(spec: Spec) -> list[tuple[str, str]]:
     """(field, header cell) of a channel's file."""
@@ -36,8 +50,16 @@ def value(v: object) -> str:
     return format(v.normalize(), "f") if isinstance(v, Decimal) else str(v)
 
 
-def filename(spec: Spec, day: dt.date) -> str:
-    return f"明细回灌_{re.sub(r'[\\/:*?\"<>|]+', '_', spec.display_name).strip() or 'platform'}_{day}.csv"
+def filename(spec: Spec, day: dt.date, part: int = 0) -> str:
+    """Parts after the first, 0, bear their number."""
+    name = re.sub(r'[\\/:*?"<>|]+', "_", spec.display_name).strip() or "platform"
+    return f"明细回灌_{name}_{day}{f'_{part + 1:05d}' if part else ''}.csv"
+
+
+def footer(spec: Spec, day: dt.date, n: int) -> list[str]:
+    """The rows below n rows of data, as many as the channel's reader takes off."""
+    stub = [t.format(date=day, rows=n) for t in FOOTERS.get(spec.platform_key, [])]
+    return [stub[i] if i < len(stub) else f"以上数据仅供参考（导出说明行 {i + 1}）" for i in range(spec.file_matching.skip_footer)]
 
 
 def rows(facts: DataFrame, spec: Spec, day: dt.date) -> DataFrame:
@@ -55,7 +77,52 @@ def content(facts: DataFrame, spec: Spec, day: dt.date) -> tuple[bytes, int]:
     for r in rows(facts, spec, day).toLocalIterator():
         w.writerow([value(v) for v in r])
         n += 1
-    stub = [t.format(date=day, rows=n) for t in FOOTERS.get(spec.platform_key, [])]
-    for i in range(spec.file_matching.skip_footer):
-        w.writerow([stub[i] if i < len(stub) else f"以上数据仅供参考（导出说明行 {i + 1}）"])
-    return ("﻿" + out.getvalue()).encode(), n
+    w.writerows([t] for t in footer(spec, day, n))
+    return ("\ufeff" + out.getvalue()).encode(), n
+
+
+def cell(field: T.StructField) -> Column:
+    """A field as csv.writer puts what value() gives."""
+    text = F.col(field.name).cast("string")
+    if isinstance(field.dataType, T.DecimalType):
+        text = F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.coalesce(F.when(text.rlike('[",\r\n]'), quoted).otherwise(text), F.lit(""))
+
+
+def placed(facts: DataFrame, specs: dict[str, Spec], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """platform_key, stat_date, line and its number ``at`` in the channel's day, from 0.
+
+    ``keep`` writes the sorted rows and reads them back, since the bounds of ranges may differ between two runs of a
+    plan. What is broadcast has a row a range and one a channel's day, however many rows there are.
+    """
+    line = F.coalesce(*[F.when(F.col("platform_key") == k, F.concat_ws(",", *[cell(facts.schema[u]) for u, _ in columns(s)])) for k, s in specs.items()])
+    own = facts.where(F.col("platform_key").isin(*specs) & F.col("stat_date").isNotNull()).withColumn("line", line)
+    order = ["platform_key", "stat_date", "platform_product_code", "upload_id", "row_no"]
+    ranged = own.select(*order, "line").repartitionByRange(*order, "line").sortWithinPartitions(*order, "line")
+    group = ["_range", "platform_key", "stat_date"]
+    written = keep(ranged.select("platform_key", "stat_date", "line", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_place")))
+    counts = written.groupBy(*group).agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("platform_key", "stat_date").orderBy("_range")) - F.col("_n")
+    starts = F.broadcast(counts.select(*group, (before - F.col("_first")).alias("_shift")))
+    return written.join(starts, group).select("platform_key", "stat_date", "line", (F.col("_place") + F.col("_shift")).alias("at"))
+
+
+def parts(facts: DataFrame, specs: dict[str, Spec], keep: Callable[[DataFrame], DataFrame], rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
+    """The detail files of these channels and all days of the facts, a row a file. Rows without a day are in no file.
+
+    Concatenated in the order of their numbers, the data rows of a channel's day are those of ``content``.
+    """
+
+    def made(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("at")
+        key, day, part = (group[c].iloc[0] for c in ("platform_key", "stat_date", "part"))
+        own = specs[key]
+        table, end = io.StringIO(), io.StringIO()
+        csv.writer(table).writerow([s for _, s in columns(own)])
+        csv.writer(end).writerows([t] for t in footer(own, day, len(group)))
+        body = table.getvalue() + "".join(f"{t}\r\n" for t in group["line"]) + end.getvalue()
+        return pd.DataFrame([(filename(own, day, int(part)), ("\ufeff" + body).encode(), key, day, len(group), own.file_matching.skip_footer)], columns=["path", "content", "platform_key", "stat_date", "row_count", "footer_rows"])
+
+    cut = placed(facts, specs, keep).withColumn("part", F.expr(f"at div {rows_per_file}"))
+    return cut.groupBy("platform_key", "stat_date", "part").applyInPandas(made, PARTS)

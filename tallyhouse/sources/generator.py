@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyhouse.schema import COUNT_FIELDS, MONEY
 from tallyhouse.sinks.xlsx import workbook
@@ -182,8 +183,10 @@ def write(made_files: DataFrame, folder: str) -> DataFrame:
     """Put files into a folder that all executors reach (a path or URI), each by the task that has it: path, bytes and sha256 of what was written.
 
     A file is written under another name and moved, so that a task that runs again, or a reader that looks meanwhile,
-    finds whole files only.
+    finds whole files only. Other columns of the files are returned with them.
     """
+    more = [f for f in made_files.schema if f.name not in ("path", "content", "bytes", "sha256")]
+    names = [f.name for f in more]
 
     def put(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -198,6 +201,8 @@ def write(made_files: DataFrame, folder: str) -> DataFrame:
                     out.write(raw)
                 store.move(f"{whole}.part", whole)
                 done.append((path, len(raw), hashlib.sha256(raw).hexdigest()))
-            yield pd.DataFrame(done, columns=["path", "bytes", "sha256"])
+            found = pd.DataFrame(done, columns=["path", "bytes", "sha256"])
+            yield pd.concat([found, part[names].reset_index(drop=True)], axis=1)
 
-    return made_files.select("path", "content").mapInPandas(put, "path string, bytes long, sha256 string")
+    shape = T.StructType([T.StructField("path", T.StringType()), T.StructField("bytes", T.LongType()), T.StructField("sha256", T.StringType()), *more])
+    return made_files.select("path", "content", *names).mapInPandas(put, shape)
