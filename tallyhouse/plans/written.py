@@ -38,10 +38,11 @@ def channel_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def detail_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The line items as detail files of their channels and days, and these read, cast and merged: the same sums by channel and day."""
     specs = {k: spec.builtin(k) for k in spec.builtin_keys()}
-    made = detail.parts(bridge.facts(spark, sf_dir), specs, checkpointed).select("path", "content", F.sha2("content", 256).alias("sha256"), "platform_key")
+    made = checkpointed(detail.parts(bridge.facts(spark, sf_dir), specs, checkpointed).select("path", "content", F.sha2("content", 256).alias("sha256"), "platform_key"))
     out = None
     for key, own in specs.items():
-        read = files.parsed(made.where(F.col("platform_key") == key), own.file_matching).where("cells is not null").select(F.xxhash64("path").alias("upload_id"), "row_no", "cells")
+        parsed = files.parsed(made.where(F.col("platform_key") == key), own.file_matching)
+        read = checkpointed(parsed.where("cells is not null").select(F.xxhash64("path").alias("upload_id"), "row_no", "cells"))
         facts = finished(typed(read, [s for _, s in detail.columns(own)], own, ("upload_id",)), own).facts
         out = facts if out is None else out.unionByName(facts)
     sums = [F.sum(c).cast("decimal(20,2)" if c in ("gmv", "refund_amount", "ad_cost") else "long").alias(c) for c in SUMS]

@@ -125,4 +125,6 @@ def parts(facts: DataFrame, specs: dict[str, Spec], keep: Callable[[DataFrame],
         return pd.DataFrame([(filename(own, day, int(part)), ("\ufeff" + body).encode(), key, day, len(group), own.file_matching.skip_footer)], columns=["path", "content", "platform_key", "stat_date", "row_count", "footer_rows"])
 
     cut = placed(facts, specs, keep).withColumn("part", F.expr(f"at div {rows_per_file}"))
-    return cut.groupBy("platform_key", "stat_date", "part").applyInPandas(made, PARTS)
+    by = ("platform_key", "stat_date", "part")
+    tasks = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the work goes with files, which a plan by bytes would put in few tasks
+    return cut.repartition(tasks, *by).groupBy(*by).applyInPandas(made, PARTS)
