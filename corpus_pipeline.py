@@ -5,7 +5,7 @@ sources are mixed to their targets, and what is left is packed into sequences.
 """
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import jaccard, mixture, packing, pii, quality, simhash
@@ -48,11 +48,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.where("not _many").select(*COLUMNS).unionByName(kept.where("_many").dropDuplicates(["doc_id", "_h"]).select(*COLUMNS))
 
 
+def _with_text(docs: DataFrame, text: Column) -> DataFrame:
+    """docs with a new text and its length, counted in a step of its own: beside an alias that hides the old text, its name inside a lambda means the new one."""
+    return docs.withColumn("_text", text).select("doc_id", F.col("_text").alias("text"), "lang", "source", F.length("_text").cast("long").alias("n_chars"))
+
+
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span found becomes its kind in angle brackets."""
     found = pii.find(docs.select(*COLUMNS), Scratch(spark))
     text = F.when(F.size("spans") == 0, F.col("text")).otherwise(pii.redacted(whole(F.col("text")), F.col("spans")))
-    return found.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+    return _with_text(found, text)
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +72,7 @@ def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     times = mixed.withColumn("_take", F.explode("all")).withColumn("_pass", F.explode(F.sequence(F.lit(0), F.expr("cast((_take - 1) div size as int)"))))
     words = F.least(F.col("size"), F.col("_take") - F.col("_pass") * F.col("size"))
     text = F.when(words == F.col("size"), F.col("text")).otherwise(mixture.first_words(F.col("text"), words))
-    return times.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+    return _with_text(times, text)
 
 
 def vector_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
