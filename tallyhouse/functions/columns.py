@@ -10,9 +10,13 @@ PLACEHOLDERS = ["", "-", "--"]
 SPEC_WORDS = ["克", "kg", "ml", "毫升", "片", "支", "盒", "袋", "装", "正品", "旗舰", "包邮", "新款"]
 
 
+#: The characters with Unicode's White_Space property.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def ustrip(c: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -60,25 +64,48 @@ def to_number(c: Column) -> Column:
     The cast takes such text and some more: names of infinities and NaN, which the bound leaves out, and forms with one
     of the letters d, f, x and p. Only text beyond ASCII can have white space that the cast doesn't know.
     """
+    return let(_double(c), lambda d: F.when(F.abs(d) < float("1e26"), d))
+
+
+def is_number(c: Column) -> Column:
+    """Whether to_number() gives a number."""
+    return F.coalesce(F.abs(_double(c)) < float("1e26"), F.lit(False))
+
+
+def _double(c: Column) -> Column:
     bare = F.when(F.octet_length(c) > F.length(c), ustrip(c)).otherwise(c)
-    plain = F.length(F.translate(c, "dDfFxXpP", "")) == F.length(c)
-    return F.when(plain, let(bare.try_cast("double"), lambda d: F.when(F.abs(d) < float("1e26"), d)))
+    return F.when(~c.rlike("[dDfFxXpP]"), bare.try_cast("double"))
+
+
+def filled(text: Column, default: str | None = None) -> Column:
+    """A cell's text, with the default in place of a placeholder."""
+    return F.when(is_placeholder(text), F.lit(None if default in (None, "null") else default)).otherwise(text)
+
+
+def money_value(text: Column, unit: str = "yuan") -> Column:
+    """Two decimals, half to even, after a double and its shortest decimal; NULL if the text is no such number."""
+    exact = _double(text).try_cast("decimal(38,10)")
+    return F.bround(exact / 100 if unit == "fen" else exact, 2).try_cast("decimal(14,2)")
 
 
-def _cast(text: Column, default: str | None, convert) -> Column:
-    """struct(value, failed): default for a placeholder, else what convert makes of the number; NULL of a text has failed."""
-    filled = F.when(is_placeholder(text), F.lit(None if default in (None, "null") else default)).otherwise(text)
-    return let(filled, lambda t: let(convert(to_number(t)), lambda v: F.struct(v.alias("value"), (t.isNotNull() & v.isNull()).alias("failed"))))
+def whole_value(text: Column) -> Column:
+    """Half away from zero."""
+    return F.round(_double(text).try_cast("decimal(38,10)"), 0).try_cast("long")
+
+
+def _checked(text: Column, convert) -> Column:
+    """struct(value, failed): what convert makes of the text; NULL of a text has failed."""
+    return let(text, lambda t: let(convert(t), lambda v: F.struct(v.alias("value"), (t.isNotNull() & v.isNull()).alias("failed"))))
 
 
 def money(text: Column, unit: str = "yuan", default: str | None = None) -> Column:
-    """struct(value, failed): two decimals, half to even, after a double and its shortest decimal."""
-    return _cast(text, default, lambda d: F.bround(d.cast("decimal(38,10)") / (100 if unit == "fen" else 1), 2).try_cast("decimal(14,2)"))
+    """struct(value, failed) of money_value()."""
+    return _checked(filled(text, default), lambda t: money_value(t, unit))
 
 
 def whole_number(text: Column, default: str | None = None) -> Column:
-    """struct(value, failed): half away from zero."""
-    return _cast(text, default, lambda d: F.round(d.cast("decimal(38,10)"), 0).try_cast("long"))
+    """struct(value, failed) of whole_value()."""
+    return _checked(filled(text, default), whole_value)
 
 
 #: Python date directives and what they are to Spark.
@@ -94,15 +121,34 @@ def spark_format(python_format: str) -> str:
     return python_format.replace("T", "'T'") if "T" in python_format else python_format
 
 
+def _shaped(t: Column, python_format: str) -> Column | None:
+    """Whether t without its digits is what the format is without its directives, but for a sign; all that the format takes is.
+
+    A text that no format takes costs an exception for each format it is tried with. None: the format has more than
+    directives and plain separators.
+    """
+    rest = python_format
+    for a in DIRECTIVES:
+        rest = rest.replace(a, "")
+    if any(ch not in "-/.,:; T年月日时分秒" for ch in rest):
+        return None
+    fits = F.translate(t, "t0123456789", "T").isin(rest, f"-{rest}", f"+{rest}")
+    return fits & (F.length(t) >= 8) if python_format == "%Y%m%d" else fits
+
+
+def day_value(t: Column, formats: list[str]) -> Column:
+    """The day by the first format that fits a stripped text, else by an Excel serial."""
+    tried = []
+    for f in formats:
+        parsed, fits = F.try_to_timestamp(t, F.lit(spark_format(f))).cast("date"), _shaped(t, f)
+        tried.append(parsed if fits is None else F.when(fits, parsed))
+    serial = F.when(t.rlike(r"^[0-9]+(\.[0-9]+)?$"), t.try_cast("double"))
+    return F.coalesce(*tried, F.when(serial.between(1, 2958465), F.date_add(F.lit("1899-12-30").cast("date"), F.floor(serial).cast("int"))))
+
+
 def day(text: Column, formats: list[str]) -> Column:
     """struct(value, failed): the first format that fits, else an Excel serial; then the day."""
-    def parsed(t: Column) -> Column:
-        serial = F.when(t.rlike(r"^[0-9]+(\.[0-9]+)?$"), t.try_cast("double"))
-        from_serial = let(serial, lambda x: F.when(x.between(1, 2958465), F.date_add(F.lit("1899-12-30").cast("date"), F.floor(x).cast("int"))))
-        value = F.when(~is_placeholder(t), F.coalesce(*[F.try_to_timestamp(t, F.lit(spark_format(f))).cast("date") for f in formats], from_serial))
-        return let(value, lambda v: F.struct(v.alias("value"), (~is_placeholder(t) & v.isNull()).alias("failed")))
-
-    return let(ustrip(text), parsed)
+    return _checked(filled(ustrip(text)), lambda t: day_value(t, formats))
 
 
 def clean_text(c: Column, chars: list[str] | None = None) -> Column:

@@ -2,7 +2,8 @@
 
 The specification becomes Column expressions: one projection casts every field, gathers its errors and tries the filters;
 the merge of repeated rows and the final checks follow as DataFrame steps. Facts and errors are two results of one plan.
-``keep`` may write the cast rows and read them back, so that the cells are parsed once for all results.
+``keep`` may write the cast rows and read them back, so that the cells are parsed once for all results. Casts are steps of
+plain columns, without lambdas, which Spark would interpret row by row.
 """
 
 from __future__ import annotations
@@ -14,12 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import formula
-from tallyhouse.functions.columns import blank_to_null, clean_text, day, delete_chars, money, to_number, ustrip, whole_number
+from tallyhouse.functions.columns import blank_to_null, clean_text, day, day_value, delete_chars, filled, is_number, money, money_value, to_number, ustrip, whole_number, whole_value
 from tallyhouse.schema import FACTS, MONEY_FIELDS, NUMERIC_FIELDS
 from tallyhouse.sources.spec import Spec
 
 ERROR = "array<struct<error_type:string,error_message:string>>"
 MOST_CONTENT = 2000
+#: What numeric fields without a transform may hold beside the number.
+LOOSE = r"(?U)[,，￥¥元\s]"
 
 
 @dataclass
@@ -27,11 +30,18 @@ class Normalised:
     facts: DataFrame
     errors: DataFrame
     total: DataFrame
+    merged: DataFrame
 
     def counts(self) -> DataFrame:
-        """One row by one job: total, valid, filtered, duplicated, failed; failed counts errors, not rows."""
-        what = self.total.select(F.lit("total").alias("what")).union(self.facts.select(F.lit("valid"))).union(self.errors.select("error_type"))
-        return what.agg(*[F.count_if(F.col("what").isin(*kinds)).alias(name) for name, kinds in {"total": ["total"], "valid": ["valid"], **KINDS}.items()])
+        """One row by one job: total, valid, filtered, duplicated, failed; failed counts errors, not rows.
+
+        total has the cast rows and merged a row a key with _why, its error: no text and no join is needed to count.
+        """
+        of = lambda name: F.coalesce(F.sum(F.size(F.filter("_errors", lambda e: e["error_type"].isin(*KINDS[name])))), F.lit(0)).alias(name)
+        rows = self.total.agg(F.count("*").alias("total"), F.count_if(F.size("_errors") == 0).alias("_good"), of("filtered"), of("failed"))
+        kept = self.merged.agg(F.count("*").alias("_kept"), F.count("_why").alias("_invalid"))
+        n = F.col
+        return rows.crossJoin(kept).select("total", (n("_kept") - n("_invalid")).alias("valid"), "filtered", (n("_good") - n("_kept")).alias("duplicated"), (n("failed") + n("_invalid")).alias("failed"))
 
     def stats(self) -> dict[str, int]:
         return self.counts().first().asDict()
@@ -70,7 +80,7 @@ def cast_field(text: Column, rule: dict | None) -> tuple[Column, str | None]:
 
 def loose_number(text: Column, kind: str) -> Column:
     """struct(value, failed) for numeric fields without a transform."""
-    bare = F.regexp_replace(text, r"(?U)[,，￥¥元\s]", "")
+    bare = F.regexp_replace(text, LOOSE, "")
     return money(bare) if kind == "money" else whole_number(bare)
 
 
@@ -82,7 +92,7 @@ def passes(c: Column, f: dict) -> Column:
     if op == "is_null":
         return c.isNull() | (ustrip(text) == "")
     if op == "numeric":
-        return to_number(text).isNotNull()
+        return is_number(text)
     if op in ("in", "not_in"):
         found = F.coalesce(text.isin(*map(str, f["values"])), F.lit(False))
         return found if op == "in" else ~found
@@ -100,7 +110,7 @@ def passes(c: Column, f: dict) -> Column:
 
 
 def merge_rows(rows: DataFrame, spec: Spec, null_as_zero: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each key of the specification: keys, row_no, and for ``sum`` numeric fields added and the first text that isn't blank.
+    """One row for each key of the specification: keys, row_no, ``raw`` of that row, and for ``sum`` numeric fields added and the first text that isn't blank.
 
     With null_as_zero a NULL sum is 0 for a field that has any value among the rows. ``first`` and ``last`` keep a row's
     own fields. Keys may be NULL. Columns of ``by`` tell files apart, and each file is merged by itself. Aggregates combine within tasks before the shuffle, so that a frequent key is no trap.
@@ -110,44 +120,57 @@ def merge_rows(rows: DataFrame, spec: Spec, null_as_zero: bool = True, by: tuple
     if not d["enabled"] or not keys:
         return rows
     keys = [*by, *keys]
-    fields = [c for c in rows.columns if c not in (*keys, "row_no")]
+    fields = [c for c in rows.columns if c not in (*keys, "row_no", "raw")]
+    pick = F.max_by if d["strategy"] == "last" else F.min_by
+    # a column of its own, so that it is left out where nobody asks for it
+    raw = [pick("raw", "row_no").alias("raw")] if "raw" in rows.columns else []
     if d["strategy"] != "sum":
-        pick = F.min_by if d["strategy"] == "first" else F.max_by
-        return rows.groupBy(*keys).agg(pick(F.struct("row_no", *fields), "row_no").alias("r")).select(*keys, "r.*")
+        return rows.groupBy(*keys).agg(pick(F.struct("row_no", *fields), "row_no").alias("r"), *raw).select(*keys, "r.*", *[c for c in ("raw",) if raw])
     numeric = [c for c in fields if c in NUMERIC_FIELDS]
     first = [F.min(F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.struct("row_no", F.col(c).alias("v"))))["v"].alias(c) for c in fields if c not in numeric]
-    merged = rows.groupBy(*keys).agg(F.min("row_no").alias("row_no"), *first, *[F.sum(c).cast(rows.schema[c].dataType).alias(c) for c in numeric])
+    merged = rows.groupBy(*keys).agg(F.min("row_no").alias("row_no"), *first, *[F.sum(c).cast(rows.schema[c].dataType).alias(c) for c in numeric], *raw)
     if not (null_as_zero and numeric):
         return merged
-    seen = merged.groupBy(*by).agg(*[F.max(F.col(c).isNotNull()).alias(f"_{c}") for c in numeric])  # a row a file
+    seen = rows.groupBy(*by).agg(*[F.max(F.col(c).isNotNull()).alias(f"_{c}") for c in numeric])  # a row a file
     zero = {c: F.coalesce(F.col(c), F.when(F.col(f"_{c}"), F.lit(0).cast(rows.schema[c].dataType))) for c in numeric}
     both = merged.join(seen, list(by)) if by else merged.crossJoin(F.broadcast(seen))
     return both.withColumns(zero).select(*merged.columns)
 
 
+def steps(text: Column, rule: dict | None, kind: str | None) -> tuple[Column, Callable[[Column], Column], str | None]:
+    """A cell's text made ready, what makes the value of that, and the error of a ready text without value; cast_field() in two steps.
+
+    kind: of a numeric field without a transform, money or count.
+    """
+    if rule is None and kind:
+        return filled(F.regexp_replace(text, LOOSE, "")), money_value if kind == "money" else whole_value, "number_parse_failed"
+    if rule is None or rule["type"] == "string":
+        return delete_chars(text, (rule or {}).get("strip_chars")), blank_to_null, None
+    bare = delete_chars(text, rule.get("strip_chars"))
+    if rule["type"] == "money":
+        return filled(bare, rule.get("default")), lambda t: money_value(t, rule.get("unit") or "yuan"), "number_parse_failed"
+    if rule["type"] == "integer":
+        return filled(bare, rule.get("default")), whole_value, "number_parse_failed"
+    return filled(ustrip(bare)), lambda t: day_value(t, rule["formats"]), "date_parse_failed"
+
+
 def typed(raw: DataFrame, header: list[str], spec: Spec, by: tuple[str, ...] = ()) -> DataFrame:
     """raw (by, row_no, cells) -> by, row_no, raw, the cast fields, shop_code, platform_key and the row's errors.
 
-    Every cell is cast once: a generator stands between the casts and what tests their results, since a filter on them
-    would otherwise move below and cast again.
+    Every cell is cast once: columns that several others use are steps of their own, and a generator stands before what
+    tests the errors, since a filter on them would otherwise move below and cast again. Fields that nobody reads are
+    not made.
     """
     source = spec.resolve(header)
     place = {h: i for i, h in enumerate(header)}
     cell = lambda h: F.coalesce(F.get("cells", F.lit(place[h])), F.lit(""))
     snapshot = F.to_json(F.map_from_arrays(F.array(*[F.lit(h) for h in header]), F.slice("cells", 1, len(header))))
-    cast: dict[str, Column] = {}
-    errors: list[Column] = []
-    for u, h in source.items():
-        rule = spec.transforms.get(u)
-        value, kind = cast_field(cell(h), rule)
-        if rule is None and u in NUMERIC_FIELDS:
-            value, kind = loose_number(cell(h), "money" if u in MONEY_FIELDS else "count"), "number_parse_failed"
-        cast[u] = value
-        if kind:
-            errors.append(F.when(F.col(f"_{u}.failed"), F.struct(F.lit(kind).alias("error_type"), F.concat(F.lit(f"字段 {u} 无法解析："), cell(h)).alias("error_message"))))
-    once = raw.select(F.inline(F.array(F.struct(*by, "row_no", "cells", snapshot.alias("raw"), *[v.alias(f"_{u}") for u, v in cast.items()]))))
-    own = {u: F.col(f"_{u}.value") for u in cast}
-    own["shop_code"] = F.coalesce(*[blank_to_null(own[c]) for c in ("shop_code", "shop_name") if c in cast], F.lit("__UNKNOWN__"))
+    made = {u: steps(cell(h), spec.transforms.get(u), ("money" if u in MONEY_FIELDS else "count") if u in NUMERIC_FIELDS else None) for u, h in source.items()}
+    ready = raw.select(*by, "row_no", "cells", *[text.alias(f"_t_{u}") for u, (text, _, _) in made.items()])
+    cast = ready.select(*by, "row_no", "cells", *[(F.col(f"_t_{u}").isNotNull() if kind else F.lit(False)).alias(f"_t_{u}") for u, (_, _, kind) in made.items()], *[value(F.col(f"_t_{u}")).alias(f"_{u}") for u, (_, value, _) in made.items()])
+    own = {u: F.col(f"_{u}") for u in made}
+    errors = [F.when(F.col(f"_t_{u}") & own[u].isNull(), F.struct(F.lit(kind).alias("error_type"), F.concat(F.lit(f"字段 {u} 无法解析："), cell(source[u])).alias("error_message"))) for u, (_, _, kind) in made.items() if kind]
+    own["shop_code"] = F.coalesce(*[blank_to_null(own[c]) for c in ("shop_code", "shop_name") if c in made], F.lit("__UNKNOWN__"))
     own["platform_key"] = F.lit(spec.platform_key)
 
     def target(c: str) -> Column:
@@ -157,9 +180,10 @@ def typed(raw: DataFrame, header: list[str], spec: Spec, by: tuple[str, ...] = (
     for f in reversed(spec.row_filters):
         why = F.when(~passes(target(f["column"]), f), F.lit(f"被过滤：{f['column']} {f['op']}")).otherwise(why)
     bad = F.array_compact(F.array(*errors)) if errors else F.array().cast(ERROR)
-    out = F.array_compact(F.array(F.when(why.isNotNull(), F.struct(F.lit("filtered_out").alias("error_type"), why.alias("error_message")))))
-    checked = once.withColumn("_bad", bad)
-    return checked.select(F.inline(F.array(F.struct(*by, "row_no", "raw", *[v.alias(u) for u, v in own.items()], F.when(F.size("_bad") > 0, F.col("_bad")).otherwise(out).alias("_errors")))))
+    judged = cast.select(*by, "row_no", snapshot.alias("raw"), *[v.alias(u) for u, v in own.items()], bad.alias("_bad"), why.alias("_out"))
+    out = F.when(F.col("_out").isNotNull(), F.array(F.struct(F.lit("filtered_out").alias("error_type"), F.col("_out").alias("error_message")))).otherwise(F.array().cast(ERROR))
+    once = F.inline(F.array(F.struct(F.when(F.size("_bad") > 0, F.col("_bad")).otherwise(out).alias("_errors"))))
+    return judged.select("*", once).drop("_bad", "_out")
 
 
 def normalise(raw: DataFrame, header: list[str], spec: Spec, upload_id: int = 0, keep: Callable[[DataFrame], DataFrame] | None = None) -> Normalised:
@@ -171,12 +195,8 @@ def finished(rows: DataFrame, spec: Spec, upload_id: int = 0) -> Normalised:
     """Rows of typed(), of one file or, with upload_id among their columns, of many, each judged by itself."""
     by = ("upload_id",) if "upload_id" in rows.columns else ()
     good = rows.where(F.size("_errors") == 0).drop("_errors")
-    merged = merge_rows(good.drop("raw"), spec, by=by)
-    # the texts of rows don't go through the merge; they meet its rows by number
-    met = good.select(*by, "row_no", "raw").join(merged.withColumn("_kept", F.lit(True)), [*by, "row_no"], "left")
+    full = merge_rows(good, spec, by=by)
     message = "重复行，已按 sum 策略合并（keys=%s）" % [k for k in spec.dedup["keys"] if k in good.columns] if spec.dedup["strategy"] == "sum" else f"重复行，按策略 {spec.dedup['strategy']} 保留另一条"
-    repeated = met.where("_kept is null").select(*by, "row_no", F.lit("duplicate_row").alias("error_type"), F.lit(message).alias("error_message"), "raw")
-    full = met.where("_kept").drop("_kept")
     for f in FACTS:
         if f.name not in full.columns and f.name not in ("upload_id", "raw_row_json", "net_amount"):
             full = full.withColumn(f.name, F.lit(None).cast(f.dataType))
@@ -184,10 +204,11 @@ def finished(rows: DataFrame, spec: Spec, upload_id: int = 0) -> Normalised:
     error = lambda kind, text: F.struct(F.lit(kind).alias("error_type"), F.lit(text).alias("error_message"))
     why = F.when(F.col("gmv").isNull(), error("number_parse_failed", "必需列 gmv 缺失或无法解析，整行判为无效")).when(F.col("stat_date").isNull(), error("date_parse_failed", "必需列 stat_date 缺失或无法解析，整行判为无效"))
     checked = computed.withColumn("_why", why.when(F.col("net_amount").isNull(), error("number_parse_failed", "net_amount 计算失败")))
-    invalid = checked.where("_why is not null").select(*by, "row_no", "_why.*", "raw")
     facts = checked.where("_why is null").withColumns({"upload_id": F.col("upload_id") if by else F.lit(upload_id), "raw_row_json": F.col("raw"), "platform_product_code": F.coalesce("platform_product_code", F.lit(""))})
     facts = facts.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in FACTS])
-    failed = rows.where(F.size("_errors") > 0).select(*by, "row_no", F.explode("_errors").alias("e"), "raw").select(*by, "row_no", "e.*", "raw")
-    bad = failed.unionByName(repeated).unionByName(invalid)
+    # the texts of rows without a fact meet the merged rows by number
+    met = rows.select(*by, "row_no", "raw", "_errors").join(checked.select(*by, "row_no", "_why", F.lit(True).alias("_kept")), [*by, "row_no"], "left")
+    named = F.when(F.size("_errors") > 0, F.col("_errors")).when(F.col("_kept").isNull(), F.array(error("duplicate_row", message))).otherwise(F.array_compact(F.array("_why")))
+    bad = met.select(*by, "row_no", "raw", F.explode(named).alias("e")).select(*by, "row_no", "e.*", "raw")
     content = F.when(F.length("raw") <= MOST_CONTENT, F.col("raw")).otherwise(F.concat(F.left("raw", F.lit(MOST_CONTENT)), F.lit("…")))
-    return Normalised(facts, bad.select((F.col("upload_id") if by else F.lit(upload_id)).cast("long").alias("upload_id"), F.col("row_no").alias("row_number"), "error_type", "error_message", content.alias("raw_content")), rows)
+    return Normalised(facts, bad.select((F.col("upload_id") if by else F.lit(upload_id)).cast("long").alias("upload_id"), F.col("row_no").alias("row_number"), "error_type", "error_message", content.alias("raw_content")), rows, checked)

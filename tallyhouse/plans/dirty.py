@@ -16,6 +16,7 @@ from tallyhouse.functions.columns import clean_text, day, money, normal_name, wh
 from tallyhouse.operators import identity
 from tallyhouse.operators.normalize import Normalised, loose_number, merge_rows, normalise, passes, typed
 from tallyhouse.plans import bridge, listing
+from tallyhouse.session import stored
 from tallyhouse.sources import spec
 
 #: Numbers of a row and its cells, in SQL for either engine: {div} is the whole-number division, {text} the text type, {serial} days since 1899-12-30.
@@ -50,9 +51,14 @@ def _spark(sql: str) -> str:
     return sql.format(div="div", text="STRING", serial="datediff(d, DATE '1899-12-30')")
 
 
+def dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows over as many tasks as a shuffle has: the casts that follow cost far more than the scan, whose row groups may be few."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = bridge.read(spark, sf_dir, "lineitem")
-    return li.selectExpr(*[f"{e} AS {c}" for c, e in NUMBERS.items()])
+    return dealt(li.selectExpr(*[f"{e} AS {c}" for c, e in NUMBERS.items()]), "n")
 
 
 def raw(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str], spec.Spec]:
@@ -61,9 +67,11 @@ def raw(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str], spec.Sp
     return numbered(spark, sf_dir).select(F.col("n").alias("row_no"), cells.alias("cells")), list(CELLS), spec.builtin("taobao")
 
 
-def cleaned(spark: SparkSession, sf_dir: str, strategy: str = "sum") -> Normalised:
+def cleaned(spark: SparkSession, sf_dir: str, texts: bool = False) -> Normalised:
+    """texts: the rows' raw texts are wanted. The cast rows are written once and read by each step that follows."""
     rows, header, own = raw(spark, sf_dir)
-    return normalise(rows, header, replace(own, dedup={**own.dedup, "strategy": strategy}))
+    keep = stored if texts else lambda cast: stored(cast.drop("raw")).withColumn("raw", F.lit(None).cast("string"))
+    return normalise(rows, header, own, keep=keep)
 
 
 def _cells(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
@@ -79,7 +87,7 @@ def errors(spark, d):
 
 
 def snapshots(spark, d):
-    return cleaned(spark, d).facts.select("row_no", "raw_row_json")
+    return cleaned(spark, d, texts=True).facts.select("row_no", "raw_row_json")
 
 
 def stats(spark, d):
@@ -91,6 +99,8 @@ def merged(strategy: str):
     def run(spark, d):
         rows, header, own = raw(spark, d)
         good = typed(rows, header, own).where(F.size("_errors") == 0).drop("_errors", "raw")
+        if strategy == "sum":
+            good = stored(good)
         return merge_rows(good, replace(own, dedup={**own.dedup, "strategy": strategy})).select(*OUT, "product_name", "gmv", "paid_qty", "visitors")
 
     return run

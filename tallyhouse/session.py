@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -26,15 +27,25 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the folder that driver and executors share (spark.checkpoint.dir), and read back whatever becomes of executors.
-
-    Only a local master, where driver and executors are one process, gets a temporary folder where none is set.
-    """
-    context = df.sparkSession.sparkContext
+def _shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir). Only a local master, where driver and executors are one process, gets a temporary folder where none is set."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        found = spark.conf.get("spark.checkpoint.dir", None)
         if not found and not context.master.startswith("local[") and context.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="tallyhouse-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the folder that driver and executors share, and read back whatever becomes of executors."""
+    _shared(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same as a table, of which later steps read the columns that they use."""
+    path = f"{_shared(df.sparkSession)}/tallyhouse/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
