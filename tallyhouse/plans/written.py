@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tallyhouse.operators import identity
 from tallyhouse.operators.normalize import finished, typed
 from tallyhouse.plans import bridge
-from tallyhouse.session import checkpointed
+from tallyhouse.plans.dirty import dealt
+from tallyhouse.session import checkpointed, stored
 from tallyhouse.sinks import detail
 from tallyhouse.sources import files, generator, spec
 
@@ -17,6 +18,13 @@ ORDERS = 8000
 SUMS = ["gmv", "refund_amount", "ad_cost", "paid_qty", "visitors", "buyers"]
 
 
+def _facts(made: DataFrame, own: spec.Spec, header: list[str]) -> DataFrame:
+    """The facts of a channel's files (path, content, sha256). What each file holds is made, read and cast once, by the task that has the file, and written as a table for the steps of the merge."""
+    read = files.parsed(made, own.file_matching, only=("path", "row_no", "cells")).where("cells is not null").select(F.xxhash64("path").alias("upload_id"), "row_no", "cells")
+    cast = stored(typed(read, header, own, ("upload_id",)).drop("raw"))
+    return finished(cast.withColumn("raw", F.lit(None).cast("string")), own).facts
+
+
 def channel_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The line items as files of their channels, and these read, cast and merged: sums by channel and day.
 
@@ -26,10 +34,9 @@ def channel_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for key in generator.CHANNELS:
         rows = generator.cells(sold, key).select(F.expr(f"upload_id div {ORDERS}").alias("file"), F.lit("1998-12-31").alias("until"), F.struct("upload_id", "row_no", "shop_code", "platform_product_code", "gmv").alias("at"), "cells")
-        made = generator.packed(rows.withColumn("at", F.to_json("at")), key).withColumn("sha256", F.sha2("content", 256))
+        made = generator.packed(dealt(rows.withColumn("at", F.to_json("at")), "file"), key).withColumn("sha256", F.sha2("content", 256))
         own = spec.builtin(key)
-        read = files.parsed(made, own.file_matching).where("cells is not null").select(F.xxhash64("path").alias("upload_id"), "row_no", "cells")
-        facts = finished(typed(read, list(own.column_map), own, ("upload_id",)), own).facts
+        facts = _facts(made, own, list(own.column_map))
         out = facts if out is None else out.unionByName(facts)
     sums = [F.sum(c).cast("decimal(20,2)" if c in ("gmv", "refund_amount", "ad_cost") else "long").alias(c) for c in SUMS]
     return out.groupBy("platform_key", "stat_date").agg(F.count("*").alias("n_facts"), *sums)
@@ -38,12 +45,10 @@ def channel_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def detail_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The line items as detail files of their channels and days, and these read, cast and merged: the same sums by channel and day."""
     specs = {k: spec.builtin(k) for k in spec.builtin_keys()}
-    made = checkpointed(detail.parts(bridge.facts(spark, sf_dir), specs, checkpointed).select("path", "content", F.sha2("content", 256).alias("sha256"), "platform_key"))
+    made = checkpointed(detail.parts(bridge.facts(spark, sf_dir), specs, stored).select("path", "content", F.sha2("content", 256).alias("sha256"), "platform_key"))
     out = None
     for key, own in specs.items():
-        parsed = files.parsed(made.where(F.col("platform_key") == key), own.file_matching)
-        read = checkpointed(parsed.where("cells is not null").select(F.xxhash64("path").alias("upload_id"), "row_no", "cells"))
-        facts = finished(typed(read, [s for _, s in detail.columns(own)], own, ("upload_id",)), own).facts
+        facts = _facts(made.where(F.col("platform_key") == key), own, [s for _, s in detail.columns(own)])
         out = facts if out is None else out.unionByName(facts)
     sums = [F.sum(c).cast("decimal(20,2)" if c in ("gmv", "refund_amount", "ad_cost") else "long").alias(c) for c in SUMS]
     return out.groupBy("platform_key", "stat_date").agg(*sums)
