@@ -9,7 +9,7 @@ from tallyhouse.operators import identity
 from tallyhouse.operators.normalize import finished, typed
 from tallyhouse.plans import bridge
 from tallyhouse.plans.dirty import dealt
-from tallyhouse.session import checkpointed, stored
+from tallyhouse.session import stored
 from tallyhouse.sinks import detail
 from tallyhouse.sources import files, generator, spec
 
@@ -45,10 +45,10 @@ def channel_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def detail_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The line items as detail files of their channels and days, and these read, cast and merged: the same sums by channel and day."""
     specs = {k: spec.builtin(k) for k in spec.builtin_keys()}
-    made = checkpointed(detail.parts(bridge.facts(spark, sf_dir), specs, stored).select("path", "content", F.sha2("content", 256).alias("sha256"), "platform_key"))
+    made = stored(detail.parts(bridge.facts(spark, sf_dir), specs, stored).select("path", "content", F.sha2("content", 256).alias("sha256"), "platform_key"), "platform_key")
     out = None
     for key, own in specs.items():
-        facts = _facts(made.where(F.col("platform_key") == key), own, [s for _, s in detail.columns(own)])
+        facts = _facts(dealt(made.where(F.col("platform_key") == key), "path"), own, [s for _, s in detail.columns(own)])
         out = facts if out is None else out.unionByName(facts)
     sums = [F.sum(c).cast("decimal(20,2)" if c in ("gmv", "refund_amount", "ad_cost") else "long").alias(c) for c in SUMS]
     return out.groupBy("platform_key", "stat_date").agg(*sums)

@@ -38,14 +38,8 @@ def _shared(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the folder that driver and executors share, and read back whatever becomes of executors."""
-    _shared(df.sparkSession)
-    return df.checkpoint()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The same as a table, of which later steps read the columns that they use."""
+def stored(df: DataFrame, *by: str) -> DataFrame:
+    """df written as a table to the folder that driver and executors share, and read back whatever becomes of executors: later steps read the columns that they use, and by folders where ``by`` names columns that they filter."""
     path = f"{_shared(df.sparkSession)}/tallyhouse/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
