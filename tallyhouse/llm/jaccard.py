@@ -12,11 +12,18 @@ ordered by rarity, a pair at the bar shares one among the first ninth of the sma
 larger one (Chaudhuri et al., 2006; Bayardo et al., 2007). Passages that many texts share are frequent and so come
 last; only pairs near the bar are left to compare. So no pair that shares a bucket is lost, whatever ``leads`` is.
 
+Near copies just under the bar share these shingles all the same. Each text therefore has a sketch: for each of 1,024
+places of a hash, whether an odd number of its shingles falls there. A shingle that only one of two texts has changes
+one place, so that texts whose sketches differ in more places than the bar allows shingles are under it (Sandes et al.,
+2017), and the join turns them away where they meet. To reject them two by two takes the square of such a group, within
+the join and without a row made; a shingle of many texts is dealt over several keys, so that no task meets them all.
+
 Nulls and odd rows: a null or blank text has no shingles, and all of them are one node. A text of fewer words than a
 shingle is one shingle. Copies are one node. Extra columns are kept.
 """
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -33,6 +40,8 @@ from tallyhouse.llm.simhash import FOLD
 BANDS, ROWS = 16, 4
 #: Keeps products such as 0.8 * 5 from rounding past a whole number.
 EPS = 1e-9
+#: Bits of a sketch, a power of two, and so many texts of one shingle meet the others by one key.
+SKETCH, SHARE = 1024, 2000
 _RNG = np.random.default_rng(7)
 FLIP, ODD = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64), _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
 
@@ -67,17 +76,36 @@ def _prefixes(sets: DataFrame, bar: float) -> DataFrame:
     return placed.where((F.col("often") > 1) & (F.col("at") <= F.col("n") - F.ceil(bar * F.col("n") - EPS))).drop("often")
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    """A bit for each value of a hash's first bits: whether an odd number of hashes has it; as longs."""
+    first = found.view(np.uint64) >> np.uint64(65 - SKETCH.bit_length())
+    return np.packbits((np.bincount(first.astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)).view(np.int64)
+
+
 def candidates(sets: DataFrame, scratch: Scratch, bar: float) -> DataFrame:
     """sets: node, component c and set. Pairs (a, b) of different components; all at the bar or more are among them."""
-    rows = scratch.keep(_prefixes(sets, bar))
+
+    @F.pandas_udf("array<bigint>")
+    def sketches(some: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for found in some:
+            yield pd.Series([sketch(np.asarray(f, np.int64)) for f in found])
+
+    bits = [f"bits{i}" for i in range(SKETCH // 64)]
+    drawn = sets.select("node", sketches("set").alias("drawn")).select("node", *[F.get("drawn", F.lit(i)).alias(b) for i, b in enumerate(bits)])
+    rows = scratch.keep(_prefixes(sets, bar).join(drawn, "node"))
     least = 2 * bar / (1 + bar)
-    x = rows.where(F.col("at") <= F.col("n") - F.ceil(least * F.col("n") - EPS)).select("sh", *[F.col(c).alias(f"x_{c}") for c in ("node", "c", "n", "at")])
-    y = rows.select("sh", *[F.col(c).alias(f"y_{c}") for c in ("node", "c", "n", "at")])
+    many = F.broadcast(rows.groupBy("sh").agg(F.ceil(F.count("*") / SHARE).alias("deals")).where("deals > 1"))
+    dealt = rows.join(many, "sh", "left").withColumn("deals", F.coalesce("deals", F.lit(1).cast("long")))
+    own = ["node", "c", "n", "at", *bits]
+    x = dealt.where(F.col("at") <= F.col("n") - F.ceil(least * F.col("n") - EPS)).select("sh", F.pmod("node", "deals").alias("deal"), *[F.col(c).alias(f"x_{c}") for c in own])
+    y = dealt.select("sh", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"), *[F.col(c).alias(f"y_{c}") for c in own])
     apart = (F.col("x_c") != F.col("y_c")) & (F.struct("x_n", "x_node") < F.struct("y_n", "y_node"))
     sized = F.col("x_n") >= bar * F.col("y_n") - EPS
     # what can follow a common shingle at these places must do for the overlap that the bar asks for
     enough = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) >= least / 2 * (F.col("x_n") + F.col("y_n")) - EPS
-    return x.join(y, "sh").where(apart & sized & enough).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
+    differ = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(f"y_{b}"))) for b in bits])
+    alike = differ <= (1 - least) * (F.col("x_n") + F.col("y_n")) + EPS
+    return x.join(y, ["sh", "deal"]).where(apart & sized & enough & alike).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
 
 
 def groups(docs: DataFrame, known: DataFrame, scratch: Scratch, size: int = 5, bar: float = 0.8, leads: int = 3) -> DataFrame:

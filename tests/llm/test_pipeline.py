@@ -5,6 +5,8 @@ from collections import Counter
 
 import corpus_pipeline
 from pyspark.sql import functions as F
+from tallyhouse.llm import jaccard
+from tallyhouse.llm.common import Scratch
 from tallyhouse.llm.simhash import fingerprint
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -168,3 +170,37 @@ def test_vector_packing_over_odd_rows(spark):
 def test_stages_over_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, spark.createDataFrame([], DOCS), "").count() == 0
+
+
+def near_copies(n, edits):
+    """Texts of 150 words with so many words changed each: all share most of their shingles, few pairs reach the bar."""
+    rng = random.Random(11)
+    ws, texts = words(150, 3).split(), []
+    for _ in range(n):
+        own = list(ws)
+        for at in rng.sample(range(5, 145), edits):
+            own[at] = "".join(rng.choices("abcdefghij", k=6))
+        texts.append(" ".join(own))
+    return texts
+
+
+def met(spark, texts):
+    found = [jaccard.shingles(t, 5) for t in texts]
+    sets = spark.createDataFrame([(i, i, f.view("int64").tolist()) for i, f in enumerate(found)], "node long, c long, set array<long>")
+    return Counter(tuple(sorted(r)) for r in jaccard.candidates(sets, Scratch(spark), 0.8).collect())
+
+
+def test_candidates_among_near_copies(spark):
+    """All pairs at the bar are among them, and few others, however many texts are just under it; each comes once."""
+    texts = near_copies(150, 2) + near_copies(5, 1) + ["", "one two", *near_copies(4, 0)]
+    sets = [shingles(t) for t in texts]
+    pairs = {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if b and len(a & b) >= 0.8 * len(a | b)}
+    got = met(spark, texts)
+    assert len(pairs) > 100 and pairs <= set(got) and len(got) <= 1.5 * len(pairs) and set(got.values()) == {1}
+
+
+def test_a_frequent_shingle_is_dealt(spark, monkeypatch):
+    texts = near_copies(60, 2)
+    whole = met(spark, texts)
+    monkeypatch.setattr(jaccard, "SHARE", 7)
+    assert whole and met(spark, texts) == whole
