@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -138,20 +140,20 @@ def merge_rows(rows: DataFrame, spec: Spec, null_as_zero: bool = True, by: tuple
 
 
 def steps(text: Column, rule: dict | None, kind: str | None) -> tuple[Column, Callable[[Column], Column], str | None]:
-    """A cell's text made ready, what makes the value of that, and the error of a ready text without value; cast_field() in two steps.
+    """A cell's bare text, what makes the value of that once placeholders are filled, and the error of a filled text without value; cast_field() in steps.
 
     kind: of a numeric field without a transform, money or count.
     """
     if rule is None and kind:
-        return filled(F.regexp_replace(text, LOOSE, "")), money_value if kind == "money" else whole_value, "number_parse_failed"
+        return F.regexp_replace(text, LOOSE, ""), money_value if kind == "money" else whole_value, "number_parse_failed"
     if rule is None or rule["type"] == "string":
         return delete_chars(text, (rule or {}).get("strip_chars")), blank_to_null, None
     bare = delete_chars(text, rule.get("strip_chars"))
     if rule["type"] == "money":
-        return filled(bare, rule.get("default")), lambda t: money_value(t, rule.get("unit") or "yuan"), "number_parse_failed"
+        return bare, lambda t: money_value(t, rule.get("unit") or "yuan"), "number_parse_failed"
     if rule["type"] == "integer":
-        return filled(bare, rule.get("default")), whole_value, "number_parse_failed"
-    return filled(ustrip(bare)), lambda t: day_value(t, rule["formats"]), "date_parse_failed"
+        return bare, whole_value, "number_parse_failed"
+    return ustrip(bare), lambda t: day_value(t, rule["formats"]), "date_parse_failed"
 
 
 def typed(raw: DataFrame, header: list[str], spec: Spec, by: tuple[str, ...] = ()) -> DataFrame:
@@ -166,20 +168,31 @@ def typed(raw: DataFrame, header: list[str], spec: Spec, by: tuple[str, ...] = (
     cell = lambda h: F.coalesce(F.get("cells", F.lit(place[h])), F.lit(""))
     snapshot = F.to_json(F.map_from_arrays(F.array(*[F.lit(h) for h in header]), F.slice("cells", 1, len(header))))
     made = {u: steps(cell(h), spec.transforms.get(u), ("money" if u in MONEY_FIELDS else "count") if u in NUMERIC_FIELDS else None) for u, h in source.items()}
-    ready = raw.select(*by, "row_no", "cells", *[text.alias(f"_t_{u}") for u, (text, _, _) in made.items()])
+    bare = raw.select(*by, "row_no", "cells", *[text.alias(f"_t_{u}") for u, (text, _, _) in made.items()])
+    default = {u: (spec.transforms.get(u) or {}).get("default") for u in made if (spec.transforms.get(u) or {}).get("type") in ("money", "integer")}
+    ready = bare.select(*by, "row_no", "cells", *[(filled(F.col(f"_t_{u}"), default.get(u)) if kind else F.col(f"_t_{u}")).alias(f"_t_{u}") for u, (_, _, kind) in made.items()])
     cast = ready.select(*by, "row_no", "cells", *[(F.col(f"_t_{u}").isNotNull() if kind else F.lit(False)).alias(f"_t_{u}") for u, (_, _, kind) in made.items()], *[value(F.col(f"_t_{u}")).alias(f"_{u}") for u, (_, value, _) in made.items()])
     own = {u: F.col(f"_{u}") for u in made}
-    errors = [F.when(F.col(f"_t_{u}") & own[u].isNull(), F.struct(F.lit(kind).alias("error_type"), F.concat(F.lit(f"字段 {u} 无法解析："), cell(source[u])).alias("error_message"))) for u, (_, _, kind) in made.items() if kind]
+    failed = {u: F.col(f"_t_{u}") & own[u].isNull() for u, (_, _, kind) in made.items() if kind}
+    errors = [F.when(failed[u], F.struct(F.lit(kind).alias("error_type"), F.concat(F.lit(f"字段 {u} 无法解析："), cell(source[u])).alias("error_message"))) for u, (_, _, kind) in made.items() if kind]
     own["shop_code"] = F.coalesce(*[blank_to_null(own[c]) for c in ("shop_code", "shop_name") if c in made], F.lit("__UNKNOWN__"))
     own["platform_key"] = F.lit(spec.platform_key)
 
     def target(c: str) -> Column:
         return own[c] if c in own else cell(c) if c in place else F.lit(None).cast("string")
 
+    def kept(f: dict) -> Column:
+        """passes(), where a value that was cast need not be read again."""
+        kind = made[f["column"]][2] if f["column"] in made else None
+        if kind and (f["op"] == "not_null" or f["op"] == "numeric" and kind == "number_parse_failed"):
+            return own[f["column"]].isNotNull()
+        return passes(target(f["column"]), f)
+
     why = F.lit(None).cast("string")
     for f in reversed(spec.row_filters):
-        why = F.when(~passes(target(f["column"]), f), F.lit(f"被过滤：{f['column']} {f['op']}")).otherwise(why)
-    bad = F.array_compact(F.array(*errors)) if errors else F.array().cast(ERROR)
+        why = F.when(~kept(f), F.lit(f"被过滤：{f['column']} {f['op']}")).otherwise(why)
+    # most rows have no error, and gathering them costs more than looking for one
+    bad = F.when(reduce(or_, failed.values()), F.array_compact(F.array(*errors))).otherwise(F.array().cast(ERROR)) if errors else F.array().cast(ERROR)
     judged = cast.select(*by, "row_no", snapshot.alias("raw"), *[v.alias(u) for u, v in own.items()], bad.alias("_bad"), why.alias("_out"))
     out = F.when(F.col("_out").isNotNull(), F.array(F.struct(F.lit("filtered_out").alias("error_type"), F.col("_out").alias("error_message")))).otherwise(F.array().cast(ERROR))
     once = F.inline(F.array(F.struct(F.when(F.size("_bad") > 0, F.col("_bad")).otherwise(out).alias("_errors"))))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.operators import identity
-from tallyhouse.operators.normalize import finished, typed
+from tallyhouse.operators.normalize import ERROR, finished, typed
 from tallyhouse.plans import bridge
 from tallyhouse.plans.dirty import dealt
 from tallyhouse.session import stored
@@ -18,11 +18,29 @@ ORDERS = 8000
 SUMS = ["gmv", "refund_amount", "ad_cost", "paid_qty", "visitors", "buyers"]
 
 
-def _facts(made: DataFrame, own: spec.Spec, header: list[str]) -> DataFrame:
-    """The facts of a channel's files (path, content, sha256). What each file holds is made, read and cast once, by the task that has the file, and written as a table for the steps of the merge."""
-    read = files.parsed(made, own.file_matching, only=("path", "row_no", "cells")).where("cells is not null").select(F.xxhash64("path").alias("upload_id"), "row_no", "cells")
-    cast = stored(typed(read, header, own, ("upload_id",)).drop("raw"))
-    return finished(cast.withColumn("raw", F.lit(None).cast("string")), own).facts
+#: What the merge and the sums read of a cast row.
+READ = ["upload_id", "row_no", "stat_date", "platform_key", "platform_product_code", "shop_code", "gmv", "refund_amount", "ad_cost", "paid_qty", "order_qty", "visitors", "buyers"]
+
+
+def _facts(made: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """The facts of the channels' files: for each channel its files (path, content, sha256) and their header. Texts that no sum needs are null.
+
+    What each file holds is made, read and cast once, by the task that has the file. The good rows of all channels are
+    written as one table by one job, for the steps of the merge.
+    """
+    rows = None
+    for key, (found, header) in made.items():
+        own = spec.builtin(key)
+        read = files.parsed(found, own.file_matching, only=("path", "row_no", "cells")).where("cells is not null").select(F.xxhash64("path").alias("upload_id"), "row_no", "cells")
+        good = typed(read, header, own, ("upload_id",)).where(F.size("_errors") == 0)
+        good = good.select(*[c for c in READ if c in good.columns])
+        rows = good if rows is None else rows.unionByName(good, allowMissingColumns=True)
+    cast = stored(rows).withColumns({"raw": F.lit(None).cast("string"), "_errors": F.array().cast(ERROR)})
+    out = None
+    for key in made:
+        facts = finished(cast.where(F.col("platform_key") == key), spec.builtin(key)).facts
+        out = facts if out is None else out.unionByName(facts)
+    return out
 
 
 def channel_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,13 +49,12 @@ def channel_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     Every channel's encoding, delimiter, title, footer and spelling is written and read. An amount in 97 is no number.
     """
     sold = bridge.facts(spark, sf_dir).withColumns({"kind": F.when(F.pmod(F.col("upload_id") + F.col("row_no"), F.lit(97)) == 0, "bad").otherwise("plain"), "slash": F.col("upload_id") % 10 == 0})
-    out = None
+    made = {}
     for key in generator.CHANNELS:
         rows = generator.cells(sold, key).select(F.expr(f"upload_id div {ORDERS}").alias("file"), F.lit("1998-12-31").alias("until"), F.struct("upload_id", "row_no", "shop_code", "platform_product_code", "gmv").alias("at"), "cells")
-        made = generator.packed(dealt(rows.withColumn("at", F.to_json("at")), "file"), key).withColumn("sha256", F.sha2("content", 256))
-        own = spec.builtin(key)
-        facts = _facts(made, own, list(own.column_map))
-        out = facts if out is None else out.unionByName(facts)
+        found = generator.packed(rows, key).withColumn("sha256", F.sha2("content", 256))
+        made[key] = found, list(spec.builtin(key).column_map)
+    out = _facts(made)
     sums = [F.sum(c).cast("decimal(20,2)" if c in ("gmv", "refund_amount", "ad_cost") else "long").alias(c) for c in SUMS]
     return out.groupBy("platform_key", "stat_date").agg(F.count("*").alias("n_facts"), *sums)
 
@@ -46,10 +63,7 @@ def detail_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The line items as detail files of their channels and days, and these read, cast and merged: the same sums by channel and day."""
     specs = {k: spec.builtin(k) for k in spec.builtin_keys()}
     made = stored(detail.parts(bridge.facts(spark, sf_dir), specs, stored).select("path", "content", F.sha2("content", 256).alias("sha256"), "platform_key"), "platform_key")
-    out = None
-    for key, own in specs.items():
-        facts = _facts(dealt(made.where(F.col("platform_key") == key), "path"), own, [s for _, s in detail.columns(own)])
-        out = facts if out is None else out.unionByName(facts)
+    out = _facts({key: (dealt(made.where(F.col("platform_key") == key), "path"), [s for _, s in detail.columns(own)]) for key, own in specs.items()})
     sums = [F.sum(c).cast("decimal(20,2)" if c in ("gmv", "refund_amount", "ad_cost") else "long").alias(c) for c in SUMS]
     return out.groupBy("platform_key", "stat_date").agg(*sums)
 

@@ -10,11 +10,19 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Fixed value: HotSpot's limit of a method that it compiles (-XX:-DontCompileHugeMethods lifts it).
+MOST_BYTECODE = 8000
 HERE = Path(__file__).resolve().parent
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package's code to Python workers, once a context, so that it need not be installed on them."""
+    """Send this package's code to Python workers, once a context, so that it need not be installed on them.
+
+    The JVM never compiles a method of over 8,000 bytes of bytecode but interprets it. Casts of wide rows make such
+    methods where Spark fuses all steps into one; above this bound it makes many small ones instead.
+    """
+    if int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) > MOST_BYTECODE:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", str(MOST_BYTECODE))
     sc = spark.sparkContext
     if not getattr(sc, "_tallyhouse_shipped", False):
         path = os.path.join(tempfile.mkdtemp(prefix="tallyhouse-code-"), "tallyhouse.zip")
