@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tallyhouse.functions import formula
 from tallyhouse.functions.columns import blank_to_null, clean_text, day, day_value, delete_chars, filled, is_number, money, money_value, to_number, ustrip, whole_number, whole_value
 from tallyhouse.schema import FACTS, MONEY_FIELDS, NUMERIC_FIELDS
+from tallyhouse.session import small_methods
 from tallyhouse.sources.spec import Spec
 
 ERROR = "array<struct<error_type:string,error_message:string>>"
@@ -163,6 +164,7 @@ def typed(raw: DataFrame, header: list[str], spec: Spec, by: tuple[str, ...] = (
     tests the errors, since a filter on them would otherwise move below and cast again. Fields that nobody reads are
     not made.
     """
+    small_methods(raw.sparkSession)
     source = spec.resolve(header)
     place = {h: i for i, h in enumerate(header)}
     cell = lambda h: F.coalesce(F.get("cells", F.lit(place[h])), F.lit(""))

@@ -16,13 +16,7 @@ HERE = Path(__file__).resolve().parent
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package's code to Python workers, once a context, so that it need not be installed on them.
-
-    The JVM never compiles a method of over 8,000 bytes of bytecode but interprets it. Casts of wide rows make such
-    methods where Spark fuses all steps into one; above this bound it makes many small ones instead.
-    """
-    if int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) > MOST_BYTECODE:
-        spark.conf.set("spark.sql.codegen.hugeMethodLimit", str(MOST_BYTECODE))
+    """Send this package's code to Python workers, once a context, so that it need not be installed on them."""
     sc = spark.sparkContext
     if not getattr(sc, "_tallyhouse_shipped", False):
         path = os.path.join(tempfile.mkdtemp(prefix="tallyhouse-code-"), "tallyhouse.zip")
@@ -35,6 +29,17 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def small_methods(spark: SparkSession) -> None:
+    """Have Spark make methods that the JVM compiles.
+
+    The JVM never compiles a method of over 8,000 bytes of bytecode but interprets it. Casts of wide rows make such
+    methods where Spark fuses all steps into one; above this bound it makes many small ones instead. It holds for what
+    else runs in the session.
+    """
+    if int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) > MOST_BYTECODE:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", str(MOST_BYTECODE))
+
+
 def _shared(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir). Only a local master, where driver and executors are one process, gets a temporary folder where none is set."""
     context = spark.sparkContext
